@@ -26,4 +26,4 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from rollgrid.plans import booking_queries, directory_queries  # noqa: F401
+    from rollgrid.plans import booking_queries, directory_queries, gallery_queries  # noqa: F401
