@@ -125,7 +125,27 @@ def _views(d: Dialect) -> dict[str, str]:
                    CAST(user_id % 25 * 7 - 80 AS DOUBLE) AS lon
             FROM events""",
         "scan": f"""
-            SELECT event_id, CAST(user_id * 37 % 1009 AS BIGINT) AS code_no, user_id AS student_id, ts, {d.us("ts")} AS us
+            SELECT event_id, CAST(user_id * 37 % 2503 AS STRING) AS code, right('00000000' || CAST(user_id AS STRING), 9)
+                   AS person, ts, {d.us("ts")} AS us
+            FROM events""",
+        "qr_session": f"""
+            SELECT CAST(p_partkey AS STRING) AS code, p_size % 4 + 1 AS grace_seconds, p_partkey % 17 = 0 AS used,
+                   {d.us("TIMESTAMP '2024-01-01 00:00:00'")} + CAST(p_partkey * 997 % 40 - 4 AS BIGINT) * 86400000000
+                   AS expires_us
+            FROM part""",
+        "sighting": f"""
+            SELECT event_id, user_id, 'S' || CAST(user_id % 4 AS STRING) AS school_id,
+                   CASE WHEN event_id % 5 = 0 THEN 'teacher' ELSE 'student' END AS role, event_id % 8 AS camera_id,
+                   ts, {d.us("ts")} AS us, CAST(user_id % 100 AS INT) AS x, CAST(event_id % 90 AS INT) AS y,
+                   CAST(50 + user_id % 30 AS INT) AS width, CAST(60 + user_id % 20 AS INT) AS height,
+                   {d.nudged.format("0.05 * (event_id % 8)", "event_id")} AS embedding
+            FROM events JOIN embeddings ON vec_id = user_id % 500""",
+        "track_update": f"""
+            SELECT event_id, user_id AS track_id, 'S' || CAST(user_id % 4 AS STRING) AS school_id, 'student' AS role,
+                   ts, {d.us("ts")} AS us,
+                   CAST(CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id * 10 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END
+                        END AS BIGINT) AS match_person,
+                   CAST(0.4 + (event_id * 7 % 61) * 0.01 AS DOUBLE) AS score
             FROM events""",
         "capture": """
             SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS capture_id,
@@ -161,9 +181,12 @@ class Views:
         if name not in _SPARK_VIEWS:
             raise AttributeError(name)
         text = _SPARK_VIEWS[name]
-        source = next(t for t in BASE_TABLES if re.search(rf"FROM {t}\b", text))
-        text = re.sub(rf"FROM {source}\b", "FROM {source}", text)
-        return self.spark.sql(text, source=getattr(self, source))
+        sources = {}
+        for base in BASE_TABLES:
+            text, found = re.subn(rf"(FROM|JOIN) {base}\b", rf"\1 {{{base}}}", text)
+            if found:
+                sources[base] = getattr(self, base)
+        return self.spark.sql(text, **sources)
 
 
 def with_views(names: str, body: str) -> str:
