@@ -26,8 +26,12 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, floor: float = NORM_FLOOR) -> Column:
-    norm = F.greatest(l2_norm(v), F.lit(floor))
-    return F.transform(as_doubles(v), lambda x: x / norm)
+    def scaled(u: Column) -> Column:
+        norm = F.greatest(l2_norm(u), F.lit(floor))
+        return F.transform(u, lambda x: x / norm)
+
+    # Inside transform the vector is a bound variable: it is computed once, however it was made.
+    return F.transform(F.array(as_doubles(v)), scaled)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

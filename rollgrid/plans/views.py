@@ -75,6 +75,18 @@ def _views(d: Dialect) -> dict[str, str]:
                        "substring('NRA', CAST(s_suppkey % 3 + 1 AS INT), 1) || '-O-' || CAST(s_suppkey % 5 + 1 AS STRING)")}
                        AS subjects
             FROM supplier""",
+        "staff": f"""
+            SELECT c_custkey AS id, CAST(n_regionkey AS BIGINT) AS organization_id, c_name AS name,
+                   CASE WHEN c_custkey % 10 <> 0 THEN CAST(0.5 + (c_custkey % 50) * 0.01 AS DOUBLE) END AS reliability_score,
+                   CAST(c_custkey % 6 AS INT) AS workload_score, {d.words.format(
+                       "c_mktsegment", "substring('1-URGENT2-HIGH  3-MEDIUM4-NOT SP5-LOW   ', CAST(c_custkey % 5 * 8 + 1 AS INT), 8)")}
+                       AS subjects
+            FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+        "staff_booking": f"""
+            SELECT o_orderkey AS id, o_custkey AS teacher_id, o_orderpriority AS subject,
+                   {d.dayname.format("o_orderdate")} AS day_of_week, CAST(480 + (o_orderkey * 7) % 480 AS INT) AS start_min,
+                   CAST(510 + (o_orderkey * 7) % 480 + o_orderkey % 31 AS INT) AS end_min
+            FROM orders""",
         "school_class": """
             SELECT p_partkey AS id, p_partkey % 25 AS branch_id, p_brand AS class_name, p_type AS section
             FROM part""",
