@@ -44,6 +44,10 @@ class Fold:
     def step(self, state: tuple | None, cols: dict[str, np.ndarray]) -> tuple[tuple | None, dict]:
         raise NotImplementedError
 
+    def forget_at(self, state: tuple) -> int | None:
+        """Time in microseconds from which ``state`` means the same as none; None for never."""
+        return None
+
 
 def struct_rows(column: pa.ListArray) -> list[dict]:
     """List-of-struct column as one dict of arrays per row; the arrays are views of flat columns."""

@@ -42,6 +42,9 @@ class RateLimit(Fold):
             seen, i = seen + j - i, j
         return (opened, seen), {"nth": nth, "allowed": nth <= self.limit}
 
+    def forget_at(self, state):
+        return state[0] + self.window
+
 
 class Lockout(Fold):
     """Counted attempts restart the timer; at the limit further ones are blocked and do not."""
@@ -65,6 +68,9 @@ class Lockout(Fold):
             blocked.append(stop)
         return (count, last), {"attempts": np.array(attempts, np.int32), "blocked": np.array(blocked, bool)}
 
+    def forget_at(self, state):
+        return state[1] + self.timeout
+
 
 class TtlDedup(Fold):
     """An event passes iff no *passed* event of its key lies less than ``ttl_s`` back."""
@@ -85,6 +91,9 @@ class TtlDedup(Fold):
             i += int(np.searchsorted(us[i:], last + self.ttl))
         return (last,), {"accepted": accepted}
 
+    def forget_at(self, state):
+        return state[0] + self.ttl
+
 
 def _cosines(vector: np.ndarray, block: np.ndarray) -> np.ndarray:
     norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", block, block)), NORM_FLOOR)
@@ -216,6 +225,53 @@ class Verification(Fold):
                 status.append("marked")
         return (marked, opened, tries), {"status": status}
 
+    def forget_at(self, state):
+        marked, opened, _ = state
+        ends = [t + span for t, span in ((marked, self.ttl), (opened, self.window)) if t is not None]
+        return max(ends)
+
+
+class FirstOnly(Fold):
+    """True for the first row of a key. ``period_s``: the key names a period of that length (a day)."""
+
+    inputs = ("us",)
+    output = "is_first BOOLEAN"
+
+    def __init__(self, period_s: int | None = None):
+        self.period = period_s and period_s * SECOND
+
+    def step(self, state, cols):
+        first = np.zeros(len(cols["us"]), bool)
+        first[:1] = state is None
+        return state or (int(cols["us"][0]),), {"is_first": first}
+
+    def forget_at(self, state):
+        return (state[0] // self.period + 1) * self.period if self.period else None
+
+
+class CameraCount(Fold):
+    """Distinct cameras among the rows of the last ``window_s`` seconds, this row included."""
+
+    inputs = ("us", "camera_id")
+    output = "n_cameras BIGINT"
+
+    def __init__(self, window_s: float):
+        self.window = int(window_s * SECOND)
+
+    def step(self, state, cols):
+        last = dict(state or ())
+        counts = []
+        for us, camera in zip(cols["us"].tolist(), cols["camera_id"].tolist()):
+            last.pop(camera, None)
+            last[camera] = us
+            while last and next(iter(last.values())) < us - self.window:
+                del last[next(iter(last))]
+            counts.append(len(last))
+        return tuple(last.items()), {"n_cameras": np.array(counts, np.int64)}
+
+    def forget_at(self, state):
+        return state[-1][1] + self.window + 1
+
 
 # Fixed values of the tracker.
 MAX_AGE, MIN_TRACK_SIMILARITY = 30, 0.35
@@ -308,3 +364,23 @@ class TrackFold(Fold):
                 next_number += 1
         live = [t for t in live if t.age <= self.max_age]
         return next_number, live, [t.row(t.number in seen) for t in live]
+
+
+class CameraFold(Fold):
+    """The live path of one camera: frames over the frame limit are ignored, the others are tracked."""
+
+    inputs = ("us", "detections")
+    output = TrackFold.output
+
+    def __init__(self, limit: int = CAMERA_LIMIT[0], window_s: float = CAMERA_LIMIT[1], **tracking):
+        self.rate, self.tracker = RateLimit(limit, window_s), TrackFold(**tracking)
+
+    def step(self, state, cols):
+        frames, tracks = state or (None, None)
+        frames, passed = self.rate.step(frames, {"us": cols["us"]})
+        chosen = np.flatnonzero(passed["allowed"])
+        tracks, out = self.tracker.step(tracks, {"detections": [cols["detections"][i] for i in chosen]})
+        rows = [[] for _ in cols["us"]]
+        for i, tick in zip(chosen, out["tracks"]):
+            rows[i] = tick
+        return (frames, tracks), {"tracks": rows}

@@ -27,5 +27,5 @@ def query(name: str, views: str = "", sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from rollgrid.plans import (  # noqa: F401
-        booking_queries, directory_queries, gallery_queries, presence_queries, substitution_queries,
+        booking_queries, directory_queries, gallery_queries, presence_queries, stream_queries, substitution_queries,
     )
