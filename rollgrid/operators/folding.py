@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollgrid.functions.vectors import matrix
-from rollgrid.session import reliable_folder
+from rollgrid.session import reliable_folder, task_count
 
 HOT_ROWS = 5_000_000
 CHUNK, ENTRY, EXIT = "_chunk", "_entry", "_exit"
@@ -151,7 +151,7 @@ def _with_entries(rows: DataFrame, entries: DataFrame | None, keys: list[str], o
     marked = rows.withColumn(ENTRY, F.lit(None).cast("binary"))
     if entries is not None:
         marked = marked.unionByName(entries, allowMissingColumns=True)
-    return marked.repartition(*keys).sortWithinPartitions(*keys, F.col(ENTRY).isNull(), *order)
+    return marked.repartition(task_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, F.col(ENTRY).isNull(), *order)
 
 
 def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
@@ -193,7 +193,7 @@ def ordered_fold(
         if hot.isEmpty():
             hot = None
     cold = df if hot is None else df.join(hot.select(*keys), keys, "left_anti")
-    ordered = cold.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = cold.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     result = _output_pass(ordered, keys, keep, fold, carry_in=False)
     if hot is None:
         return result

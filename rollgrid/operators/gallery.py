@@ -25,6 +25,7 @@ from rollgrid.functions.nearest import search_block
 from rollgrid.functions.vectors import cosine, l2_normalize, matrix
 from rollgrid.operators.directory import with_identity
 from rollgrid.operators.numbering import number_rows
+from rollgrid.session import task_count
 
 # Fixed values of the identity rules.
 MIN_IDENTITY = 0.55
@@ -120,7 +121,8 @@ def _search_tiled(probes: DataFrame, gallery: DataFrame, k: int, per_person: boo
         found = _search(some_probes, rows, k, per_person)
         return _hits(tenant, some_probes["query_id"].to_numpy(), found)
 
-    keys = [*TENANT, "pt", "gt"]
+    keys, tasks = [*TENANT, "pt", "gt"], task_count(probes.sparkSession)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, HIT)
 
 

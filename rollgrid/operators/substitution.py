@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rollgrid.functions.text_vectors import hash_vector
 from rollgrid.operators.bookings import DAY, conflict_flag
 from rollgrid.operators.gallery import knn_join
+from rollgrid.session import task_count
 
 # Fixed values of the planner.
 SIMILAR_K, TAKE, DEFAULT_RELIABILITY = 30, 6, 0.8
@@ -154,17 +155,16 @@ def _plans(periods: DataFrame, candidates: DataFrame, search, take: int) -> Data
     """One plan per absence. Periods without candidates stay in, so they can empty the plan.
 
     Absences are small and very many, so a task streams its sorted rows and searches absence after
-    absence. The number of tasks is fixed: the rows are few but each of them costs search time.
+    absence.
     """
     schema = T._parse_datatype_string(PLAN)
     arrow = to_arrow_schema(schema)
     open_rows = periods.select(*PERIOD, "start_min", "end_min")
     offered = candidates.select(*PERIOD, "teacher_id", "similarity", "reliability")
-    tasks = int(periods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*ABSENCE, "start_min", "end_min", "booking_id", "teacher_id"]
     rows = open_rows.join(offered, PERIOD, "left").select(
         *ABSENCE, "booking_id", "start_min", "end_min", "teacher_id", "similarity", "reliability"
-    ).repartition(tasks, *ABSENCE).sortWithinPartitions(*order)
+    ).repartition(task_count(periods.sparkSession), *ABSENCE).sortWithinPartitions(*order)
 
     def plan(batches):
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))

@@ -45,7 +45,7 @@ def s3_stream(v):
     SELECT event_id, branch_id, person_id, day FROM (
         SELECT *, CAST(floor(us / 86400000000.0) AS INT) AS day, row_number() OVER (
             PARTITION BY branch_id, person_id, floor(us / 86400000000.0) ORDER BY us, event_id) AS n FROM camera_match)
-    WHERE n = 1 AND """ + SETTLED.format(view="camera_match"))
+    WHERE n = 1 AND (day + 1) * 86400000000 <= (SELECT max(us) - 600000000 FROM camera_match)""")
 def s4_stream(v):
     seen = events(v).selectExpr("event_id", "user_id % 4 AS branch_id", "CAST(user_id AS STRING) AS person_id", "ts", "us")
     result = runner.run_and_read(stateful.once_per_day_stream(seen, ["branch_id", "person_id"]), "day")

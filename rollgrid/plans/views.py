@@ -157,7 +157,7 @@ def _views(d: Dialect) -> dict[str, str]:
                    ts, {d.us("ts")} AS us,
                    CAST(CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id * 10 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END
                         END AS BIGINT) AS match_person,
-                   CAST(0.4 + (event_id * 7 % 61) * 0.01 AS DOUBLE) AS score
+                   CAST(0.7 + 0.3 * sin(event_id) AS DOUBLE) AS score
             FROM events""",
         "capture": """
             SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS capture_id,

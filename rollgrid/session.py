@@ -49,6 +49,14 @@ def reliable_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for steps whose work is Python time, which Spark cannot see from the size of the rows.
+
+    Passing a number to ``repartition`` keeps adaptive execution from merging such tasks.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the reliable folder that nothing else uses."""
     return f"{reliable_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -152,7 +153,12 @@ def camera_count_stream(matches, keys, window_s):
     return fold_stream(matches, keys, folds.CameraCount(window_s))
 
 
-def once_per_day_stream(events: DataFrame, keys: list[str]) -> DataFrame:
-    """First event per key and day; the state of a day goes when the watermark leaves the day."""
-    dated = events.withColumn("day", day_of())
-    return fold_stream(dated, [*keys, "day"], folds.FirstOnly(86_400)).filter("is_first").drop("is_first")
+def once_per_day_stream(events: DataFrame, keys: list[str], time_col: str = "ts") -> DataFrame:
+    """First event per key and day, once the watermark has left the day.
+
+    A plain windowed aggregation, so it stays in the JVM whatever the number of keys, and its state
+    goes with the day. Where a mark must be taken at once, the attendance sink keeps it to one a day.
+    """
+    row = F.struct(*[c for c in events.columns if c not in ("us", "event_id")], "us", "event_id")
+    days = events.groupBy(*keys, F.window(time_col, "1 day")).agg(F.min_by(row, F.struct("us", "event_id")).alias("r"))
+    return days.select("r.*").withColumn("day", day_of())
