@@ -122,7 +122,8 @@ def _search_tiled(probes: DataFrame, gallery: DataFrame, k: int, per_person: boo
         return _hits(tenant, some_probes["query_id"].to_numpy(), found)
 
     keys, tasks = [*TENANT, "pt", "gt"], task_count(probes.sparkSession)
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    # Fresh column identities: probes often come from the gallery table itself.
+    left, right = (df.toDF(*df.columns).repartition(tasks, *keys) for df in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, HIT)
 
 

@@ -32,7 +32,7 @@ def number_rows(
     low, high = df.agg(F.min(place), F.max(place)).first()
     width = max(((high or 0.0) - (low or 0.0)) / blocks, 1e-300)
     block = F.least(F.floor((place - F.lit(low or 0.0)) / F.lit(width)), F.lit(blocks - 1))
-    blocked = df.withColumn("_block", F.coalesce(block, F.lit(-1)).cast("int"))
+    blocked = df.withColumn("_block", F.when(place.isNull(), -1).otherwise(block).cast("int"))
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -31,7 +31,7 @@ def _column(values: list, kind: T.DataType):
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, T.StructType):
             return [_struct_arrays(v, kind.elementType) for v in values]
-        return np.array([np.asarray(v, dtype=np.float64) for v in values]).reshape(len(values), -1)
+        return np.array([np.asarray(v, dtype=np.float64) for v in values]) if values else np.empty((0, 0))
     return np.array(values, dtype=object if isinstance(kind, T.StringType) else None)
 
 
