@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, mul
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the quality rules, in the order they are checked.
-EXTREME_BLUR, EXTREME_CONTRAST, EXTREME_RATIO = 10.0, 10.0, 0.02
-HARD_BLUR, HARD_BRIGHTNESS, HARD_RATIO = 40.0, 25.0, 0.05
-ENROL_BLUR, ENROL_RATIO = 60.0, 0.08
-WEIGHTS = {"blur": 0.45, "brightness": 0.30, "size": 0.25}
-POWERS = {"blur": 1.2, "brightness": 1.1}
-SOFT_BLUR, SOFT_BLUR_FACTOR = 70.0, 0.75
-SOFT_BRIGHTNESS, SOFT_BRIGHTNESS_FACTOR = 45.0, 0.8
-REASON_BRIGHTNESS, REASON_RATIO = 50.0, 0.1
+# Fixed values of the quality rules: (metric, lower limit, reason), in the order they are checked.
+BARRIERS = (
+    ("blur", 10.0, "extreme_blur"),
+    ("contrast", 10.0, "low_contrast"),
+    ("face_area_ratio", 0.02, "face_too_small_extreme"),
+    ("blur", 40.0, "too_blurry_hard"),
+    ("brightness", 25.0, "extreme_low_light"),
+    ("face_area_ratio", 0.05, "face_too_small_hard"),
+)
+ENROL_BARRIERS = (
+    ("blur", 60.0, "blur_not_allowed_enrollment"),
+    ("face_area_ratio", 0.08, "face_too_small_enrollment"),
+)
+WEAK_REASONS = (
+    ("blur", 70.0, "too_blurry"),
+    ("brightness", 50.0, "low_light"),
+    ("face_area_ratio", 0.1, "face_too_small"),
+)
+WEAK_OTHERWISE = "low_quality"
+# Fixed values of the score: metric → (weight, zero at, full after, power); penalty (metric, limit, factor).
+SCORE = {
+    "blur": (0.45, 50.0, 150.0, 1.2),
+    "brightness": (0.30, 50.0, 100.0, 1.1),
+    "face_area_ratio": (0.25, 0.05, 0.15, 1.0),
+}
+PENALTIES = (("blur", 70.0, 0.75), ("brightness", 45.0, 0.8))
 ACCEPT_ENROL, ACCEPT_ATTEND = 0.70, 0.52
 TIERS = {"High": 0.80, "Medium": 0.65, "Low": 0.50}
 
@@ -22,22 +42,6 @@ def _unit(value: Column, low: float, span: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value.cast("double") - low) / span))
 
 
-def _barriers(enrolment: bool) -> list[tuple[Column, str]]:
-    """Tests that stop a capture before it is scored, with their reason, in order."""
-    blur, bright, contrast, ratio = (F.col(c) for c in ("blur", "brightness", "contrast", "face_area_ratio"))
-    stops = [
-        (blur < EXTREME_BLUR, "extreme_blur"),
-        (contrast < EXTREME_CONTRAST, "low_contrast"),
-        (ratio < EXTREME_RATIO, "face_too_small_extreme"),
-        (blur < HARD_BLUR, "too_blurry_hard"),
-        (bright < HARD_BRIGHTNESS, "extreme_low_light"),
-        (ratio < HARD_RATIO, "face_too_small_hard"),
-    ]
-    if enrolment:
-        stops += [(blur < ENROL_BLUR, "blur_not_allowed_enrollment"), (ratio < ENROL_RATIO, "face_too_small_enrollment")]
-    return stops
-
-
 def _first(pairs: list[tuple[Column, str]], otherwise: Column) -> Column:
     result = otherwise
     for test, value in reversed(pairs):
@@ -45,29 +49,25 @@ def _first(pairs: list[tuple[Column, str]], otherwise: Column) -> Column:
     return result
 
 
+def _below(rules: tuple) -> list[tuple[Column, str]]:
+    return [(F.col(metric) < limit, reason) for metric, limit, reason in rules]
+
+
 def barrier_reason(enrolment: bool) -> Column:
-    return _first(_barriers(enrolment), F.lit(None).cast("string"))
+    """Reason that stops a capture before it is scored; NULL when nothing does."""
+    return _first(_below(BARRIERS + (ENROL_BARRIERS if enrolment else ())), F.lit(None).cast("string"))
 
 
 def quality_score() -> Column:
     """Weighted score of a capture that met no barrier."""
-    blur, bright, ratio = F.col("blur"), F.col("brightness"), F.col("face_area_ratio")
-    raw = (
-        WEIGHTS["blur"] * F.pow(_unit(blur, 50.0, 150.0), F.lit(POWERS["blur"]))
-        + WEIGHTS["brightness"] * F.pow(_unit(bright, 50.0, 100.0), F.lit(POWERS["brightness"]))
-        + WEIGHTS["size"] * _unit(ratio, 0.05, 0.15)
-    )
-    blur_factor = F.when(blur < SOFT_BLUR, SOFT_BLUR_FACTOR).otherwise(1.0)
-    light_factor = F.when(bright < SOFT_BRIGHTNESS, SOFT_BRIGHTNESS_FACTOR).otherwise(1.0)
-    return raw * blur_factor * light_factor
+    parts = [weight * F.pow(_unit(F.col(metric), low, span), F.lit(power))
+             for metric, (weight, low, span, power) in SCORE.items()]
+    factors = [F.when(F.col(metric) < limit, factor).otherwise(1.0) for metric, limit, factor in PENALTIES]
+    return reduce(mul, factors, reduce(add, parts))
 
 
 def weak_reason() -> Column:
-    return _first([
-        (F.col("blur") < SOFT_BLUR, "too_blurry"),
-        (F.col("brightness") < REASON_BRIGHTNESS, "low_light"),
-        (F.col("face_area_ratio") < REASON_RATIO, "face_too_small"),
-    ], F.lit("low_quality"))
+    return _first(_below(WEAK_REASONS), F.lit(WEAK_OTHERWISE))
 
 
 def tier(score: Column) -> Column:

@@ -7,7 +7,7 @@ periods of one teacher on one day, with at most 30 candidates each, are searched
 from __future__ import annotations
 
 import math
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 
 import pyarrow as pa
@@ -89,36 +89,42 @@ def rank_candidates(
 
 
 class Day:
-    """Periods of one absence in start order, each with its candidates.
+    """Periods of one absence in start order, each with its candidates, best first.
 
     ``rows`` are (booking_id, start, end, teacher_id or None, similarity, reliability) in that order.
     """
 
     def __init__(self, rows: list[tuple], take: int = TAKE):
         self.take = take
-        self.periods = [
-            (booking, start, end, [(t, s, r) for *_, t, s, r in some if t is not None])
-            for (booking, start, end), some in groupby(rows, itemgetter(0, 1, 2))
+        self.periods = []
+        for (booking, start, end), some in groupby(rows, itemgetter(0, 1, 2)):
+            people = [(s * r, t, s, r) for *_, t, s, r in some if t is not None]
+            self.periods.append((booking, start, end, sorted(people, key=lambda p: (-p[0], p[1]))))
+        self.clashes = [
+            [j for j in range(i) if start < self.periods[j][2] and end > self.periods[j][1]]
+            for i, (_, start, end, _) in enumerate(self.periods)
         ]
-        best = [max((s * r for _, s, r in people), default=0.0) for *_, people in self.periods]
+        best = [people[0][0] if people else 0.0 for *_, people in self.periods]
         self.at_most = [sum(best[i:]) for i in range(len(best) + 1)]
 
     def choices(self, i: int, plan: tuple) -> list[tuple]:
-        """(gain, teacher, similarity, reliability, count) of the best people free within ``plan``."""
-        _, start, end, people = self.periods[i]
-        counts, busy = {}, set()
-        for j, choice in enumerate(plan):
+        """(gain, teacher, similarity, reliability, count) of the best people free within ``plan``.
+
+        People are ranked by what they are worth with the periods they already have; the gain counts
+        the new one too. Up to one earlier period changes no rank, so the stored order usually holds.
+        """
+        busy = {plan[j][1] for j in self.clashes[i]}
+        counts = {}
+        for choice in plan:
             counts[choice[1]] = counts.get(choice[1], 0) + 1
-            if start < self.periods[j][2] and end > self.periods[j][1]:
-                busy.add(choice[1])
-        free = []
-        for teacher, similarity, reliability in people:
-            if teacher not in busy:
-                n = counts.get(teacher, 0)
-                standing = similarity * reliability / (1 + math.log(max(n, 1)))
-                free.append((-standing, teacher, similarity, reliability, n + 1))
-        free.sort()
-        return [(s * r / (1 + math.log(n)), t, s, r, n) for _, t, s, r, n in free[: self.take]]
+        people = (p for p in self.periods[i][3] if p[1] not in busy)
+        if any(n > 1 for n in counts.values()):
+            people = sorted(people, key=lambda p: (-p[0] / (1 + math.log(max(counts.get(p[1], 0), 1))), p[1]))
+        return [
+            (worth / (1 + math.log(n)), teacher, similarity, reliability, n)
+            for worth, teacher, similarity, reliability in islice(people, self.take)
+            for n in (counts.get(teacher, 0) + 1,)
+        ]
 
 
 def best_plan(day: Day, expansions: int = MAX_EXPANSIONS) -> tuple:
