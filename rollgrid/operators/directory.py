@@ -191,11 +191,9 @@ def flag_repeats(rows: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     The first row per key comes from an aggregation with partial minima, so a key that fills a
     third of the file is never gathered.
     """
-    first = rows.groupBy(*keys).agg(F.min(order_col).alias("_first"))
-    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(first[k]) for k in keys])
-    return rows.join(first, same).select(
-        *[rows[c] for c in rows.columns], (rows[order_col] > first["_first"]).alias("repeated")
-    )
+    first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order_col).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(first, same).select(*rows.columns, (F.col(order_col) > F.col("_first")).alias("repeated"))
 
 
 def backfill_images(

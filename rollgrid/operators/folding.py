@@ -49,6 +49,27 @@ class Fold:
         return None
 
 
+class Ragged:
+    """Output column of lists of structs: how many structs each row has, and all of them as tuples."""
+
+    def __init__(self, names: tuple[str, ...], counts: list[int], structs: list[tuple]):
+        self.names, self.counts, self.structs = names, counts, structs
+
+    def __iter__(self):
+        at = 0
+        for n in self.counts:
+            yield [dict(zip(self.names, s)) for s in self.structs[at : at + n]]
+            at += n
+
+    @staticmethod
+    def arrow(parts: list[Ragged], kind: pa.ListType) -> pa.Array:
+        structs = [s for p in parts for s in p.structs]
+        columns = zip(*structs) if structs else [[] for _ in kind.value_type]
+        values = [pa.array(c, type=f.type) for c, f in zip(columns, kind.value_type)]
+        ends = np.cumsum([0, *(n for p in parts for n in p.counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(values, fields=list(kind.value_type)), type=kind)
+
+
 def struct_rows(column: pa.ListArray) -> list[dict]:
     """List-of-struct column as one dict of arrays per row; the arrays are views of flat columns."""
     ends = column.offsets.to_numpy()
@@ -113,6 +134,8 @@ def _fold_batches(batches: Iterator[pa.RecordBatch], keys: list[str], fold: Fold
 
 def _join_pieces(pieces: list[dict], field: pa.Field) -> pa.Array:
     values = [p[field.name] for p in pieces]
+    if isinstance(values[0], Ragged):
+        return Ragged.arrow(values, field.type)
     if isinstance(values[0], np.ndarray):
         return pa.array(np.concatenate(values), type=field.type)
     return pa.array([v for part in values for v in part], type=field.type)

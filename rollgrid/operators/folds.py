@@ -10,7 +10,7 @@ import numpy as np
 
 from rollgrid.functions.assignment import assign
 from rollgrid.functions.vectors import NORM_FLOOR, cosine_block
-from rollgrid.operators.folding import Fold
+from rollgrid.operators.folding import Fold, Ragged
 
 SECOND = 1_000_000
 # Fixed values: (limit, window in seconds) of the known rate limits.
@@ -310,10 +310,12 @@ class Track:
         self.searched = self.vector
         self.identity.resolve(person, score)
 
-    def row(self, seen: bool) -> dict:
+    def row(self, seen: bool) -> tuple:
         who = self.identity
-        return {"track_id": self.number, **dict(zip(BOX, self.box)), "hits": who.hits, "age": self.age,
-                "seen": seen, "person": who.person, "confidence": who.confidence, "locked": who.locked}
+        return (self.number, *self.box, who.hits, self.age, seen, who.person, who.confidence, who.locked)
+
+
+TRACK_FIELDS = ("track_id", *BOX, "hits", "age", "seen", "person", "confidence", "locked")
 
 
 class TrackFold(Fold):
@@ -335,11 +337,12 @@ class TrackFold(Fold):
     def step(self, state, cols):
         next_number, stored = state or (0, ())
         live = [Track.restore(s) for s in stored]
-        ticks = []
+        counts, rows = [], []
         for found in cols["detections"]:
-            next_number, live, rows = self._tick(next_number, live, found)
-            ticks.append(rows)
-        return (next_number, tuple(t.state() for t in live)), {"tracks": ticks}
+            next_number, live, seen = self._tick(next_number, live, found)
+            counts.append(len(live))
+            rows.extend(t.row(t.number in seen) for t in live)
+        return (next_number, tuple(t.state() for t in live)), {"tracks": Ragged(TRACK_FIELDS, counts, rows)}
 
     def _tick(self, next_number, live, found):
         vectors = found["embedding"]
@@ -362,8 +365,7 @@ class TrackFold(Fold):
                 live.append(track)
                 seen.add(track.number)
                 next_number += 1
-        live = [t for t in live if t.age <= self.max_age]
-        return next_number, live, [t.row(t.number in seen) for t in live]
+        return next_number, [t for t in live if t.age <= self.max_age], seen
 
 
 class CameraFold(Fold):
@@ -380,7 +382,6 @@ class CameraFold(Fold):
         frames, passed = self.rate.step(frames, {"us": cols["us"]})
         chosen = np.flatnonzero(passed["allowed"])
         tracks, out = self.tracker.step(tracks, {"detections": [cols["detections"][i] for i in chosen]})
-        rows = [[] for _ in cols["us"]]
-        for i, tick in zip(chosen, out["tracks"]):
-            rows[i] = tick
-        return (frames, tracks), {"tracks": rows}
+        counts = np.zeros(len(cols["us"]), int)
+        counts[chosen] = out["tracks"].counts
+        return (frames, tracks), {"tracks": Ragged(TRACK_FIELDS, counts.tolist(), out["tracks"].structs)}

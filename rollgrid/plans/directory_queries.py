@@ -143,6 +143,12 @@ def f6_all(v):
     return directory.list_all(v.student.select("id", "name", "roll_no"))
 
 
+@query("f6_newest_images", "", "SELECT event_id AS embedding_id, user_id AS person_id FROM events ORDER BY ts DESC, event_id")
+def f6_images(v):
+    images = v.events.selectExpr("event_id AS embedding_id", "user_id AS person_id", "ts AS created_at")
+    return directory.newest_images(images).drop("created_at")
+
+
 @query("f7_find_org", "organization", "SELECT * FROM organization WHERE lower(trim(name)) = lower(trim('  euROPE '))")
 def f7(v):
     return directory.find_org(v.organization, "  euROPE ")
@@ -179,6 +185,14 @@ def j3(v):
     return directory.split_existing(v.student, stored, ["branch_id", "roll_no"]).select("id", "roll_no", "stored")
 
 
+@query("j3_flag_repeats", "timetable", """
+    SELECT id, teacher_id, day_of_week, start_min,
+           id > min(id) OVER (PARTITION BY teacher_id, day_of_week, start_min) AS repeated FROM timetable""")
+def j3_repeats(v):
+    rows = v.timetable.select("id", "teacher_id", "day_of_week", "start_min")
+    return directory.flag_repeats(rows, ["teacher_id", "day_of_week", "start_min"], "id")
+
+
 @query("j9_backfill_images", "student teacher branch", """
     WITH s AS (SELECT roll_no, arg_max(branch_id, id) AS b FROM student GROUP BY 1),
          t AS (SELECT employee_id, arg_max(branch_id, id) AS b FROM teacher GROUP BY 1),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from rollgrid.functions import vectors
 from rollgrid.operators import directory, gallery
 from rollgrid.plans.registry import query
+from rollgrid.session import fresh_path
+from rollgrid.sources import snapshots
 
 PAIRS = """
     live AS (SELECT school_id, role, id, person_id, name, roll_no, reliability, CAST(embedding AS DOUBLE[]) AS e
@@ -142,6 +144,17 @@ def v11(v):
     return gallery.verify_pairs(pairs).select("query_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("io4_io5_snapshot", "gallery", """
+    SELECT school_id, id, person_id, name, roll_no, role, round(CAST(CAST(embedding[1] AS FLOAT) AS DOUBLE), 4) AS first_part
+    FROM gallery WHERE NOT deleted""")
+def snapshot(v):
+    base = fresh_path(v.spark, "gallery")
+    snapshots.write_snapshot(v.gallery.withColumn("reliability", F.col("reliability").cast("float")), base, "1")
+    return snapshots.read_snapshot(v.spark, base).select(
+        "school_id", "id", "person_id", "name", "roll_no", "role",
+        F.round(F.col("embedding")[0].cast("double"), 4).alias("first_part"))
+
+
 @query("j11_with_identity", "gallery camera_match", """
     SELECT m.event_id, g.name AS match_name, g.roll_no AS match_roll_no, g.role AS match_role
     FROM camera_match m LEFT JOIN gallery g ON g.school_id = 'S' || CAST(m.branch_id AS STRING)

@@ -29,6 +29,11 @@ def settled(sql, view):
     return f"{head}SELECT {select} WHERE {SETTLED.format(view=view)}"
 
 
+@query("io6_read_events", "attempt", "SELECT event_id, key, us FROM attempt")
+def io6(v):
+    return runner.run_and_read(attempts(v), "events").select("event_id", "key", "us")
+
+
 @query("s1_rate_limit_stream", "attempt", settled(RATE_SQL, "attempt"))
 def s1_stream(v):
     stream = stateful.rate_limit_stream(attempts(v), ["key"], 2, 18 * HOUR)
