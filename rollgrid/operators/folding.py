@@ -9,7 +9,9 @@ chunks that run in parallel with guessed entry states; every chunk reports the s
 chunks whose true entry state (the exit of the chunk before) differs from the guess run again, and
 this repeats until nothing changes. The first chunk is right from the start and each round makes at
 least the next one right, so the end is the sequential result. Folds that forget their past - after
-a time-out or a fresh vector - settle after one or two rounds.
+a time-out or a fresh vector - settle after one or two rounds. Where the past reaches far (a time
+window that is always full) only the first wrong chunk of a key runs again per round: the work stays
+linear, but such a key takes as many rounds as it has chunks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from rollgrid.functions.vectors import matrix
 from rollgrid.session import reliable_folder, task_count
 
 HOT_ROWS = 5_000_000
-CHUNK, ENTRY, EXIT = "_chunk", "_entry", "_exit"
+FREE_ROUNDS = 3
+CHUNK, ENTRY, EXIT, USED = "_chunk", "_entry", "_exit", "_used"
 
 
 class Fold:
@@ -181,22 +184,23 @@ def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fo
     """True entry state per (keys, chunk); chunks that start from nothing are absent."""
     unit = [*keys, CHUNK]
     before = Window.partitionBy(*keys).orderBy(CHUNK)
-
-    def entries_of(exits: DataFrame) -> DataFrame:
-        return exits.select(*unit, F.lag(EXIT).over(before).alias(ENTRY)).filter(F.col(ENTRY).isNotNull())
-
-    exits = _exit_pass(_with_entries(rows, None, unit, order), unit, fold).checkpoint()
-    entries = changed = entries_of(exits).checkpoint()
-    while not changed.isEmpty():
-        again = rows.join(changed.select(*unit), unit, "left_semi")
-        redone = _exit_pass(_with_entries(again, changed, unit, order), unit, fold).withColumnRenamed(EXIT, "_new")
-        exits = exits.join(redone, unit, "left").select(*unit, F.coalesce("_new", EXIT).alias(EXIT)).checkpoint()
-        updated = entries_of(exits).checkpoint()
-        old = entries.withColumnRenamed(ENTRY, "_old")
-        changed = updated.join(old, unit, "left").filter(
-            ~F.col(ENTRY).eqNullSafe(F.col("_old"))).select(*unit, ENTRY).checkpoint()
-        entries = updated
-    return entries
+    nothing = F.lit(None).cast("binary")
+    done = _exit_pass(_with_entries(rows, None, unit, order), unit, fold).withColumn(USED, nothing).checkpoint()
+    rounds = 0
+    while True:
+        current = done.withColumn(ENTRY, F.lag(EXIT).over(before))
+        stale = current.filter(~F.col(ENTRY).eqNullSafe(F.col(USED)))
+        if rounds >= FREE_ROUNDS:  # long chains: only their first stale chunk, its entry is final
+            first = stale.groupBy(*keys).agg(F.min(CHUNK).alias(CHUNK))
+            stale = stale.join(first, unit, "left_semi")
+        redo = stale.select(*unit, ENTRY).checkpoint()
+        if redo.isEmpty():
+            return current.filter(F.col(ENTRY).isNotNull()).select(*unit, ENTRY)
+        again = rows.join(redo.select(*unit), unit, "left_semi")
+        redone = _exit_pass(_with_entries(again, redo, unit, order), unit, fold).withColumnRenamed(EXIT, "_new")
+        done = done.join(redo, unit, "left").join(redone, unit, "left").select(
+            *unit, F.coalesce("_new", EXIT).alias(EXIT), F.coalesce(ENTRY, USED).alias(USED)).checkpoint()
+        rounds += 1
 
 
 def ordered_fold(
