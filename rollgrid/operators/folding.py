@@ -9,8 +9,7 @@ chunks that run in parallel with guessed entry states; every chunk reports the s
 chunks whose true entry state (the exit of the chunk before) differs from the guess run again, and
 this repeats until nothing changes. The first chunk is right from the start and each round makes at
 least the next one right, so the end is the sequential result. Folds that forget their past - after
-a time-out or a fresh vector - settle after one or two rounds. Where the past reaches far (a time
-window that is always full) only the first wrong chunk of a key runs again per round: the work stays
+a time-out or a fresh vector - settle after one or two rounds. Where the past reaches far only the first wrong chunk of a key runs again per round: the work stays
 linear, but such a key takes as many rounds as it has chunks.
 """
 
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollgrid.functions.vectors import matrix
-from rollgrid.session import reliable_folder, task_count
+from rollgrid.session import reliable_folder, spread_by
 
 HOT_ROWS = 5_000_000
 FREE_ROUNDS = 3
@@ -177,7 +176,7 @@ def _with_entries(rows: DataFrame, entries: DataFrame | None, keys: list[str], o
     marked = rows.withColumn(ENTRY, F.lit(None).cast("binary"))
     if entries is not None:
         marked = marked.unionByName(entries, allowMissingColumns=True)
-    return marked.repartition(task_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, F.col(ENTRY).isNull(), *order)
+    return spread_by(marked, keys).sortWithinPartitions(*keys, F.col(ENTRY).isNull(), *order)
 
 
 def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
@@ -203,6 +202,17 @@ def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fo
         rounds += 1
 
 
+def hot_keys(df: DataFrame, keys: list[str], time_col: str, hot_rows: int | None) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, their count ``_n`` and time range ``_lo, _hi``; None if there are none."""
+    if hot_rows is None:
+        return None
+    reliable_folder(df.sparkSession)
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"))
+    hot = sizes.filter(F.col("_n") > hot_rows)
+    return None if hot.isEmpty() else hot
+
+
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], fold: Fold, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
@@ -211,16 +221,9 @@ def ordered_fold(
     ``hot_rows=None`` skips the search for hot keys.
     """
     keep = df.columns
-    hot = None
-    if hot_rows is not None:
-        reliable_folder(df.sparkSession)
-        sizes = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi"))
-        hot = sizes.filter(F.col("_n") > hot_rows)
-        if hot.isEmpty():
-            hot = None
+    hot = hot_keys(df, keys, order[0], hot_rows)
     cold = df if hot is None else df.join(hot.select(*keys), keys, "left_anti")
-    ordered = cold.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    ordered = spread_by(cold, keys).sortWithinPartitions(*keys, *order)
     result = _output_pass(ordered, keys, keep, fold, carry_in=False)
     if hot is None:
         return result

@@ -1,0 +1,87 @@
+"""Time windows that open at the first event after the last one closed, for keys too hot for one task.
+
+The next opening depends on the last, but only through one number: the time from which a window may
+open. Time is cut into blocks of one window length, so a block holds at most one opening, and a block
+maps "may open from r" to the next such time. These maps are composed in pairs, level by level, like
+a tournament: the rows halve with every level. Going back down, every block learns the r it is
+entered with. Both ways take as many rounds as the number of blocks has bits, all of them joins and
+windows over (key, block pair); no step depends on the length of the chain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rollgrid.operators.numbering import number_rows
+
+NODE, AT, NEXT = "_node", "_at", "_next"
+
+
+def _compose(level: DataFrame, keys: list[str]) -> DataFrame:
+    """Maps of block pairs. ``level``: (keys, node, event time, next time a window may open).
+
+    A left entry goes on to the first right entry at or after its next time. Whoever enters a pair
+    does so before the left block ends, so of the right block only the first entry can be met first.
+    """
+    pair = F.shiftright(NODE, 1)
+    right = (F.col(NODE) % 2) == 1
+    sided = level.select(*keys, pair.alias(NODE), right.alias("_right"), AT, NEXT)
+    placed = sided.withColumn("_when", F.when(F.col("_right"), F.col(AT)).otherwise(F.col(NEXT)))
+    upward = Window.partitionBy(*keys, NODE).orderBy(F.col("_when").desc(), F.col("_right").desc())
+    met = F.last(F.when(F.col("_right"), F.col(NEXT)), ignorenulls=True).over(
+        upward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = placed.withColumn("_met", met).filter("NOT _right").select(
+        *keys, NODE, AT, F.coalesce("_met", NEXT).alias(NEXT))
+    first = sided.filter("_right").groupBy(*keys, NODE).agg(F.min(F.struct(AT, NEXT)).alias("f")).select(
+        *keys, NODE, f"f.{AT}", f"f.{NEXT}")
+    return left.unionByName(first)
+
+
+def _enter_children(entered: DataFrame, level: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, r) one level down: the left child is entered as the pair was, the right one after it."""
+    left = entered.select(*keys, (F.col(NODE) * 2).alias(NODE), "r")
+    met = left.join(level, [*keys, NODE]).filter(F.col(AT) >= F.col("r")).groupBy(*keys, NODE).agg(
+        F.min(F.struct(AT, NEXT)).alias("f"))
+    after = left.join(met, [*keys, NODE], "left").select(
+        *keys, (F.col(NODE) + 1).alias(NODE), F.coalesce(f"f.{NEXT}", "r").alias("r"))
+    return left.unionByName(after)
+
+
+def window_openings(rows: DataFrame, keys: list[str], span: int, time_col: str = "us") -> DataFrame:
+    """(keys, opening): the time every window of ``span`` opens at."""
+    start = rows.groupBy(*keys).agg(F.min(time_col).alias("_lo"))
+    events = rows.select(*keys, F.col(time_col).alias(AT)).distinct()
+    block = F.floor((F.col(AT) - F.col("_lo")) / span)
+    levels = [events.join(start, keys).select(*keys, block.alias(NODE), AT, (F.col(AT) + span).alias(NEXT)).checkpoint()]
+    last = levels[0].agg(F.max(NODE)).first()[0]
+    for _ in range((last or 0).bit_length()):
+        levels.append(_compose(levels[-1], keys).checkpoint())
+    entered = start.select(*keys, F.lit(0).cast("bigint").alias(NODE), F.col("_lo").alias("r"))
+    for level in reversed(levels[:-1]):
+        entered = _enter_children(entered, level, keys).checkpoint()
+    return entered.join(levels[0], [*keys, NODE]).filter(F.col(AT) >= F.col("r")).groupBy(*keys, NODE).agg(
+        F.min(AT).alias("opening")).drop(NODE)
+
+
+def accept_openings(rows: DataFrame, keys: list[str], span: int, order: list[str]) -> DataFrame:
+    """Adds ``accepted``: the row opens a window (of rows at one time the first in ``order``)."""
+    time_col = order[0]
+    opened = window_openings(rows, keys, span, time_col).withColumnRenamed("opening", time_col)
+    firsts = rows.join(opened, [*keys, time_col]).groupBy(*keys, time_col).agg(F.min(F.struct(*order)).alias("_first"))
+    return rows.join(firsts, [*keys, time_col], "left").select(
+        *rows.columns, F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False)).alias("accepted"))
+
+
+def number_in_windows(rows: DataFrame, keys: list[str], span: int, order: list[str]) -> DataFrame:
+    """Adds ``nth``: the place of the row in its window."""
+    time_col = order[0]
+    opened = window_openings(rows, keys, span, time_col)
+    # A window's rows lie in at most two buckets of its length, so rows find it by equality.
+    bucket = F.floor(F.col(time_col) / span)
+    held = opened.select(*keys, "opening", F.explode(F.array(
+        F.floor(F.col("opening") / span), F.floor(F.col("opening") / span) + 1)).alias("_bucket"))
+    inside = (F.col(time_col) >= F.col("opening")) & (F.col(time_col) < F.col("opening") + span)
+    placed = rows.withColumn("_bucket", bucket).join(held, [*keys, "_bucket"]).filter(inside).select(
+        *rows.columns, "opening")
+    return number_rows(placed, [*keys, "opening"], order, "nth").drop("opening")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollgrid.operators import folds
-from rollgrid.operators.folding import HOT_ROWS, ordered_fold
+from rollgrid.operators.folding import HOT_ROWS, Fold, hot_keys, ordered_fold
+from rollgrid.operators.openings import accept_openings, number_in_windows
 from rollgrid.operators.spatial import geofence
 
 ORDER = ["us", "event_id"]
@@ -18,9 +19,24 @@ MARK_HITS, MARK_CONFIDENCE, MARK_FLOOR = 5, 0.75, 0.85
 QUORUM_WINDOW_S, QUORUM_RATIO = 10, 0.8
 
 
+def _windowed(events: DataFrame, keys: list[str], fold: Fold, hot_form, hot_rows) -> DataFrame:
+    """A fold over time windows; hot keys, whose windows are always full, go through ``hot_form``."""
+    hot = hot_keys(events, keys, ORDER[0], hot_rows)
+    if hot is None:
+        return ordered_fold(events, keys, ORDER, fold, None)
+    hot = hot.select(*keys).checkpoint()
+    cold = ordered_fold(events.join(hot, keys, "left_anti").select(events.columns), keys, ORDER, fold, None)
+    return cold.unionByName(hot_form(events.join(hot, keys, "left_semi").select(events.columns).checkpoint()))
+
+
 def rate_limit(events: DataFrame, keys: list[str], limit: int, window_s: float, hot_rows=HOT_ROWS) -> DataFrame:
     """Adds ``nth`` (place in the open window) and ``allowed``."""
-    return ordered_fold(events, keys, ORDER, folds.RateLimit(limit, window_s), hot_rows)
+    fold = folds.RateLimit(limit, window_s)
+
+    def hot(rows: DataFrame) -> DataFrame:
+        return number_in_windows(rows, keys, fold.window, ORDER).withColumn("allowed", F.col("nth") <= limit)
+
+    return _windowed(events, keys, fold, hot, hot_rows)
 
 
 def lockout(events: DataFrame, keys: list[str], limit: int = folds.LOGIN_LIMIT[0],
@@ -31,7 +47,8 @@ def lockout(events: DataFrame, keys: list[str], limit: int = folds.LOGIN_LIMIT[0
 
 def dedup_ttl(events: DataFrame, keys: list[str], ttl_s: float = folds.MARK_TTL_S, hot_rows=HOT_ROWS) -> DataFrame:
     """Adds ``accepted``."""
-    return ordered_fold(events, keys, ORDER, folds.TtlDedup(ttl_s), hot_rows)
+    fold = folds.TtlDedup(ttl_s)
+    return _windowed(events, keys, fold, lambda rows: accept_openings(rows, keys, fold.ttl, ORDER), hot_rows)
 
 
 def replay_guard(events: DataFrame, keys: list[str], threshold: float = folds.REPLAY_AT, hot_rows=HOT_ROWS) -> DataFrame:

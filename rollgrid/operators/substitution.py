@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rollgrid.functions.text_vectors import hash_vector
 from rollgrid.operators.bookings import DAY, conflict_flag
 from rollgrid.operators.gallery import knn_join
-from rollgrid.session import task_count
+from rollgrid.session import spread_by
 
 # Fixed values of the planner.
 SIMILAR_K, TAKE, DEFAULT_RELIABILITY = 30, 6, 0.8
@@ -169,8 +169,8 @@ def _plans(periods: DataFrame, candidates: DataFrame, search, take: int) -> Data
     offered = candidates.select(*PERIOD, "teacher_id", "similarity", "reliability")
     order = [*ABSENCE, "start_min", "end_min", "booking_id", "teacher_id"]
     rows = open_rows.join(offered, PERIOD, "left").select(
-        *ABSENCE, "booking_id", "start_min", "end_min", "teacher_id", "similarity", "reliability"
-    ).repartition(task_count(periods.sparkSession), *ABSENCE).sortWithinPartitions(*order)
+        *ABSENCE, "booking_id", "start_min", "end_min", "teacher_id", "similarity", "reliability")
+    rows = spread_by(rows, ABSENCE).sortWithinPartitions(*order)
 
     def plan(batches):
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))

@@ -33,7 +33,7 @@ def s1(v):
 
 @query("s1_rate_limit_hot_keys", "attempt", RATE_SQL)
 def s1_hot(v):
-    """Same result with keys above 20 rows cut into chunks: the way a hot key is handled."""
+    """Same result with keys above 20 rows handled as hot keys."""
     events = v.attempt.select("event_id", "key", "us")
     return presence.rate_limit(events, ["key"], 2, 18 * HOUR, hot_rows=20).select("event_id", "nth", "allowed")
 
@@ -62,6 +62,12 @@ def s3(v):
     return presence.dedup_ttl(events, ["key"], 6 * HOUR).select("event_id", "accepted")
 
 
+@query("s3_dedup_ttl_hot_keys", "attempt", TTL_SQL)
+def s3_hot(v):
+    events = v.attempt.select("event_id", "key", "us")
+    return presence.dedup_ttl(events, ["key"], 6 * HOUR, hot_rows=20).select("event_id", "accepted")
+
+
 @query("s4_once_per_day", "camera_match", """
     SELECT event_id, branch_id, person_id, CAST(floor(us / 86400000000.0) AS INT) AS day FROM (
         SELECT *, row_number() OVER (PARTITION BY branch_id, person_id, floor(us / 86400000000.0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
@@ -57,6 +58,16 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key together in one task, for a map over partitions that relies on it.
+
+    The hash of the keys, not the keys themselves: Spark drops a repartition its input already
+    satisfies, and adaptive execution may afterwards turn the join that satisfied it into a
+    broadcast join, which does not.
+    """
+    return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the reliable folder that nothing else uses."""
     return f"{reliable_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -146,6 +146,16 @@ def test_hot_keys_give_the_same_result(spark, name, dense):
     assert sorted(hot.select(columns).collect()) == sorted(plain.select(columns).collect())
 
 
+@pytest.mark.parametrize("dense, seconds", [(False, 30), (True, 1), (True, 700)])
+def test_openings_of_hot_keys(spark, dense, seconds):
+    rows = events(spark, 240 if dense else 600, dense=dense).drop("embedding")
+    same_time = rows.filter("event_id % 5 = 0").withColumn("event_id", F.col("event_id") + 10_000)
+    rows = rows.unionByName(same_time)
+    for run_it in (lambda hot: presence.dedup_ttl(rows, ["key"], seconds, hot), lambda hot: presence.rate_limit(rows, ["key"], 3, seconds, hot)):
+        plain = run_it(None)
+        assert sorted(run_it(60).select(plain.columns).collect()) == sorted(plain.collect())
+
+
 def test_null_outputs_keep_types(spark):
     rows = events(spark, 50)
     out = presence.dedup_ttl(rows, ["key"], 10)
