@@ -5,12 +5,10 @@ A result is final up to the watermark, ten minutes before the last event; the ch
 
 from pyspark.sql import functions as F
 
-from rollgrid.operators import presence
 from rollgrid.plans.presence_queries import HOUR, RATE_SQL, TTL_SQL
 from rollgrid.plans.registry import query
-from rollgrid.session import fresh_path
 from rollgrid.sources.events import read_events
-from rollgrid.streaming import camera, checkin, runner, stateful
+from rollgrid.streaming import camera, runner, stateful
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 SETTLED = "event_id IN (SELECT event_id FROM {view} WHERE us // 1000 <= (SELECT max(us) // 1000 - 600000 FROM {view}))"
