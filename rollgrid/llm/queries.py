@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.llm import mixing, quality, rows, secrets, sharding
+from rollgrid.llm import mixing, packing, quality, rows, secrets, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +187,18 @@ FROM measured m JOIN wide w ON m.lang IS NOT DISTINCT FROM w.lang AND m.source I
 @query("op8_adaptive_quality", _quality_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(rows.documents(spark, sf_dir))
+
+
+#: Longest sequence of both tokenizers' models.
+CONTEXT = 4096
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(rows.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), CONTEXT)
+
+
+@query("op6_pack_sequences")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        rows.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), closing_id=2, largest=CONTEXT)
