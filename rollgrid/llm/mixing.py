@@ -34,9 +34,12 @@ SEED = "mix"
 
 
 class Target(NamedTuple):
-    """``budget``: tokens to draw, as a multiple of the corpus. ``entropy``: share of the largest possible entropy."""
+    """``budget``: tokens to draw, as a multiple of the corpus, or None for the least that draws every document once.
 
-    budget: float = 1.0
+    ``entropy``: share of the largest possible entropy. ``repetition``: how often a source is run through at most.
+    """
+
+    budget: float | None = 1.0
     entropy: float | None = None
     repetition: float | None = None
 
@@ -52,17 +55,19 @@ def shares(sized: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(total)).withColumn("share", F.col("source_tokens") / F.col("all_tokens"))  # one row
 
 
-def spread_at(shared: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
-    """For each exponent: entropy of the weights, and the largest ratio of weight to share."""
+def spread_at(shared: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
+    """For each exponent: entropy of the weights, and the largest and smallest ratio of weight to share."""
     power = F.pow("share", "a")
     sums = shared.select("share", F.explode(F.lit(exponents)).alias("a")).groupBy("a").agg(
-        F.sum(power).alias("z"), F.sum(power * F.ln("share")).alias("l"), F.max(power / F.col("share")).alias("r"))
+        F.sum(power).alias("z"), F.sum(power * F.ln("share")).alias("l"), F.max(power / F.col("share")).alias("r"),
+        F.min(power / F.col("share")).alias("s"))
     at = {row["a"]: row for row in sums.collect()}  # one row per exponent
-    return [(math.log(at[a]["z"]) - a * at[a]["l"] / at[a]["z"], at[a]["r"] / at[a]["z"]) for a in exponents]
+    return [(math.log(at[a]["z"]) - a * at[a]["l"] / at[a]["z"], at[a]["r"] / at[a]["z"], at[a]["s"] / at[a]["z"])
+            for a in exponents]
 
 
 def _bisect(shared: DataFrame, enough) -> float:
-    """Where ``enough(entropy, ratio)``, false at small exponents and true at large ones, becomes true."""
+    """Where ``enough(entropy, most, least)``, false at small exponents and true at large ones, becomes true."""
     low, high = 0.0, 1.0
     for _ in range(ROUNDS):
         points = [low + (high - low) * k / (1 << HALVINGS) for k in range((1 << HALVINGS) + 1)]
@@ -81,9 +86,9 @@ def exponent(shared: DataFrame, target: Target) -> float:
         return 1.0
     found = 0.0
     if target.entropy is not None:
-        found = _bisect(shared, lambda entropy, ratio: entropy < target.entropy * math.log(sources))
+        found = _bisect(shared, lambda entropy, most, least: entropy < target.entropy * math.log(sources))
     if target.repetition is not None:
-        found = max(found, _bisect(shared, lambda entropy, ratio: ratio * target.budget <= target.repetition))
+        found = max(found, _bisect(shared, lambda entropy, most, least: most * (target.budget or 1 / least) <= target.repetition))
     return round(found, DIGITS)
 
 
@@ -93,11 +98,12 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
     sized = docs.withColumn("tokens", tokens())
     shared = rows.written(shares(sized), "mix-shares")
     a = exponent(shared, target)
+    budget = target.budget or (1 / spread_at(shared, [a])[0][2] if not shared.isEmpty() else 1.0)
     power = F.pow(F.col("share"), F.lit(a))
     total = shared.agg(F.sum(power).alias("all_power"))
     quotas = rows.written(shared.join(F.broadcast(total)).select(  # one row
         F.col("source").alias("of_source"), "source_tokens",
-        F.round(power / F.col("all_power") * F.col("all_tokens") * target.budget).cast("long").alias("quota"),
+        F.round(power / F.col("all_power") * F.col("all_tokens") * budget).cast("long").alias("quota"),
         F.greatest(F.floor(F.sqrt("documents")), F.lit(1)).cast("long").alias("blocks")), "mix-quotas")
     rank = hashed(SEED, rows.id_text(F.col("doc_id")), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string"))
     ranked = sized.withColumn("rank", rank).join(quotas, F.col("source").eqNullSafe(F.col("of_source"))).withColumn(

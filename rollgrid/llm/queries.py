@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.llm import mixing, packing, quality, rows, secrets, sharding, token_counts
+from rollgrid.llm import fingerprints, licenses, mixing, near_duplicates, packing, quality, rows, secrets, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         rows.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), closing_id=2, largest=CONTEXT)
+
+
+@query("op2_toxicity_cnn")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.assess(rows.documents(spark, sf_dir), rows.labels(spark, sf_dir), ["doc_id", "lang"])
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "rejected")
+
+
+@query("op9_license_blocks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(rows.documents(spark, sf_dir))
+
+
+@query("op10_spot_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(rows.documents(spark, sf_dir))
+
+
+@query("op7_minhash_hamming")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(rows.documents(spark, sf_dir), percent=85)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,3 +53,14 @@ def running_before(group: list[str], order: list[str], amount: str) -> Column:
     """Sum of ``amount`` over the earlier rows of the group."""
     over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(amount).over(over), F.lit(0))
+
+
+#: Columns of a documents table that operators know.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply(docs)`` with the columns of ``docs``, whatever their names: others than the known ones are set aside."""
+    aside = {c: f"other_column_{i}" for i, c in enumerate(docs.columns) if c not in KNOWN}
+    out = apply(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

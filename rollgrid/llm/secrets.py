@@ -112,7 +112,7 @@ def scan(docs: DataFrame, repo: list[str] = ["source", "lang"], owner: list[str]
     of_row = shown.select("row_hash", "value_hash").distinct().join(several, "value_hash").groupBy("row_hash").agg(
         F.collect_set(F.when(F.col("owners") >= example_owners, F.col("value_hash"))).alias("copied"),
         F.collect_set(F.when(F.col("owners") < example_owners, F.col("value_hash"))).alias("shared"))
-    out = found.join(of_row, "row_hash", "left").drop("row_hash")
+    out = found.join(rows.written(of_row, "secret-copies"), "row_hash", "left").drop("row_hash")
     few = F.array().cast("array<bigint>")
     copied_here, shared_here = F.coalesce("copied", few), F.coalesce("shared", few)
     marked = lambda s: F.struct(
