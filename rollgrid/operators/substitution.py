@@ -24,7 +24,7 @@ from rollgrid.session import spread_by
 # Fixed values of the planner.
 SIMILAR_K, TAKE, DEFAULT_RELIABILITY = 30, 6, 0.8
 VECTOR_DIM = 32
-MAX_EXPANSIONS, MAX_DEPTH, BEAM_WIDTH = 25_000, 64, 60
+BEAM_WIDTH = 60
 
 ABSENCE = ["organization_id", "absent_id", "date"]
 PERIOD = [*ABSENCE, "booking_id"]
@@ -50,6 +50,7 @@ def subject_similarity(subjects: DataFrame, teachers: DataFrame, k: int = SIMILA
         school, F.lit("teacher").alias("role"), F.xxhash64("teacher_id", "subject").alias("id"),
         F.col("teacher_id").alias("person_id"), F.lit(False).alias("deleted"), "embedding")
     near = knn_join(probes, gallery, k, per_person=True)
+    # A hash may stand for two subjects: scores of such a hash are kept only for the organization they belong to.
     return near.join(wanted.withColumn("query_id", code), "query_id").select(
         "organization_id", "subject", F.col("person_id").alias("teacher_id"), F.col("score").alias("similarity"))
 
@@ -104,8 +105,28 @@ class Day:
             [j for j in range(i) if start < self.periods[j][2] and end > self.periods[j][1]]
             for i, (_, start, end, _) in enumerate(self.periods)
         ]
-        best = [people[0][0] if people else 0.0 for *_, people in self.periods]
-        self.at_most = [sum(best[i:]) for i in range(len(best) + 1)]
+
+    def parts(self) -> list[list[int]]:
+        """Periods that share a candidate, directly or over others. Plans of different parts do not touch."""
+        owner: dict[int, set[int]] = {}
+        for i, (*_, people) in enumerate(self.periods):
+            joined = {i}
+            for group in {id(g): g for g in (owner.get(p[1]) for p in people) if g is not None}.values():
+                joined |= group
+            for j in joined:
+                for p in self.periods[j][3]:
+                    owner[p[1]] = joined
+        alone = [{i} for i, (*_, people) in enumerate(self.periods) if not people]
+        found = {id(g): g for g in [*owner.values(), *alone]}
+        return sorted(sorted(g) for g in found.values())
+
+    def only(self, members: list[int]) -> Day:
+        """The day with some of its periods."""
+        part = Day([], self.take)
+        part.periods = [self.periods[i] for i in members]
+        at = {i: k for k, i in enumerate(members)}
+        part.clashes = [[at[j] for j in self.clashes[i] if j in at] for i in members]
+        return part
 
     def choices(self, i: int, plan: tuple) -> list[tuple]:
         """(gain, teacher, similarity, reliability, count) of the best people free within ``plan``.
@@ -114,9 +135,7 @@ class Day:
         the new one too. Up to one earlier period changes no rank, so the stored order usually holds.
         """
         busy = {plan[j][1] for j in self.clashes[i]}
-        counts = {}
-        for choice in plan:
-            counts[choice[1]] = counts.get(choice[1], 0) + 1
+        counts = counted(plan)
         people = (p for p in self.periods[i][3] if p[1] not in busy)
         if any(n > 1 for n in counts.values()):
             people = sorted(people, key=lambda p: (-p[0] / (1 + math.log(max(counts.get(p[1], 0), 1))), p[1]))
@@ -126,24 +145,70 @@ class Day:
             for n in (counts.get(teacher, 0) + 1,)
         ]
 
+    def outlook(self, plan: tuple) -> tuple | None:
+        """(what matters later, most that later periods can add); None when one of them has nobody left.
 
-def best_plan(day: Day, expansions: int = MAX_EXPANSIONS) -> tuple:
-    """Depth-first search for the plan with the largest total gain; () when no plan fills every period.
-
-    A branch ends when even the best candidates for all open periods could not beat the best plan.
+        What matters later are the counts of people who can still be chosen, and who is busy when.
+        """
+        counts, ahead, most = counted(plan), set(), 0.0
+        taken = []
+        for k in range(len(plan), len(self.periods)):
+            busy = {plan[j][1] for j in self.clashes[k] if j < len(plan)}
+            best, hit = None, []
+            for worth, teacher, *_ in self.periods[k][3]:
+                if teacher in busy:
+                    hit.append(teacher)
+                    continue
+                ahead.add(teacher)
+                gain = worth / (1 + math.log(counts.get(teacher, 0) + 1))
+                best = gain if best is None or gain > best else best
+            if best is None:
+                return None
+            most += best
+            if hit:
+                taken.append((k, tuple(hit)))
+        return (tuple(sorted((t, n) for t, n in counts.items() if t in ahead)), tuple(taken)), most
+
+
+def counted(plan: tuple) -> dict[int, int]:
+    counts: dict[int, int] = {}
+    for choice in plan:
+        counts[choice[1]] = counts.get(choice[1], 0) + 1
+    return counts
+
+
+def _best_part(day: Day) -> tuple:
+    """Best plan of a day, period by period.
+
+    Of partial plans that leave the same future only the best goes on. One that leaves a later period
+    without anybody ends at once, and so does one that cannot reach the plan of the beam any more.
     """
-    best, best_gain, left = (), -1.0, expansions
-    stack = [((), 0.0)]
-    while stack and left:
-        plan, gain = stack.pop()
-        left -= 1
-        if len(plan) == len(day.periods):
-            if gain > best_gain:
-                best, best_gain = plan, gain
-        elif gain + day.at_most[len(plan)] > best_gain:
-            for choice in reversed(day.choices(len(plan), plan)):
-                stack.append(((*plan, choice), gain + choice[0]))
-    return best
+    known = sum(c[0] for c in beam_plan(day))
+    states = {None: (0.0, ())}
+    for i in range(len(day.periods)):
+        grown: dict = {}
+        for gain, plan in states.values():
+            for choice in day.choices(i, plan):
+                longer, total = (*plan, choice), gain + choice[0]
+                outlook = day.outlook(longer)
+                if outlook is None or total + outlook[1] < known - 1e-9:
+                    continue
+                if outlook[0] not in grown or total > grown[outlook[0]][0]:
+                    grown[outlook[0]] = (total, longer)
+        states = grown
+    return max(states.values(), key=itemgetter(0), default=(0.0, ()))[1]
+
+
+def best_plan(day: Day) -> tuple:
+    """The plan with the largest total gain; () when no plan fills every period. Exact, without limits."""
+    plan: list = [None] * len(day.periods)
+    for members in day.parts():
+        part = _best_part(day.only(members))
+        if len(part) < len(members):
+            return ()
+        for i, choice in zip(members, part):
+            plan[i] = choice
+    return tuple(plan)
 
 
 def beam_plan(day: Day, width: int = BEAM_WIDTH) -> tuple:
@@ -188,24 +253,16 @@ def _plans(periods: DataFrame, candidates: DataFrame, search, take: int) -> Data
     return rows.mapInArrow(plan, schema)
 
 
-def assign_optimal(
-    periods: DataFrame, candidates: DataFrame, expansions: int = MAX_EXPANSIONS, take: int = TAKE
-) -> DataFrame:
-    """Best plan per absence (``workload`` counts a substitute's periods so far).
+def assign_optimal(periods: DataFrame, candidates: DataFrame, take: int = TAKE) -> DataFrame:
+    """Best plan per absence over all its periods (``workload`` counts a substitute's periods so far)."""
+    return _plans(periods, candidates, best_plan, take)
 
-    The search looks ``MAX_DEPTH`` periods deep: later periods of a day are not planned.
-    """
-    early = Window.partitionBy(*ABSENCE).orderBy("start_min", "end_min", "booking_id")
-    reached = periods.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= MAX_DEPTH).drop("_n")
-    return _plans(reached, candidates, lambda day: best_plan(day, expansions), take)
-
-
-def assign_beam(periods: DataFrame, candidates: DataFrame, width: int = BEAM_WIDTH, take: int = TAKE) -> DataFrame:
-    """As ``assign_optimal`` with a beam search over all periods of the day.
 
-    Bookings of a teacher do not overlap, so a day has at most 1440 of them.
-    """
-    return _plans(periods, candidates, lambda day: beam_plan(day, width), take)
+def assign_beam(
+    periods: DataFrame, candidates: DataFrame, width: int = BEAM_WIDTH, take: int = TAKE, complete: bool = False,
+) -> DataFrame:
+    """As ``assign_optimal`` with a beam search. ``complete``: where the beam loses every plan, search exactly."""
+    return _plans(periods, candidates, lambda day: beam_plan(day, width) or (best_plan(day) if complete else ()), take)
 
 
 def open_periods(absences: DataFrame, bookings: DataFrame) -> DataFrame:
@@ -225,6 +282,6 @@ def plan_substitutions(
     if similarity is None:
         similarity = subject_similarity(periods, teachers)
     candidates = free_candidates(periods, teachers, similarity, bookings if exclude_booked else None)
-    plans = assign_beam(periods, candidates) if beam else assign_optimal(periods, candidates)
+    plans = assign_beam(periods, candidates, complete=True) if beam else assign_optimal(periods, candidates)
     names = teachers.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name"))
     return plans.join(names, "teacher_id")
