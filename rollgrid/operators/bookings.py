@@ -4,6 +4,9 @@ Times are minutes since midnight. That makes the time axis of one (key, day) at
 long, however many bookings fall on it: every job below first counts booking edges per minute
 (with partial sums before the shuffle) and only then looks along the axis. No pair of bookings is
 ever built, so a teacher with a third of all bookings costs no more than any other.
+
+Two bookings overlap if each starts before the other ends. That also holds for stored bookings that do
+not start before they end; these odd ones are counted per (key, start, end) and compared on their own.
 """
 
 from __future__ import annotations
@@ -42,16 +45,44 @@ def busy_blocks(bookings: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(block)).alias("busy"))
 
 
+def odd_blocks(bookings: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys the different bookings that do not start before they end, with their number: ``odd``."""
+    cells = bookings.filter("start_min >= end_min").groupBy(*keys, "start_min", "end_min").agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(*keys).agg(F.collect_list(F.struct("start_min", "end_min", "n")).alias("odd"))
+
+
+def _meets(block: Column, start: Column, end: Column) -> Column:
+    return (start < block["end_min"]) & (end > block["start_min"])
+
+
 def overlaps_any(busy: Column, start: Column, end: Column) -> Column:
     hit = F.exists(busy, lambda b: (start < b["to_min"]) & (end > b["from_min"]))
     return F.coalesce(hit, F.lit(False))
 
 
-def conflict_flag(rows: DataFrame, booked: DataFrame, keys: list[str], as_col: str) -> DataFrame:
-    """Adds ``as_col``: does a stored booking with the same keys overlap? Touching is no overlap."""
-    busy = busy_blocks(booked, keys)
-    flag = overlaps_any(F.col("busy"), F.col("start_min"), F.col("end_min")).alias(as_col)
-    return rows.join(busy, keys, "left").select(*rows.columns, flag)
+def conflict_flag(
+    rows: DataFrame, booked: DataFrame, keys: list[str], as_col: str, odd_rows: bool = True,
+) -> DataFrame:
+    """Adds ``as_col``: does a stored booking with the same keys overlap? Touching is no overlap.
+
+    Rows that do not start before they end are compared with single bookings, since merged busy time could hide a gap;
+    ``odd_rows=False`` leaves that out where such rows are judged otherwise.
+    """
+    start, end = F.col("start_min"), F.col("end_min")
+    odd = F.coalesce(F.exists("odd", lambda b: _meets(b, start, end)), F.lit(False))
+    flag = (overlaps_any(F.col("busy"), start, end) | odd).alias(as_col)
+    plain = rows.filter("coalesce(start_min < end_min, true)") if odd_rows else rows
+    plain = plain.join(busy_blocks(booked, keys), keys, "left").join(odd_blocks(booked, keys), keys, "left").select(
+        *rows.columns, flag)
+    if not odd_rows:
+        return plain
+    strange = rows.filter("start_min >= end_min")
+    cells = booked.select(*keys, F.col("start_min").alias("_s"), F.col("end_min").alias("_e")).distinct()
+    met = strange.select(*keys, "start_min", "end_min").distinct().join(cells, keys).filter(
+        (start < F.col("_e")) & (end > F.col("_s"))).select(*keys, "start_min", "end_min").distinct()
+    hit = F.coalesce(F.col("_met"), F.lit(False)).alias(as_col)
+    return plain.unionByName(strange.join(
+        met.withColumn("_met", F.lit(True)), [*keys, "start_min", "end_min"], "left").select(*rows.columns, hit))
 
 
 def conflicts(new: DataFrame, booked: DataFrame, key: str, day: str = DAY) -> DataFrame:
@@ -80,10 +111,20 @@ def self_conflicts(bookings: DataFrame, key: str, day: str = DAY) -> DataFrame:
     at_start = sums.select(*keys, F.col("minute").alias("start_min"), "_closed_by")
     at_end = sums.select(*keys, F.col("minute").alias("end_min"), "_opened_before")
     counted = bookings.filter("start_min < end_min").join(at_start, [*keys, "start_min"]).join(
-        at_end, [*keys, "end_min"])
-    return counted.select(
-        *bookings.columns, (F.col("_opened_before") - F.col("_closed_by") - 1).alias("n_conflicts")
-    ).filter("n_conflicts > 0")
+        at_end, [*keys, "end_min"]).select(*bookings.columns, (F.col("_opened_before") - F.col("_closed_by") - 1).alias("_n"))
+    # An odd booking meets proper ones and other odd ones; it never meets itself.
+    odd = bookings.filter("start_min >= end_min")
+    spans = odd.select(*keys, "start_min", "end_min").distinct()
+    cells = bookings.filter("start_min < end_min").groupBy(
+        *keys, F.col("start_min").alias("_s"), F.col("end_min").alias("_e")).agg(F.count(F.lit(1)).alias("_times"))
+    met = spans.join(cells, keys).filter((F.col("start_min") < F.col("_e")) & (F.col("end_min") > F.col("_s"))).groupBy(
+        *keys, "start_min", "end_min").agg(F.sum("_times").alias("_n"))
+    every = counted.unionByName(odd.join(met, [*keys, "start_min", "end_min"], "left").select(
+        *bookings.columns, F.coalesce("_n", F.lit(0)).alias("_n")))
+    more = F.aggregate(
+        F.filter("odd", lambda b: _meets(b, F.col("start_min"), F.col("end_min"))), F.lit(0).cast("long"), lambda n, b: n + b["n"])
+    return every.join(odd_blocks(bookings, keys), keys, "left").select(
+        *bookings.columns, (F.col("_n") + F.coalesce(more, F.lit(0))).alias("n_conflicts")).filter("n_conflicts > 0")
 
 
 def earlier_overlap(rows: DataFrame, keys: list[str], order_col: str, as_col: str, where: Column) -> DataFrame:
@@ -106,6 +147,6 @@ def absent_periods(absences: DataFrame, timetable: DataFrame, classes: DataFrame
     days = absences.withColumn(DAY, F.date_format("date", "EEEE"))
     names = classes.select(F.col("id").alias("school_class_id"), "class_name", "section")
     return days.join(timetable, ["teacher_id", DAY]).join(names, "school_class_id").select(
-        "teacher_id", "date", F.col("id").alias("booking_id"), DAY, "class_name", "section", "subject",
+        "teacher_id", "date", F.col("id").alias("booking_id"), DAY, "school_class_id", "class_name", "section", "subject",
         "start_min", "end_min",
     )

@@ -10,9 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollgrid.functions.clock import stripped
 from rollgrid.operators.numbering import number_rows
 
+# What a filter sends when nothing is chosen.
 IGNORED_BRANCH = ("", "undefined", "null")
+IGNORED_TEXT = ("", "undefined")
 DIRECTORY_PAGE = 10
 TIMETABLE_PAGE = 50
 TIMETABLE_PAGE_MAX = 200
@@ -30,7 +33,9 @@ def lookup(df: DataFrame, branches: DataFrame, org_id: int, row_id) -> DataFrame
 
 
 def _starts_with(column: str, text: str | None) -> Column | None:
-    return F.lower(column).startswith(F.lower(F.lit(text))) if text else None
+    if text is None or text.strip() in IGNORED_TEXT:
+        return None
+    return F.lower(column).startswith(F.lower(F.lit(text)))
 
 
 def _branch_number(branch) -> int | None:
@@ -90,12 +95,13 @@ def page(
     """One page of a total order.
 
     ``clamp=True`` reads anything that is no number as page 1 and any page out of range, on either
-    side, as the last one; it adds ``total`` and ``total_pages``. ``clamp=False`` slices as asked, with at most ``max_size`` rows.
-    Early pages are a top-n; a page starting beyond ``deep_from`` is cut by row number, so no
-    task has to hold every row before it.
+    side, as the last one; it adds ``page``, ``total`` and ``total_pages``. ``clamp=False`` slices as asked, with at most
+    ``max_size`` rows, and adds ``total``. Order columns may have any type and direction. Early pages are a top-n; a
+    page starting beyond ``deep_from`` is cut by row number with the same result, so no task has to hold every row
+    before it.
     """
+    total = df.count()
     if clamp:
-        total = df.count()
         pages = max(1, -(-total // size))
         text = str(number).strip()
         wanted = int(text) if text.removeprefix("-").isdecimal() else 1
@@ -110,11 +116,8 @@ def page(
         rows = number_rows(df, [], order_by, "_row").filter(
             (F.col("_row") > start) & (F.col("_row") <= start + count)
         ).drop("_row").orderBy(*order_by)
-    if clamp:
-        rows = rows.withColumns({
-            "page": F.lit(wanted), "total": F.lit(total).cast("bigint"), "total_pages": F.lit(pages),
-        })
-    return rows
+    rows = rows.withColumn("total", F.lit(total).cast("bigint"))
+    return rows.withColumns({"page": F.lit(wanted), "total_pages": F.lit(pages)}) if clamp else rows
 
 
 def list_branches(branches: DataFrame, organizations: DataFrame, org_id: int) -> DataFrame:
@@ -132,7 +135,7 @@ def newest_images(images: DataFrame) -> DataFrame:
 
 
 def find_org(organizations: DataFrame, name: str) -> DataFrame:
-    return organizations.filter(F.lower(F.trim("name")) == F.lower(F.trim(F.lit(name))))
+    return organizations.filter(F.lower(stripped("name")) == F.lower(F.lit(name.strip())))
 
 
 def enrich_people(people: DataFrame, branches: DataFrame, departments: DataFrame) -> DataFrame:
@@ -157,7 +160,7 @@ def enrich_timetable(
 
 def dictionary(entries: DataFrame, on: list[str], id_col: str = "id") -> DataFrame:
     """One id per trimmed key, the highest where a key occurs twice."""
-    keys = [F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in entries.dtypes if c in on]
+    keys = [stripped(c).alias(c) if t == "string" else F.col(c) for c, t in entries.dtypes if c in on]
     return entries.groupBy(*keys).agg(F.max(id_col).alias("_found"))
 
 
@@ -172,7 +175,7 @@ def resolve(
     row_types, names = dict(rows.dtypes), list(on.items())
     test = reduce(
         lambda a, b: a & b,
-        [(F.trim(rows[r]) if row_types[r] == "string" else rows[r]) == found[d] for r, d in names],
+        [(stripped(rows[r]) if row_types[r] == "string" else rows[r]) == found[d] for r, d in names],
     )
     return rows.join(found, test, "left").select(*[rows[c] for c in rows.columns], found["_found"].alias(id_as))
 

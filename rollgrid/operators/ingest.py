@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollgrid import schemas
-from rollgrid.functions.clock import clock_is_bad, clock_minutes, is_blank
+from rollgrid.functions.clock import clock_is_bad, clock_minutes, is_blank, stripped
 from rollgrid.operators.bookings import DAY, WEEK, conflict_flag, earlier_overlap
 from rollgrid.operators.directory import resolve, split_existing
 
@@ -27,7 +27,7 @@ def require_columns(rows: DataFrame, names: tuple[str, ...]) -> None:
 
 
 def _trimmed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return rows.withColumns({n: F.trim(n) if n in rows.columns else F.lit(None).cast("string") for n in names})
+    return rows.withColumns({n: stripped(n) if n in rows.columns else F.lit(None).cast("string") for n in names})
 
 
 def _first_rule(rules: list[tuple[Column, str, Column]]) -> tuple[Column, Column]:
@@ -102,8 +102,8 @@ def import_timetable(
     known = resolve(known, teachers, {"teacher_employee_id": "employee_id"}, "teacher_id")
     on_class = {"branch_id": "branch_id", "class_name": "class_name", "section": "section"}
     known = resolve(known, classes, on_class, "school_class_id")
-    known = conflict_flag(known, bookings, ["teacher_id", DAY], "_teacher_busy")
-    known = conflict_flag(known, bookings, ["school_class_id", DAY], "_class_busy")
+    known = conflict_flag(known, bookings, ["teacher_id", DAY], "_teacher_busy", odd_rows=False)
+    known = conflict_flag(known, bookings, ["school_class_id", DAY], "_class_busy", odd_rows=False)
 
     nothing = F.lit(None).cast("string")
     rules = [

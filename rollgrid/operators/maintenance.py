@@ -30,15 +30,48 @@ def cascade_delete(
     return result
 
 
-def apply_updates(table: DataFrame, patches: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+def cascade_tree(
+    tables: dict[str, DataFrame], parent: str, keys: DataFrame, cascade: list[tuple[str, str, str]],
+    set_null: list[tuple[str, str, str]] = (),
+) -> dict[str, DataFrame]:
+    """Tables after deleting ``parent`` rows and everything below them, over any number of levels.
+
+    Rules are (parent table, child table, foreign-key column); child tables that are parents themselves have ``id``.
+    List a table's cascade rules after those of its own parents. A row goes if any of its parents goes.
+    """
+    gone = {parent: keys.select("id").distinct()}
+    for above, child, column in cascade:
+        if above not in gone:
+            continue
+        lost = tables[child].join(gone[above].withColumnRenamed("id", "_gone"), F.col(column) == F.col("_gone"), "left_semi").select("id")
+        gone[child] = gone[child].union(lost).distinct() if child in gone else lost.distinct()
+    result = dict(tables)
+    for name, ids in gone.items():
+        result[name] = tables[name].join(ids.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left_anti")
+    for above, child, column in set_null:
+        if above in gone:
+            rows = result[child]
+            ids = gone[above].withColumnRenamed("id", "_gone")
+            kept = F.when(F.col("_gone").isNull(), F.col(column)).alias(column)
+            result[child] = rows.join(ids, F.col(column) == F.col("_gone"), "left").select(
+                *[kept if c == column else F.col(c) for c in rows.columns])
+    return result
+
+
+def apply_updates(
+    table: DataFrame, patches: DataFrame, key: list[str], fields: list[str], order: str | None = None,
+) -> DataFrame:
     """Patched fields replace, absent fields stay.
 
     ``patches`` has the key columns, the fields, and for every field a boolean ``has_<field>``:
-    with it a patch can set NULL on purpose. Put the tenant column into ``key`` to scope a patch.
+    with it a patch can set NULL on purpose. Put the tenant column into ``key`` to scope a patch. Of several patches
+    for one key and field the last by ``order`` wins, the larger value where the order ties or is not given.
     """
-    side = patches.select(
-        *key, *[F.col(f).alias(f"_new_{f}") for f in fields], *[F.col(f"has_{f}").alias(f"_has_{f}") for f in fields]
-    )
+    rank = F.col(order) if order else F.lit(0)
+    last = lambda f: F.max(F.when(F.col(f"has_{f}"), F.struct(rank.alias("at"), F.col(f).alias("value"))))
+    side = patches.groupBy(*key).agg(*[last(f).alias(f"_{f}") for f in fields]).select(
+        *key, *[F.col(f"_{f}.value").alias(f"_new_{f}") for f in fields],
+        *[F.col(f"_{f}").isNotNull().alias(f"_has_{f}") for f in fields])
     joined = table.join(side, key, "left")
     return joined.select(*[
         F.when(F.coalesce(f"_has_{c}", F.lit(False)), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)

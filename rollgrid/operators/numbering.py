@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_BLOCKS = 4096
+from rollgrid import session
 
 
-def number_rows(
-    df: DataFrame, keys: list[str], order_by: list[str], as_col: str, blocks: int = TARGET_BLOCKS
-) -> DataFrame:
-    """Adds ``as_col`` = 1, 2, … per key in the given order.
+def number_rows(df: DataFrame, keys: list[str], order_by: list[str | Column], as_col: str, parts: int | None = None) -> DataFrame:
+    """Adds ``as_col`` = 1, 2, … per key in the given order (columns of any type, rising, or falling as ``F.desc``).
 
-    ``row_number`` over a key that owns a third of all rows is one task. Here the range of the
-    first order column is cut into blocks; rows are counted per (key, block), the counts are
-    summed up over the blocks, and rows are numbered inside their block only. Every step is a
-    function of the data, so a task that is run again gives the same numbers.
+    ``row_number`` over a key that owns a third of all rows is one task. Here the rows are cut into ranges of
+    (keys, order), at quantiles that Spark samples, so outliers and hot keys make no large range. The cut rows are
+    written once; rows are counted per key and range, and numbered inside their range on top of the ranges before it.
     """
-    first = order_by[0]
-    kind = dict(df.dtypes)[first]
-    if kind in ("timestamp", "timestamp_ntz"):
-        place = F.unix_micros(F.col(first).cast("timestamp"))
-    elif kind == "date":
-        place = F.unix_date(first)
-    elif kind == "string":
-        raise ValueError(f"order by a number, date or timestamp first, not by text ({first})")
-    else:
-        place = F.col(first)
-    place = place.cast("double")
-    low, high = df.agg(F.min(place), F.max(place)).first()
-    width = max(((high or 0.0) - (low or 0.0)) / blocks, 1e-300)
-    block = F.least(F.floor((place - F.lit(low or 0.0)) / F.lit(width)), F.lit(blocks - 1))
-    blocked = df.withColumn("_block", F.when(place.isNull(), -1).otherwise(block).cast("int"))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order_by)
-    numbered = blocked.withColumn("_rank", F.row_number().over(inside))
-    return numbered.join(offsets, [*keys, "_block"]).select(
-        *df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(as_col)
-    )
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    cut = df.repartitionByRange(parts or session.task_count(df.sparkSession), *keys, *order)
+    ranged = session.written(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of_range"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return numbered.join(offsets, same).select(
+        *df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(as_col))

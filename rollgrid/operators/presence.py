@@ -139,10 +139,11 @@ def camera_quorum(
 def validate_scans(scans: DataFrame, sessions: DataFrame) -> DataFrame:
     """Adds ``verdict`` to scans with ``code``: ``ok``, ``used``, ``expired`` or ``not_found``.
 
-    Sessions have ``code, expires_us, grace_seconds, used``. The first scan in time of an unused
-    session consumes it; it is found with partial minima per code.
+    Sessions have ``code, expires_us, grace_seconds, used``, and ``branch_id`` where people are to be checked in: it is
+    added to the scans. The first scan in time of an unused session consumes it; it is found with partial minima per code.
     """
-    known = sessions.select("code", "expires_us", "grace_seconds", F.col("used").alias("_used"))
+    place = [c for c in ("branch_id",) if c in sessions.columns and c not in scans.columns]
+    known = sessions.select("code", "expires_us", "grace_seconds", *place, F.col("used").alias("_used"))
     joined = scans.join(known, "code", "left")
     in_time = ~F.col("_used") & (F.col("us") < F.col("expires_us") + F.col("grace_seconds") * folds.SECOND)
     first = joined.filter(in_time).groupBy("code").agg(F.min(F.struct(*ORDER)).alias("_first"))
@@ -151,13 +152,13 @@ def validate_scans(scans: DataFrame, sessions: DataFrame) -> DataFrame:
         F.when(F.col("_used").isNull(), "not_found")
         .when(F.col("_used") | F.coalesce(now > F.col("_first"), F.lit(False)), "used")
         .when(in_time, "ok").otherwise("expired"))
-    return joined.join(first, "code", "left").select(*scans.columns, verdict.alias("verdict"))
+    return joined.join(first, "code", "left").select(*scans.columns, *place, verdict.alias("verdict"))
 
 
 def check_in(validated: DataFrame, students: DataFrame) -> DataFrame:
-    """Attendance rows of ``ok`` scans whose person is a known student; the branch is the student's."""
+    """Attendance rows of ``ok`` scans whose person is a student of the session's branch (roll numbers repeat elsewhere)."""
     people = students.select(F.col("roll_no").alias("person"), F.col("id").alias("student_id"), "branch_id")
-    return validated.filter("verdict = 'ok'").join(people, "person").select(
+    return validated.filter("verdict = 'ok'").join(people, ["branch_id", "person"]).select(
         "event_id", "branch_id", "student_id", F.date_from_unix_date(day_of()).alias("date"), F.lit("Present").alias("status"))
 
 

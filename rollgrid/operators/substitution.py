@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rollgrid.functions.text_vectors import hash_vector
 from rollgrid.operators.bookings import DAY, conflict_flag
 from rollgrid.operators.gallery import knn_join
+from rollgrid.operators.numbering import number_rows
 from rollgrid.session import spread_by
 
 # Fixed values of the planner.
@@ -43,15 +44,13 @@ def subject_similarity(subjects: DataFrame, teachers: DataFrame, k: int = SIMILA
     texts = wanted.select("subject").union(declared.select("subject")).distinct().withColumn(
         "embedding", hash_vector(F.col("subject"), dim))
     school = F.col("organization_id").cast("string").alias("school_id")
-    code = F.xxhash64("organization_id", "subject")
-    probes = wanted.join(texts, "subject").select(
-        code.alias("query_id"), school, F.lit("teacher").alias("role"), "embedding")
-    gallery = declared.join(texts, "subject").select(
-        school, F.lit("teacher").alias("role"), F.xxhash64("teacher_id", "subject").alias("id"),
-        F.col("teacher_id").alias("person_id"), F.lit(False).alias("deleted"), "embedding")
+    wanted = number_rows(wanted, [], ["organization_id", "subject"], "query_id")
+    numbered = number_rows(declared.distinct(), [], ["teacher_id", "subject"], "id")
+    probes = wanted.join(texts, "subject").select("query_id", school, F.lit("teacher").alias("role"), "embedding")
+    gallery = numbered.join(texts, "subject").select(
+        school, F.lit("teacher").alias("role"), "id", F.col("teacher_id").alias("person_id"), F.lit(False).alias("deleted"), "embedding")
     near = knn_join(probes, gallery, k, per_person=True)
-    # A hash may stand for two subjects: scores of such a hash are kept only for the organization they belong to.
-    return near.join(wanted.withColumn("query_id", code), "query_id").select(
+    return near.join(wanted, "query_id").select(
         "organization_id", "subject", F.col("person_id").alias("teacher_id"), F.col("score").alias("similarity"))
 
 

@@ -59,23 +59,25 @@ def j5_class(v):
 
 
 ABSENCE_SQL = """
-    WITH absence AS (SELECT teacher_id, max(date) AS date FROM teacher_attendance WHERE status = 'Absent' GROUP BY 1)
-    SELECT b.id AS booking_id, a.teacher_id, CAST(a.date AS STRING) AS date, c.class_name, c.section, b.subject,
-           b.start_min
+    WITH absence AS (SELECT DISTINCT teacher_id, date FROM teacher_attendance WHERE status = 'Absent')
+    SELECT a.teacher_id, CAST(a.date AS STRING) AS date, count(*) AS n_periods, count(DISTINCT b.school_class_id) AS n_classes,
+           min(b.start_min) AS first_start, max(b.end_min) AS last_end, max(c.class_name || ' ' || c.section) AS last_class
     FROM absence a JOIN timetable b ON b.teacher_id = a.teacher_id AND b.day_of_week = dayname(a.date)
-    JOIN school_class c ON c.id = b.school_class_id"""
+    JOIN school_class c ON c.id = b.school_class_id GROUP BY 1, 2"""
 
 
 def absences(v):
-    """The latest absence of every teacher."""
-    return v.teacher_attendance.filter("status = 'Absent'").groupBy("teacher_id").agg(F.max("date").alias("date"))
+    """All absences of all teachers."""
+    return v.teacher_attendance.filter("status = 'Absent'").select("teacher_id", "date").distinct()
 
 
 @query("j6_absent_periods", "teacher_attendance timetable school_class", ABSENCE_SQL)
 def j6(v):
     periods = bookings.absent_periods(absences(v), v.timetable, v.school_class)
-    return periods.select("booking_id", "teacher_id", F.col("date").cast("string").alias("date"), "class_name",
-                          "section", "subject", "start_min")
+    return periods.groupBy("teacher_id", F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("n_periods"), F.count_distinct("school_class_id").alias("n_classes"),
+        F.min("start_min").alias("first_start"), F.max("end_min").alias("last_end"),
+        F.max(F.concat_ws(" ", "class_name", "section")).alias("last_class"))
 
 
 # ---------------------------------------------------------------- geography
@@ -113,8 +115,8 @@ STUDENT_SHEET_SQL = """
            '  NATION_' || CAST(CASE WHEN c_custkey % 17 = 3 THEN 99 ELSE (c_custkey % 25) END AS STRING) || ' ' AS branch,
            CASE WHEN c_custkey % 5 = 0 THEN 'no such' ELSE 'BUILDING ' END AS department
     FROM customer"""
-STORED_STUDENT_SQL = """SELECT DISTINCT o_custkey % 25 AS branch_id, right('000000000' || CAST(o_custkey AS STRING), 9)
-    AS roll_no FROM orders WHERE o_orderpriority = '1-URGENT'"""
+STORED_STUDENT_SQL = """SELECT DISTINCT o_custkey * 2 % 25 AS branch_id, right('000000000' || CAST(o_custkey * 2 AS STRING), 9)
+    AS roll_no FROM orders"""
 JUDGED_STUDENT_SQL = f"""
     WITH sheet AS ({STUDENT_SHEET_SQL}), stored AS ({STORED_STUDENT_SQL}),
     known AS (SELECT s.*, b.id AS branch_id, d.id AS department_id, t.roll_no IS NOT NULL AS is_stored
@@ -166,15 +168,14 @@ TEACHER_SHEET_SQL = """
 
 def _teacher_import(v):
     rows = v.spark.sql(TEACHER_SHEET_SQL.replace("FROM supplier", "FROM {source}"), source=v.supplier)
-    stored = v.lineitem.filter("l_quantity = 50 AND l_tax = 0.08").selectExpr(
-        "l_suppkey % 25 AS branch_id", "right(concat('000000000', l_suppkey), 9) AS employee_id")
+    stored = v.lineitem.selectExpr(
+        "l_suppkey * 3 % 25 AS branch_id", "right(concat('000000000', l_suppkey * 3), 9) AS employee_id")
     return ingest.import_teachers(rows, v.branch, v.department, stored)
 
 
 TEACHER_STATUS_SQL = f"""
-    WITH sheet AS ({TEACHER_SHEET_SQL}), stored AS (SELECT DISTINCT l_suppkey % 25 AS branch_id,
-         right('000000000' || CAST(l_suppkey AS STRING), 9) AS employee_id FROM lineitem
-         WHERE l_quantity = 50 AND l_tax = 0.08),
+    WITH sheet AS ({TEACHER_SHEET_SQL}), stored AS (SELECT DISTINCT l_suppkey * 3 % 25 AS branch_id,
+         right('000000000' || CAST(l_suppkey * 3 AS STRING), 9) AS employee_id FROM lineitem),
     judged AS (SELECT s.*, b.id AS branch_id, CASE WHEN s.name = '' THEN 'fail' WHEN t.branch_id IS NOT NULL THEN 'skip'
          ELSE 'ok' END AS status, CASE WHEN s.name = '' THEN 'name is blank' END AS error
          FROM sheet s JOIN branch b ON b.name = s.branch
@@ -206,7 +207,7 @@ TIMETABLE_SHEET_SQL = """
                 CAST(5 + o_orderkey % 4 AS STRING) || ':' || CAST(o_custkey % 60 AS STRING) END AS start_time,
            CASE WHEN o_orderkey % 19 = 3 THEN '5:00' ELSE '0' || CAST(6 + o_orderkey % 4 AS STRING) || ':30' END AS end_time
     FROM orders"""
-BOOKED = "SELECT * FROM timetable WHERE start_min < 500"
+BOOKED = "SELECT * FROM timetable"
 TIMETABLE_STATUS_SQL = f"""
     WITH sheet AS ({TIMETABLE_SHEET_SQL}), booked AS ({BOOKED}),
     parsed AS (SELECT *, upper(trim(day_of_week))[1] || lower(trim(day_of_week))[2:] AS day,
@@ -231,7 +232,7 @@ TIMETABLE_STATUS_SQL = f"""
 
 def _timetable_import(v, check_batch=False):
     rows = v.spark.sql(TIMETABLE_SHEET_SQL.replace("FROM orders", "FROM {source}"), source=v.orders)
-    return ingest.import_timetable(rows, v.branch, v.teacher, v.school_class, v.timetable.filter("start_min < 500"),
+    return ingest.import_timetable(rows, v.branch, v.teacher, v.school_class, v.timetable,
                                    check_batch)
 
 

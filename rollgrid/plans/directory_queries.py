@@ -118,19 +118,27 @@ def f5_directory(v):
 
 
 @query("f5_page_timetable", "timetable",
-       "SELECT id, day_of_week, start_min FROM timetable ORDER BY start_min, id LIMIT 200 OFFSET 600")
+       "SELECT id, day_of_week, start_min, count(*) OVER () AS total FROM timetable ORDER BY start_min, id LIMIT 200 OFFSET 600")
 def f5_timetable(v):
     return directory.page(v.timetable.select("id", "day_of_week", "start_min"), ["start_min", "id"], 4,
                           size=500, clamp=False, max_size=directory.TIMETABLE_PAGE_MAX)
 
 
 @query("f5_page_deep", "timetable",
-       "SELECT id, start_min FROM timetable ORDER BY start_min, id LIMIT 50 OFFSET 20000")
+       "SELECT id, start_min, count(*) OVER () AS total FROM timetable ORDER BY start_min, id LIMIT 50 OFFSET 20000")
 def f5_deep(v):
     return directory.page(v.timetable.select("id", "start_min"), ["start_min", "id"], 401,
                           size=directory.TIMETABLE_PAGE, clamp=False, deep_from=1000)
 
 
+@query("f5_page_timetable_deep", "timetable", """
+    SELECT id, day_of_week, start_min, count(*) OVER () AS total FROM timetable
+    ORDER BY day_of_week, start_min, id LIMIT 50 OFFSET 30000""")
+def f5_timetable_deep(v):
+    return directory.page(v.timetable.select("id", "day_of_week", "start_min"), ["day_of_week", "start_min", "id"], 601,
+                          size=directory.TIMETABLE_PAGE, clamp=False, deep_from=1000)
+
+
 @query("f6_list_branches", "branch organization", """
     SELECT b.*, o.name AS organization_name FROM branch b JOIN organization o ON o.id = b.organization_id
     WHERE b.organization_id = 1 ORDER BY b.name, b.id""")

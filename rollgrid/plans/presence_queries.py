@@ -192,11 +192,11 @@ def s10(v):
 
 
 SCAN_SQL = """
-    WITH joined AS (SELECT s.*, q.code IS NOT NULL AS found, q.used, NOT q.used AND s.us < q.expires_us
+    WITH joined AS (SELECT s.*, q.code IS NOT NULL AS found, q.used, q.branch_id, NOT q.used AND s.us < q.expires_us
                     + q.grace_seconds * 1000000 AS in_time FROM scan s LEFT JOIN qr_session q ON q.code = s.code),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY code, coalesce(in_time, false) ORDER BY us, event_id) AS n,
                       min(CASE WHEN in_time THEN us END) OVER (PARTITION BY code) AS first_us FROM joined),
-    verdicts AS (SELECT event_id, code, person, us, CASE WHEN NOT found THEN 'not_found' WHEN used THEN 'used'
+    verdicts AS (SELECT event_id, code, person, us, branch_id, CASE WHEN NOT found THEN 'not_found' WHEN used THEN 'used'
                         WHEN in_time AND n = 1 THEN 'ok' WHEN in_time OR us > first_us THEN 'used' ELSE 'expired' END AS verdict
                  FROM ranked)"""
 
@@ -208,7 +208,7 @@ def j10(v):
 
 @query("j10_check_in", "scan qr_session student", SCAN_SQL + """
     SELECT v.event_id, s.branch_id, s.id AS student_id, strftime(make_timestamp(v.us), '%Y-%m-%d') AS date, 'Present' AS status
-    FROM verdicts v JOIN student s ON s.roll_no = v.person WHERE v.verdict = 'ok'""")
+    FROM verdicts v JOIN student s ON s.roll_no = v.person AND s.branch_id = v.branch_id WHERE v.verdict = 'ok'""")
 def j10_check_in(v):
     checked = presence.validate_scans(v.scan.drop("ts"), v.qr_session)
     return presence.check_in(checked, v.student).withColumn("date", F.col("date").cast("string"))

@@ -9,11 +9,11 @@ from rollgrid.plans.registry import query
 
 
 def absences(v):
-    """Every staff member is absent on the day of their last finished order."""
-    last = v.orders.filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("absent_id")).agg(
-        F.max(F.to_date("o_orderdate")).alias("date"))
+    """Every staff member is absent on the days of their finished orders."""
+    days = v.orders.filter("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("absent_id"), F.to_date("o_orderdate").alias("date")).distinct()
     org = v.staff.select(F.col("id").alias("absent_id"), "organization_id")
-    return last.join(org, "absent_id")
+    return days.join(org, "absent_id")
 
 
 def practice_similarity(v):
@@ -24,8 +24,8 @@ def practice_similarity(v):
 
 
 @query("h1_rank_candidates", "staff staff_booking", """
-    WITH gone AS (SELECT o_custkey AS absent_id, CAST(max(o_orderdate) AS DATE) AS date FROM orders
-                  WHERE o_orderstatus = 'F' GROUP BY 1),
+    WITH gone AS (SELECT DISTINCT o_custkey AS absent_id, CAST(o_orderdate AS DATE) AS date FROM orders
+                  WHERE o_orderstatus = 'F'),
     periods AS (SELECT s.organization_id, g.absent_id, g.date, b.id AS booking_id, b.day_of_week, b.subject, b.start_min, b.end_min
                 FROM gone g JOIN staff s ON s.id = g.absent_id
                 JOIN staff_booking b ON b.teacher_id = g.absent_id AND b.day_of_week = dayname(g.date)),
@@ -39,12 +39,12 @@ def practice_similarity(v):
              FROM periods p JOIN top t USING (organization_id, subject) JOIN staff s ON s.id = t.teacher_id
              WHERE t.teacher_id <> p.absent_id AND NOT EXISTS (SELECT 1 FROM staff_booking b WHERE b.teacher_id = t.teacher_id
                    AND b.day_of_week = p.day_of_week AND p.start_min < b.end_min AND p.end_min > b.start_min)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY score DESC, teacher_id) AS rank FROM free)
-    SELECT booking_id, teacher_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 6""")
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY date, booking_id ORDER BY score DESC, teacher_id) AS rank FROM free)
+    SELECT CAST(date AS STRING) AS date, booking_id, teacher_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 6""")
 def h1(v):
     periods = substitution.open_periods(absences(v), v.staff_booking)
     ranked = substitution.rank_candidates(periods, v.staff, practice_similarity(v), v.staff_booking)
-    return ranked.select("booking_id", "teacher_id", F.round("score", 6).alias("score"), "rank")
+    return ranked.select(F.col("date").cast("string").alias("date"), "booking_id", "teacher_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _plan(v, search):

@@ -141,7 +141,7 @@ def _views(d: Dialect) -> dict[str, str]:
                    AS person, ts, {d.us("ts")} AS us
             FROM events""",
         "qr_session": f"""
-            SELECT CAST(p_partkey AS STRING) AS code, p_size % 4 + 1 AS grace_seconds, p_partkey % 17 = 0 AS used,
+            SELECT CAST(p_partkey AS STRING) AS code, p_partkey % 25 AS branch_id, p_size % 4 + 1 AS grace_seconds, p_partkey % 17 = 0 AS used,
                    {d.us("TIMESTAMP '2024-01-01 00:00:00'")} + CAST(p_partkey * 997 % 40 - 4 AS BIGINT) * 86400000000
                    AS expires_us
             FROM part""",
@@ -151,7 +151,8 @@ def _views(d: Dialect) -> dict[str, str]:
                    ts, {d.us("ts")} AS us, CAST(user_id % 100 AS INT) AS x, CAST(event_id % 90 AS INT) AS y,
                    CAST(50 + user_id % 30 AS INT) AS width, CAST(60 + user_id % 20 AS INT) AS height,
                    {d.nudged.format("0.05 * (event_id % 8)", "event_id")} AS embedding
-            FROM events JOIN embeddings ON vec_id = user_id % 500""",
+            FROM events JOIN (SELECT count(*) AS n_vectors FROM embeddings) c ON 1 = 1
+            JOIN embeddings ON vec_id = user_id % n_vectors""",
         "track_update": f"""
             SELECT event_id, user_id AS track_id, 'S' || CAST(user_id % 4 AS STRING) AS school_id, 'student' AS role,
                    ts, {d.us("ts")} AS us,

@@ -40,9 +40,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def reliable_folder(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``. Only a local session may go without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folder.setdefault(app, tempfile.mkdtemp(prefix="rollgrid-"))
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,6 +71,13 @@ def spread_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys))
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the reliable folder: computed once, with a short lineage from here on."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the reliable folder that nothing else uses."""
     return f"{reliable_folder(spark)}/{label}-{uuid.uuid4().hex}"

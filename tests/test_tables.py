@@ -48,12 +48,120 @@ def test_row_numbers_of_a_skewed_key(spark):
     rows = [("hot" if rng.random() < 0.8 else "cold", float(rng.integers(0, 50)) ** 3, i) for i in range(400)]
     rows += [("hot", None, 1000), ("cold", None, 1001)]
     df = frame(spark, rows, "k string, t double, i bigint")
-    got = number_rows(df.repartition(9), ["k"], ["t", "i"], "n", blocks=16).collect()
+    got = number_rows(df.repartition(9), ["k"], ["t", "i"], "n", parts=7).collect()
     for key in ("hot", "cold"):
         mine = sorted((r for r in got if r.k == key), key=lambda r: (r.t is not None, r.t or 0, r.i))
         assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_row_numbers_by_text_falling_and_with_an_outlier(spark):
+    rows = [(f"w{i % 37:02d}", i) for i in range(500)] + [("zz", 10**15)]
+    df = frame(spark, rows, "w string, i bigint")
+    got = {r.i: r.n for r in number_rows(df, [], [F.col("w").desc(), "i"], "n", parts=5).collect()}
+    expected = sorted(rows, key=lambda r: (r[0], -r[1]), reverse=True)
+    assert [got[i] for _, i in expected] == list(range(1, len(rows) + 1))
+    ranged = number_rows(df, [], ["i"], "n", parts=5)
+    assert [r.n for r in ranged.orderBy("i").collect()] == list(range(1, len(rows) + 1))
+
+
+def test_pages_by_text_are_the_same_however_deep(spark):
+    df = frame(spark, [(f"d{i % 7}", i % 50, i) for i in range(300)], "day string, start int, id bigint")
+    for number in (1, 9, 40):
+        top, deep = (directory.page(df, ["day", "start", "id"], number, size=8, clamp=False, deep_from=d).collect()
+                     for d in (10**6, 0))
+        assert top == deep and all(r.total == 300 for r in top)
+
+
+def test_undefined_filters_nothing(spark):
+    df = frame(spark, [(1, "Ann", "R1", "C1", 1)], "id int, name string, roll_no string, class_name string, branch_id int")
+    assert directory.search_directory(df, name="undefined", key="undefined", class_name="undefined").count() == 1
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from rollgrid.functions.clock import clock_minutes, stripped
+
+    df = frame(spark, [("\t\u00a0 Main \u2003\r\n", "\u00a09:05\t")], "name string, at string")
+    row = df.select(stripped("name").alias("name"), clock_minutes(F.col("at")).alias("at")).first()
+    assert (row.name, row.at) == ("Main", 545)
+
+
+def test_repeated_patches_keep_the_rows(spark):
+    table = frame(spark, [(1, "a", 1), (2, "b", 2)], "id int, x string, y int")
+    patches = frame(spark, [(1, 1, "p", True, None, False), (1, 2, "q", True, 9, True), (1, 3, None, False, None, True)],
+                    "id int, at int, x string, has_x boolean, y int, has_y boolean")
+    got = maintenance.apply_updates(table, patches, ["id"], ["x", "y"], order="at")
+    assert sorted(map(tuple, got.collect())) == [(1, "q", None), (2, "b", 2)]
+
+
+def test_cascade_over_several_levels(spark):
+    tables = {
+        "organization": frame(spark, [(1,), (2,)], "id int"),
+        "branch": frame(spark, [(10, 1), (20, 2)], "id int, organization_id int"),
+        "student": frame(spark, [(100, 10, 5), (200, 20, 6)], "id int, branch_id int, department_id int"),
+        "department": frame(spark, [(5, 10), (6, 10)], "id int, branch_id int"),
+        "attendance": frame(spark, [(1000, 100), (2000, 200)], "id int, student_id int"),
+    }
+    rules = [("organization", "branch", "organization_id"), ("branch", "department", "branch_id"),
+             ("branch", "student", "branch_id"), ("student", "attendance", "student_id")]
+    left = maintenance.cascade_tree(tables, "organization", frame(spark, [(1,)], "id int"), rules, [("department", "student", "department_id")])
+    assert {n: sorted(map(tuple, t.collect())) for n, t in left.items()} == {
+        "organization": [(2,)], "branch": [(20, 2)], "student": [(200, 20, None)], "department": [], "attendance": [(2000, 200)]}
+
+
+def test_scans_check_in_only_people_of_the_branch(spark):
+    from rollgrid.operators import presence
+
+    scans = frame(spark, [(1, "c", "007", 5)], "event_id bigint, code string, person string, us bigint")
+    sessions = frame(spark, [("c", 2, 100, 0, False)], "code string, branch_id int, expires_us bigint, grace_seconds int, used boolean")
+    students = frame(spark, [(70, 1, "007"), (71, 2, "007")], "id bigint, branch_id int, roll_no string")
+    assert [r.student_id for r in presence.check_in(presence.validate_scans(scans, sessions), students).collect()] == [71]
+
+
+def test_unreadable_snapshot_files_are_counted(spark, tmp_path):
+    from rollgrid import schemas
+    from rollgrid.sources import snapshots
+
+    row = {"school_id": "s", "role": "student", "deleted": False, "embedding": [1.0, 0.0], "id": 1}
+    gallery = spark.createDataFrame([row], "school_id string, role string, deleted boolean, embedding array<float>, id bigint")
+    for field in schemas.GALLERY.split(", "):
+        name, kind = field.split(" ", 1)
+        if name not in gallery.columns:
+            gallery = gallery.withColumn(name, F.lit(None).cast(kind))
+    both = gallery.unionByName(gallery.withColumns({"school_id": F.lit("t"), "id": F.lit(2).cast("bigint")}))
+    snapshots.write_snapshot(both, str(tmp_path), "v1")
+    assert snapshots.unreadable_files(spark, str(tmp_path), "v1") == []
+    broken = next(tmp_path.glob("version=v1/school_id=t/*/*.parquet"))
+    broken.write_bytes(b"nothing")
+    for crc in broken.parent.glob(".*.crc"):
+        crc.unlink()
+    assert snapshots.unreadable_files(spark, str(tmp_path), "v1") == [broken.name]
+    assert snapshots.read_snapshot(spark, str(tmp_path)).count() == 1
     with pytest.raises(ValueError):
-        number_rows(df, [], ["k"], "n")
+        snapshots.read_snapshot(spark, str(tmp_path), strict=True)
+
+
+def test_stored_rows_are_read_for_the_dates_of_the_batch(spark, tmp_path):
+    from rollgrid.sources import sinks
+
+    stored = spark.range(6).selectExpr("id", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS date")
+    stored.write.partitionBy("date").parquet(str(tmp_path / "t"))
+    batch = spark.sql("SELECT DATE'2024-01-03' AS date")
+    kept = sinks.of_dates(spark.read.parquet(str(tmp_path / "t")), batch)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 1 and "PartitionFilters: [isnotnull(date" in plan and "2024-01-03" in plan
+
+
+def test_odd_bookings_follow_the_plain_predicate(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 3)), "Monday", int(a), int(b)) for i, (a, b) in enumerate(rng.integers(500, 560, (120, 2)))]
+    df = frame(spark, rows, "id bigint, teacher_id int, day_of_week string, start_min int, end_min int")
+    meets = lambda a, b: a[1] == b[1] and a[3] < b[4] and a[4] > b[3]
+    expected = {a[0]: n for a in rows if (n := sum(meets(a, b) for b in rows if a[0] != b[0]))}
+    assert {r.id: r.n_conflicts for r in bookings.self_conflicts(df, "teacher_id").collect()} == expected
+    new = df.filter("id < 40")
+    stored = df.filter("id >= 40")
+    hit = {r.id for r in bookings.conflicts(new, stored, "teacher_id").collect()}
+    assert hit == {a[0] for a in rows[:40] if any(meets(a, b) for b in rows[40:])}
 
 
 # ------------------------------------------------------------ bookings
