@@ -84,7 +84,10 @@ def _search(probes: pa.Table, rows: pa.Table, k: int, per_person: bool, before=N
 
 def _search_carried(probes: DataFrame, gallery: DataFrame, k: int, per_person: bool) -> DataFrame:
     """Probes go to every gallery partition; each partition keeps a running k best per probe."""
-    carried = probes.sparkSession.sparkContext.broadcast(_by_tenant(probes.toArrow()))
+    by_tenant = _by_tenant(probes.toArrow())
+    carried = probes.sparkSession.sparkContext.broadcast(by_tenant)
+    # The schools of the probes reach the scan, so a gallery partitioned by school is read only there.
+    gallery = gallery.filter(F.col("school_id").isin(sorted({school for school, _ in by_tenant})))
 
     def partition(batches):
         best = {}

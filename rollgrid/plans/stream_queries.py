@@ -1,60 +1,82 @@
 """Stream forms over the events table, run until everything there is processed.
 
-A result is final up to the watermark, ten minutes before the last event; the checking SQL stops there.
+A heartbeat event behind the last one moves the watermark past all events, so a result is whole.
 """
 
 from pyspark.sql import functions as F
 
+from rollgrid.operators.spatial import geofence
 from rollgrid.plans.presence_queries import HOUR, RATE_SQL, TTL_SQL
-from rollgrid.plans.registry import query
-from rollgrid.sources.events import read_events
+from rollgrid.plans.registry import ORACLES, query
+from rollgrid.sources.events import HEARTBEAT, closing_heartbeat, read_events
 from rollgrid.streaming import camera, runner, stateful
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-SETTLED = "event_id IN (SELECT event_id FROM {view} WHERE us // 1000 <= (SELECT max(us) // 1000 - 600000 FROM {view}))"
 
 
 def events(v):
-    return read_events(v.spark, v.sf_dir, EVENTS, pattern="events.parquet")
+    """The events and, in the same first micro-batch, the heartbeat."""
+    return read_events(v.spark, v.sf_dir, EVENTS, pattern="events.parquet", closing=closing_heartbeat(v.spark, v.events))
 
 
 def attempts(v):
     return events(v).select("event_id", F.col("user_id").cast("string").alias("key"), "ts", "us")
 
 
-def settled(sql, view):
-    head, select = sql.rsplit("SELECT", 1)
-    return f"{head}SELECT {select} WHERE {SETTLED.format(view=view)}"
-
-
 @query("io6_read_events", "attempt", "SELECT event_id, key, us FROM attempt")
 def io6(v):
-    return runner.run_and_read(attempts(v), "events").select("event_id", "key", "us")
+    return runner.run_and_read(attempts(v), "events").where(F.col("event_id") != HEARTBEAT).select("event_id", "key", "us")
 
 
-@query("s1_rate_limit_stream", "attempt", settled(RATE_SQL, "attempt"))
+@query("s1_rate_limit_stream", "attempt", RATE_SQL)
 def s1_stream(v):
     stream = stateful.rate_limit_stream(attempts(v), ["key"], 2, 18 * HOUR)
     return runner.run_and_read(stream, "rate").select("event_id", "nth", "allowed")
 
 
-@query("s3_dedup_ttl_stream", "attempt", settled(TTL_SQL, "attempt"))
+@query("s2_lockout_stream")
+def s2_stream(v):
+    stream = stateful.lockout_stream(attempts(v), ["key"], 3, 12 * HOUR)
+    return runner.run_and_read(stream, "lockout").select("event_id", "attempts", "blocked")
+
+
+@query("s3_dedup_ttl_stream", "attempt", TTL_SQL)
 def s3_stream(v):
     return runner.run_and_read(stateful.dedup_ttl_stream(attempts(v), ["key"], 6 * HOUR), "ttl").select(
         "event_id", "accepted")
 
 
-@query("s4_once_per_day_stream", "camera_match", """
-    SELECT event_id, branch_id, person_id, day FROM (
-        SELECT *, CAST(floor(us / 86400000000.0) AS INT) AS day, row_number() OVER (
-            PARTITION BY branch_id, person_id, floor(us / 86400000000.0) ORDER BY us, event_id) AS n FROM camera_match)
-    WHERE n = 1 AND (day + 1) * 86400000000 <= (SELECT max(us) - 600000000 FROM camera_match)""")
+@query("s4_once_per_day_stream")
 def s4_stream(v):
     seen = events(v).selectExpr("event_id", "user_id % 4 AS branch_id", "CAST(user_id AS STRING) AS person_id", "ts", "us")
     result = runner.run_and_read(stateful.once_per_day_stream(seen, ["branch_id", "person_id"]), "day")
     return result.select("event_id", "branch_id", "person_id", "day")
 
 
+@query("s7_lock_identity_stream")
+def s7_stream(v):
+    updates = events(v).selectExpr(
+        "event_id", "user_id AS track_id", "ts", "us", """CAST(CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id * 10
+            + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END END AS BIGINT) AS match_person""",
+        "CAST(0.7 + 0.3 * sin(event_id) AS DOUBLE) AS score")
+    found = runner.run_and_read(stateful.lock_identity_stream(updates, ["track_id"]), "lock")
+    return found.select("event_id", "hits", "person", F.round("confidence", 6).alias("confidence"), "locked")
+
+
+@query("s10_verify_attendance_stream")
+def s10_stream(v):
+    requests = events(v).selectExpr(
+        "event_id", "CAST(user_id AS STRING) AS key", "user_id % 25 AS branch_id", "ts", "us",
+        "CAST(user_id % 25 * 3 - 36 AS DOUBLE) + (event_id % 10) * 0.0001 AS lat", "CAST(user_id % 25 * 7 - 80 AS DOUBLE) AS lon")
+    stream = stateful.verify_attendance_stream(geofence(requests, v.branch), ["key"], 15 * HOUR, 2, 24 * HOUR)
+    return runner.run_and_read(stream, "verify").select("event_id", "status")
+
+
+# A stream over all events equals its batch form, so the same SQL checks both.
+for _name in ("s2_lockout", "s4_once_per_day", "s7_lock_identity", "s10_verify_attendance"):
+    ORACLES[f"{_name}_stream"] = ORACLES[_name]
+
+
 @query("s11_camera_flow")
 def s11(v):
     return camera.camera_flow(detections(v.sighting, v.events), v.gallery, max_age=12)
