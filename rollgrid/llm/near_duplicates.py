@@ -6,9 +6,11 @@ in fewer than ``CHUNKS * (ERRORS + 1)`` values have a chunk with at most ``ERROR
 ``ERRORS`` positions left out of a chunk is a key, so all pairs under that distance share a key. (At Jaccard 0.85 a pair
 shares no key with a chance of 6e-6.) Candidates are confirmed on full sets.
 
-Pairs inside a bucket are not written out. Every bucket is first a star around its smallest class; the confirmed links
-give components. Only where a bucket then still holds classes of different components are these classes paired, so
-groups of near copies stay linear and no link between different texts is lost.
+Pairs inside a bucket are not written out. Every bucket is first a star around its smallest class, its lead; the
+confirmed links give components. Buckets that then still hold classes of different components are taken together by
+lead and cut into tiles of bounded size, by size band of the sets and by hash. Tiles whose bands allow the similarity
+meet pairwise in a task, which multiplies their sets as matrices and gives back the links only. So groups of near copies
+stay linear in rows, no link between different texts is lost, and no task holds more than two tiles.
 
 Texts are read twice; only those of classes with candidates move. Skewed buckets, hubs and classes are summed before
 shuffles, or joined, which Spark splits. Intermediate tables lie in the shared folder.
@@ -28,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollgrid import session
 from rollgrid.llm import rows, words
 
 WIDTH = 5
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 6, 1, 16
+#: Classes and set elements of a tile, about, and columns of a matrix at a time.
+TILE, TILE_ELEMENTS, COLUMNS = 256, 1 << 17, 4096
 #: Ids that may be broadcast to pick texts from the documents; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -150,6 +155,83 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return both.mapInArrow(run, "a long, b long")
 
 
+def _tile_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tiles per (lead, band), and the pairs of tiles of one lead that can hold links."""
+    sizes = members.groupBy("lead", "band").agg(F.count("*").alias("m"), F.sum("n").alias("elements"))
+    tiles = sizes.select("lead", "band", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("elements") / TILE_ELEMENTS)).alias("tiles"))
+    each = tiles.select("lead", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    second = each.select(F.col("lead").alias("lead_2"), F.col("band").alias("band_2"), F.col("tile").alias("tile_2"))
+    same, next_ = F.col("band_2") == F.col("band"), F.col("band_2") == F.col("band") + 1
+    met = each.join(second, (F.col("lead") == F.col("lead_2")) & ((same & (F.col("tile_2") >= F.col("tile"))) | next_))
+    return tiles, met.drop("lead_2").withColumn("pair", F.xxhash64("lead", "band", "tile", "band_2", "tile_2"))
+
+
+def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of one lead and different labels; ``open_``: lead, node, n, label."""
+    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100 - 1e-3)))).cast("int")  # a little wider than need be
+    members = open_.withColumn("band", band)
+    tiles, pairs = _tile_pairs(members)
+    placed = members.join(tiles, ["lead", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    pairs = rows.written(pairs, "near-tiles")
+    ones = placed.join(pairs, ["lead", "band", "tile"]).select("pair", F.lit(0).alias("side"), "node", "label")
+    others = pairs.where("band <> band_2 or tile <> tile_2").select(
+        "lead", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "pair")
+    twos = placed.join(others, ["lead", "band", "tile"]).select("pair", F.lit(1).alias("side"), "node", "label")
+    full = rows.written(_texts_of(docs, classes, open_.select("node").distinct()), "near-sets")
+    every = ones.unionByName(twos).join(full, "node")
+    # Tiles are many and each is small, so a task streams its pairs one after the other.
+    lined = every.repartition(session.task_count(docs.sparkSession), "pair").sortWithinPartitions("pair", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pair = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "label", "set"))):
+                if row[0] != pair:
+                    yield from _links_of(held, percent)
+                    held, pair = [], row[0]
+                held.append(row)
+        yield from _links_of(held, percent)
+
+    return lined.select("pair", "side", "node", "label", "set").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_of(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the two tiles of a pair, or inside the only one."""
+    first, second = ([r for r in held if r[1] == side] for side in (0, 1))
+    second = second or first
+    if len({r[3] for r in held}) < 2 or not first:
+        return
+    shared, sizes = _shared([np.frombuffer(r[4], np.uint64) for r in first], [np.frombuffer(r[4], np.uint64) for r in second])
+    total = sizes[0][:, None] + sizes[1][None, :] - shared
+    node = [np.array([r[2] for r in part]) for part in (first, second)]
+    label = [np.array([r[3] for r in part]) for part in (first, second)]
+    x, y = np.nonzero((100 * shared >= percent * total) & (label[0][:, None] != label[1][None, :]))
+    if len(x):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[0][x], node[1][y])), pa.array(np.maximum(node[0][x], node[1][y]))], ["a", "b"])
+
+
+def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sizes of the intersections of all sets of both lists, and the sizes of the sets."""
+    sizes = tuple(np.array([len(s) for s in part], np.int64) for part in (first, second))
+    values = [np.concatenate(part) for part in (first, second)]
+    common = np.intersect1d(*values)
+    at = [np.searchsorted(common, v) for v in values]
+    owner = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    for k in (0, 1):
+        here = (at[k] < len(common)) & (common[np.minimum(at[k], len(common) - 1)] == values[k]) if len(common) else np.zeros(len(at[k]), bool)
+        at[k], owner[k] = at[k][here], owner[k][here]
+    shared = np.zeros((len(first), len(second)), np.float32)
+    for begin in range(0, len(common), COLUMNS):
+        parts = []
+        for k in (0, 1):
+            dense = np.zeros((len(sizes[k]), min(COLUMNS, len(common) - begin)), np.float32)
+            here = (at[k] >= begin) & (at[k] < begin + COLUMNS)
+            dense[owner[k][here], at[k][here] - begin] = 1
+            parts.append(dense)
+        shared += parts[0] @ parts[1].T
+    return shared.astype(np.int64), sizes
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node reachable from every linked node: (node, label)."""
     both = rows.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
@@ -184,13 +266,9 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     labelled = keyed.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_ = rows.written(labelled.join(mixed.select("key"), "key"), "near-open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
-    pairs = x.join(y, "key").where(
-        (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & _similar_size("n_x", "n_y", percent))
-    rest = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = rows.written(rest, "near-rest")
-    more = rows.written(_confirmed(docs, classes, rest, percent), "near-confirmed")
+    leads = mixed.select("key").join(star.select("key", F.col("lead.node").alias("lead")), "key")
+    open_ = labelled.join(leads, "key").select("lead", "node", "n", "label").distinct()
+    more = rows.written(_linked_in_tiles(docs, classes, rows.written(open_, "near-open"), percent), "near-confirmed")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
