@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from itertools import groupby, islice
 from operator import itemgetter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -176,6 +177,22 @@ def counted(plan: tuple) -> dict[int, int]:
     return counts
 
 
+class Partial(NamedTuple):
+    """A plan for the first periods: gain, places of the choices among their candidates, and the choices."""
+
+    gain: float
+    ranks: tuple
+    plan: tuple
+
+    def order(self) -> tuple:
+        """Larger gain first (to nine digits), then better-placed choices."""
+        return -round(self.gain, 9), self.ranks
+
+    def longer(self, day: Day, i: int) -> list[Partial]:
+        return [Partial(self.gain + choice[0], (*self.ranks, rank), (*self.plan, choice))
+                for rank, choice in enumerate(day.choices(i, self.plan))]
+
+
 def _best_part(day: Day) -> tuple:
     """Best plan of a day, period by period.
 
@@ -183,19 +200,19 @@ def _best_part(day: Day) -> tuple:
     without anybody ends at once, and so does one that cannot reach the plan of the beam any more.
     """
     known = sum(c[0] for c in beam_plan(day))
-    states = {None: (0.0, ())}
+    states = {None: Partial(0.0, (), ())}
     for i in range(len(day.periods)):
         grown: dict = {}
-        for gain, plan in states.values():
-            for choice in day.choices(i, plan):
-                longer, total = (*plan, choice), gain + choice[0]
-                outlook = day.outlook(longer)
-                if outlook is None or total + outlook[1] < known - 1e-9:
+        for state in states.values():
+            for longer in state.longer(day, i):
+                outlook = day.outlook(longer.plan)
+                if outlook is None or longer.gain + outlook[1] < known - 1e-8:
                     continue
-                if outlook[0] not in grown or total > grown[outlook[0]][0]:
-                    grown[outlook[0]] = (total, longer)
+                there = grown.get(outlook[0])
+                if there is None or longer.order() < there.order():
+                    grown[outlook[0]] = longer
         states = grown
-    return max(states.values(), key=itemgetter(0), default=(0.0, ()))[1]
+    return min(states.values(), key=Partial.order).plan if states else ()
 
 
 def best_plan(day: Day) -> tuple:
@@ -212,13 +229,12 @@ def best_plan(day: Day) -> tuple:
 
 def beam_plan(day: Day, width: int = BEAM_WIDTH) -> tuple:
     """Keeps the ``width`` best partial plans per period; () when a period has nobody."""
-    beam = [(0.0, ())]
+    beam = [Partial(0.0, (), ())]
     for i in range(len(day.periods)):
-        grown = [(gain + choice[0], (*plan, choice)) for gain, plan in beam for choice in day.choices(i, plan)]
-        beam = sorted(grown, key=lambda s: -s[0])[:width]
+        beam = sorted((p for state in beam for p in state.longer(day, i)), key=Partial.order)[:width]
         if not beam:
             return ()
-    return beam[0][1]
+    return beam[0].plan
 
 
 def _plans(periods: DataFrame, candidates: DataFrame, search, take: int) -> DataFrame:
