@@ -1,44 +1,34 @@
-"""Deterministic unit vectors from text."""
+"""Deterministic unit vectors from text, as plain Spark expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollgrid.functions.vectors import INFERENCE_FLOOR
+from rollgrid.functions.vectors import l2_normalize
 
-# Fixed values of the text vector.
-POSITION_FACTOR, CODE_SCALE, HASH_SCALE, SEEDS, WORD_BITS = 179, 0.001, 0.0005, 3, 64
+#: Characters of a gram.
+GRAM = 3
 
 
-def _vectors(texts: pd.Series, hashes: list[pd.Series], dim: int) -> np.ndarray:
-    """All vectors of a batch with one histogram over every character of every text."""
-    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
-    lengths = np.array([len(c) for c in codes])
-    code = np.concatenate(codes).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    position = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = row * dim + (position * POSITION_FACTOR + code) % dim
-    total = np.bincount(place, code * CODE_SCALE, len(texts) * dim).reshape(len(texts), dim)
-    shift = (np.arange(dim) % WORD_BITS).astype(np.uint64)
-    for hashed in hashes:
-        bits = hashed.to_numpy().astype(np.int64).view(np.uint64)[:, None] >> shift
-        total = total + ((bits & np.uint64(255)).astype(np.float64) - 128) * HASH_SCALE
-    return total / np.maximum(np.sqrt((total * total).sum(axis=1)), INFERENCE_FLOOR)[:, None]
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def hash_vector(text: Column, dim: int) -> Column:
     """Unit vector of length ``dim``: equal text gives the equal vector, in every run and plan.
 
-    Each character adds its code to the bucket its position and code choose; three seeded 64-bit
-    hashes of the text (made by Spark) add a small signed byte everywhere. NULL counts as empty text.
+    Every gram of three characters of the lower-case text (with two spaces before and one behind) adds or takes one in
+    a component that its hash chooses; the whole text adds a half, so no vector is zero. NULL counts as empty text.
     """
+    padded = F.concat(F.lit("  "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: _number(F.substring(padded, i, F.lit(GRAM))))
+    whole = _number(padded)
 
-    @F.pandas_udf("array<float>")
-    def vector(texts: pd.Series, h0: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(list(_vectors(texts, [h0, h1, h2], dim).astype(np.float32)))
+    def parts(hashes: Column) -> Column:
+        signed = lambda h: F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(
+            F.filter(hashes, lambda h: h % dim == d), F.when(whole % dim == d, 0.5).otherwise(0.0), lambda s, h: s + signed(h)))
 
-    clean = F.coalesce(text, F.lit(""))
-    return vector(clean, *[F.xxhash64(clean, F.lit(seed)) for seed in range(SEEDS)])
+    # Inside transform the hashes are a bound variable: they are computed once for all components.
+    return l2_normalize(F.transform(F.array(grams), parts)[0]).cast("array<float>")

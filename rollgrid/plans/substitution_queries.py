@@ -23,14 +23,35 @@ def practice_similarity(v):
         F.round(F.avg("o_totalprice") / 600000, 6).alias("similarity")).join(org, "teacher_id")
 
 
-FREE_SQL = """gone AS (SELECT DISTINCT o_custkey AS absent_id, CAST(o_orderdate AS DATE) AS date FROM orders
+def vector_sql(text):
+    """``hash_vector(text, 32)`` in SQL."""
+    number = "('0x' || substr(md5({0}), 1, 8))::BIGINT".format
+    padded = f"('  ' || lower(coalesce({text}, '')) || ' ')"
+    grams = f"list_transform(range(1, length({padded}) - 1), lambda i: {number(f'substr({padded}, i, 3)')})"
+    parts = f"""list_transform(range(0, 32), lambda d: CASE WHEN {number(padded)} % 32 = d THEN 0.5 ELSE 0.0 END + coalesce(list_sum(
+        list_transform(list_filter({grams}, lambda h: h % 32 = d), lambda h: CASE WHEN (h // 32) % 2 = 0 THEN 1.0 ELSE -1.0 END)), 0.0))"""
+    return f"list_transform([{parts}], lambda v: list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT))[1]"
+
+
+PRACTICE_SQL = """sim AS (SELECT s.organization_id, o.o_custkey AS teacher_id, o.o_orderpriority AS subject,
+                   round(avg(o.o_totalprice) / 600000, 6) AS similarity FROM orders o JOIN staff s ON s.id = o.o_custkey
+            GROUP BY ALL),"""
+DECLARED_SQL = f"""declared AS (SELECT organization_id, id AS teacher_id, unnest(subjects) AS declared FROM staff),
+    texts AS (SELECT text, {vector_sql("text")} AS vector FROM (SELECT DISTINCT subject AS text FROM periods UNION SELECT declared FROM declared)),
+    near AS (SELECT a.text AS wanted, b.text AS declared, round(list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]), 9) AS similarity
+             FROM texts a, texts b),
+    sim AS (SELECT p.organization_id, d.teacher_id, p.subject, max(n.similarity) AS similarity
+            FROM (SELECT DISTINCT organization_id, subject FROM periods) p JOIN declared d ON d.organization_id = p.organization_id
+            JOIN near n ON n.wanted = p.subject AND n.declared = d.declared GROUP BY ALL),"""
+
+
+def free_sql(sim):
+    return """gone AS (SELECT DISTINCT o_custkey AS absent_id, CAST(o_orderdate AS DATE) AS date FROM orders
                   WHERE o_orderstatus = 'F'),
     periods AS (SELECT s.organization_id, g.absent_id, g.date, b.id AS booking_id, b.day_of_week, b.subject, b.start_min, b.end_min
                 FROM gone g JOIN staff s ON s.id = g.absent_id
                 JOIN staff_booking b ON b.teacher_id = g.absent_id AND b.day_of_week = dayname(g.date)),
-    sim AS (SELECT s.organization_id, o.o_custkey AS teacher_id, o.o_orderpriority AS subject,
-                   round(avg(o.o_totalprice) / 600000, 6) AS similarity FROM orders o JOIN staff s ON s.id = o.o_custkey
-            GROUP BY ALL),
+    """ + sim + """
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organization_id, subject
                                      ORDER BY similarity DESC, teacher_id) AS r FROM sim) WHERE r <= 30),
     free AS (SELECT p.*, t.teacher_id, t.similarity, coalesce(s.reliability_score, 0.8) AS reliability,
@@ -64,14 +85,15 @@ def _walk(name, keep):
                     FROM {name} WHERE i = n)"""
 
 
-BEAM_SQL = "WITH RECURSIVE " + FREE_SQL + """,
+def beam_sql(sim):
+    return "WITH RECURSIVE " + free_sql(sim) + """,
     numbered AS (SELECT *, row_number() OVER (PARTITION BY absent_id, date ORDER BY start_min, end_min, booking_id) AS i,
                         count(*) OVER (PARTITION BY absent_id, date) AS n FROM periods),
     offers AS (SELECT m.i, f.*, similarity * reliability AS worth FROM free f JOIN numbered m USING (absent_id, date, booking_id)),
     beam_offers AS (SELECT *, 0.0 AS later, 0.0 AS known FROM offers),""" + _walk("beam", f"kept <= {substitution.BEAM_WIDTH}")
 
 # All plans, but for those that cannot reach the plan of the beam: what later periods add is at most their best worth.
-BEST_SQL = BEAM_SQL + """,
+BEST_SQL = beam_sql(PRACTICE_SQL) + """,
     best_worth AS (SELECT absent_id, date, i, max(worth) AS most FROM offers GROUP BY ALL),
     ahead AS (SELECT absent_id, date, i, coalesce(sum(most) OVER (PARTITION BY absent_id, date ORDER BY i
                      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM best_worth),
@@ -85,7 +107,7 @@ CHOSEN_SQL = """
     FROM (SELECT organization_id, absent_id, date, unnest(plan) AS p FROM {name}_best WHERE place = 1)"""
 
 
-@query("h1_rank_candidates", "staff staff_booking", "WITH " + FREE_SQL + """,
+@query("h1_rank_candidates", "staff staff_booking", "WITH " + free_sql(PRACTICE_SQL) + """,
     ranked AS (SELECT *, row_number() OVER (PARTITION BY date, booking_id ORDER BY score DESC, teacher_id) AS rank FROM free)
     SELECT CAST(date AS STRING) AS date, booking_id, teacher_id, round(score, 6) AS score, CAST(rank AS INT) AS rank
     FROM ranked WHERE rank <= 6""")
@@ -110,19 +132,26 @@ def h2(v):
     return _plan(v, substitution.assign_optimal)
 
 
-@query("h3_assign_beam", "staff staff_booking", BEAM_SQL + CHOSEN_SQL.format(name="beam"))
+@query("h3_assign_beam", "staff staff_booking", beam_sql(PRACTICE_SQL) + CHOSEN_SQL.format(name="beam"))
 def h3(v):
     return _plan(v, substitution.assign_beam)
 
 
-@query("h4_plan_substitutions")
+@query("h4_plan_substitutions", "staff staff_booking",
+       beam_sql(DECLARED_SQL) + f", chosen AS ({CHOSEN_SQL.format(name='beam')})"
+       + " SELECT c.*, s.name AS teacher_name FROM chosen c JOIN staff s ON s.id = c.teacher_id")
 def h4(v):
-    return substitution.plan_substitutions(absences(v), v.staff_booking, v.staff)
+    return _rounded(substitution.plan_substitutions(absences(v), v.staff_booking, v.staff))
 
 
-@query("v12_hash_embed")
+@query("v12_hash_embed", "", f"""
+    WITH made AS (SELECT text, {vector_sql("text")} AS vector FROM (SELECT DISTINCT p_name || ' ' || p_type AS text FROM part))
+    SELECT text, CAST(32 AS INT) AS dim, round(sqrt(list_sum(list_transform(vector, lambda x: x::DOUBLE * x))), 5) AS norm,
+           round(vector[1]::DOUBLE, 5) AS first_part, round(list_sum(list_transform(vector, lambda x, i: x::DOUBLE * i)), 4) AS weighted FROM made""")
 def v12(v):
     texts = v.part.select(F.concat_ws(" ", "p_name", "p_type").alias("text")).distinct()
     made = texts.withColumn("vector", hash_vector(F.col("text"), 32))
     return made.select("text", F.size("vector").alias("dim"), F.round(l2_norm(F.col("vector")), 5).alias("norm"),
-                       F.round(F.col("vector")[0], 5).alias("first_part"))
+                       F.round(F.col("vector")[0].cast("double"), 5).alias("first_part"),
+                       F.round(F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4)
+                       .alias("weighted"))
