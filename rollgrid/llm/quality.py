@@ -19,7 +19,7 @@ from rollgrid.llm import rows
 WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
 #: Measures per thousand words or lines, and how far above the upper quartile a cutoff lies at least.
-MEASURES = {"symbols": 100, "dup_lines": 200, "repeats": 100, "long_words": 2000}
+MEASURES = {"symbols": 100, "dup_lines": 400, "repeats": 200, "long_words": 2000}
 #: A cutoff is q3 + SPREAD * (q3 - q1), or q3 plus the least distance above.
 SPREAD = 3
 #: A group with fewer documents uses the next wider sketch.
