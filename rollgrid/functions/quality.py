@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, mul
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,13 +24,6 @@ WEAK_REASONS = (
     ("face_area_ratio", 0.1, "face_too_small"),
 )
 WEAK_OTHERWISE = "low_quality"
-# Fixed values of the score: metric → (weight, zero at, full after, power); penalty (metric, limit, factor).
-SCORE = {
-    "blur": (0.45, 50.0, 150.0, 1.2),
-    "brightness": (0.30, 50.0, 100.0, 1.1),
-    "face_area_ratio": (0.25, 0.05, 0.15, 1.0),
-}
-PENALTIES = (("blur", 70.0, 0.75), ("brightness", 45.0, 0.8))
 ACCEPT_ENROL, ACCEPT_ATTEND = 0.70, 0.52
 TIERS = {"High": 0.80, "Medium": 0.65, "Low": 0.50}
 
@@ -60,10 +50,15 @@ def barrier_reason(enrolment: bool) -> Column:
 
 def quality_score() -> Column:
     """Weighted score of a capture that met no barrier."""
-    parts = [weight * F.pow(_unit(F.col(metric), low, span), F.lit(power))
-             for metric, (weight, low, span, power) in SCORE.items()]
-    factors = [F.when(F.col(metric) < limit, factor).otherwise(1.0) for metric, limit, factor in PENALTIES]
-    return reduce(mul, factors, reduce(add, parts))
+    # Weights, ranges and powers of the three terms, and the two penalties.
+    terms = (
+        0.45 * F.pow(_unit(F.col("blur"), 50.0, 150.0), F.lit(1.2))
+        + 0.30 * F.pow(_unit(F.col("brightness"), 50.0, 100.0), F.lit(1.1))
+        + 0.25 * _unit(F.col("face_area_ratio"), 0.05, 0.15)
+    )
+    blurred = F.when(F.col("blur") < 70.0, 0.75).otherwise(1.0)
+    dark = F.when(F.col("brightness") < 45.0, 0.8).otherwise(1.0)
+    return terms * blurred * dark
 
 
 def weak_reason() -> Column:
