@@ -159,6 +159,7 @@ def _tile_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tiles per (lead, band), and the pairs of tiles of one lead that can hold links."""
     sizes = members.groupBy("lead", "band").agg(F.count("*").alias("m"), F.sum("n").alias("elements"))
     tiles = sizes.select("lead", "band", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("elements") / TILE_ELEMENTS)).alias("tiles"))
+    tiles = rows.written(tiles, "near-tile-counts")
     each = tiles.select("lead", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     second = each.select(F.col("lead").alias("lead_2"), F.col("band").alias("band_2"), F.col("tile").alias("tile_2"))
     same, next_ = F.col("band_2") == F.col("band"), F.col("band_2") == F.col("band") + 1
