@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,14 +40,21 @@ def pre_tokens(text: str) -> Iterator[str]:
 class Counts(dict):
     """Tokens per pre-token: the frequent ones given, others encoded when first met."""
 
-    def __init__(self, model: str, table: tuple[str, bytes] = ("", b"")):
+    def __init__(self, model: str):
         import sentencepiece
 
+        super().__init__()
         self.encoder = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.frequent = dict(zip(table[0].split("\0"), table[1])) if table[1] else {}
+        self.frequent: dict[str, int] = {}
         self.split = all(
             "\n" not in p and SPACE not in p.lstrip(SPACE) for p in map(self.encoder.id_to_piece, range(self.encoder.get_piece_size())))
-        super().__init__(self.frequent)
+
+    def primed(self, table: tuple[str, bytes]) -> Counts:
+        """The same counts with the table of frequent pre-tokens."""
+        if table[1] and not self.frequent:
+            self.frequent = dict(zip(table[0].split("\0"), table[1]))
+            self.update(self.frequent)
+        return self
 
     def __missing__(self, part: str) -> int:
         # A line end before the part keeps the library from giving it a space of its own; both count one.
@@ -68,6 +76,12 @@ class Counts(dict):
         return sum(map(self.__getitem__, pre_tokens(text)))
 
 
+@cache
+def counts_of(model: str) -> Counts:
+    """The worker's counts; what it has met stays known to the tasks that follow in the same worker."""
+    return Counts(model)
+
+
 def frequent(docs: DataFrame, model: str) -> tuple[str, bytes]:
     """The most frequent pre-tokens of a sample and their tokens: at most ``TABLE`` entries of ``LONGEST`` characters."""
     chosen = docs.select("text").where(F.col("text").isNotNull())
@@ -98,7 +112,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(model, table.value)
+        counts = counts_of(model).primed(table.value)
         for batch in batches:
             for part in words.slices(batch):
                 texts = part.column("text")
