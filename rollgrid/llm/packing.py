@@ -16,11 +16,13 @@ own; an empty table gives no rows; other columns of the table are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ CELL_BYTES = 8 << 20
 #: Tokens that a task holds at most before it packs them, whatever the cell.
 HELD_TOKENS = 16 << 20
 #: Pieces of a text that a worker remembers.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 300_000, 64
 
 
 def _characters(kind: str) -> str:
@@ -50,29 +52,57 @@ UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\x85\xa0-įı-ɏ]|<\|")
 
 
 class Encoder(dict):
-    """Little-endian ids of each part of a text, encoded by the library when first met."""
+    """Little-endian ids of each part of a text, encoded by the library when first met.
+
+    New parts of a text are encoded in one call, with spaces between them; a token that ends a word ends a part.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait
         self.library = Tokenizer.from_file(tokenizer)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.whole(part)
-        if len(part) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[part] = ids
-        return ids
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, parts: list[str], ids: list[bytes | None]) -> None:
+        """Encode the parts that have no ids yet; a full cache is emptied first."""
+        new = list({part for part, known in zip(parts, ids) if known is None})
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = list(set(parts))
+        raw = self.whole(" ".join(new))
+        cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1).tolist()
+        if len(cuts) == len(new):
+            self.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts))))
+        else:
+            self.update((part, self.whole(part)) for part in new)
 
     def of(self, text: str) -> bytes:
+        """Ids of a whole text."""
         if UNUSUAL.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, PARTS.findall(text.lower())))
+        parts = PARTS.findall(text.lower())
+        ids = list(map(self.get, parts))
+        if None in ids:
+            self.learn(parts, ids)
+            ids = list(map(self.__getitem__, parts))
+            for part in parts:
+                if len(part) > LONGEST:
+                    self.pop(part, None)
+        return b"".join(ids)
+
+
+@cache
+def encoder_of(tokenizer: str) -> Encoder:
+    """The worker's encoder; what it has met stays known to the tasks that follow in the same worker."""
+    return Encoder(tokenizer)
 
 
 def tiers(largest: int, smallest: int) -> list[int]:
@@ -141,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, closing_id: int, largest: in
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([closing_id], "<u4").tobytes()
         carried = "<u2" if encoder.library.get_vocab_size() <= 1 << 16 and closing_id < 1 << 16 else "<u4"
         for batch in batches:
