@@ -22,8 +22,9 @@ table are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ from rollgrid.llm import rows, words
 
 WIDTH = 5
 CHUNKS, SYMBOLS, ERRORS, BITS = 8, 6, 1, 16
+MOST_CHUNKS = 16
 #: Classes and set elements of a tile, about, and columns of a matrix at a time.
 TILE, TILE_ELEMENTS, COLUMNS = 256, 1 << 17, 4096
 #: Ids that may be broadcast to pick texts from the documents; more are joined.
 BROADCAST_IDS = 1_000_000
 
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, MOST_CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +56,12 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, bounds: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """b-bit MinHash values of each non-empty set, one row per text (zeros for empty sets)."""
-    out = np.zeros((len(bounds) - 1, len(_FACTORS)), np.uint16)
+    out = np.zeros((len(bounds) - 1, chunks * SYMBOLS), np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(_FACTORS[: chunks * SYMBOLS]):
             least = np.minimum.reduceat((values * factor) >> np.uint64(24), bounds[:-1][full])
             out[full, k] = (words.mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
     return out
@@ -68,7 +70,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def keys(signature: np.ndarray) -> np.ndarray:
     """One key per chunk and choice of positions left out."""
     out = []
-    for c in range(CHUNKS):
+    for c in range(signature.shape[1] // SYMBOLS):
         chunk = signature[:, c * SYMBOLS : (c + 1) * SYMBOLS].astype(np.uint64)
         for left_out in combinations(range(SYMBOLS), ERRORS):
             key = np.full(len(chunk), len(out) + 1, np.uint64)
@@ -79,34 +81,58 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """Per document: two hashes of its set, the set's size, and its signature."""
+class Scheme(NamedTuple):
+    """How texts become sets, what is kept of each set, and the keys read from that; linked sets share a key."""
+
+    sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    sign: Callable[[np.ndarray, np.ndarray], list[bytes]]  # values and bounds
+    keys: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | int]]  # all keys, and how many of each
+
+
+def minhash(chunks: int = CHUNKS) -> Scheme:
+    def sign(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        return [s.tobytes() for s in signatures(values, bounds, chunks)]
+
+    def keys_of(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray | int]:
+        key = keys(np.frombuffer(b"".join(signed), np.uint16).reshape(len(signed), -1))
+        return key.ravel(), key.shape[1]
+
+    return Scheme(sets, sign, keys_of)
+
+
+def _tie(text: str = "text") -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _described(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Per document: a hash of its text, two hashes of its set, the set's size, and its signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch):
-                values, bounds = sets(part.column("text"))
+                values, bounds = scheme.sets(part.column("text"))
                 empty = np.diff(bounds) == 0
-                packed = [s.tobytes() for s in signatures(values, bounds)]
+                packed = scheme.sign(values, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(_sums(words.mix(values), bounds), mask=empty),
+                    [part.column("doc_id"), part.column("tie"), pa.array(_sums(words.mix(values), bounds), mask=empty),
                      pa.array(_sums(words.mix(values ^ np.uint64(0x5555555555555555)), bounds), mask=empty),
                      pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary())],
-                    ["doc_id", "h1", "h2", "n", "signature"])
+                    ["doc_id", "tie", "h1", "h2", "n", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n long, signature binary")
+    return docs.select("doc_id", "text", _tie().alias("tie")).mapInArrow(
+        run, f"doc_id {kind}, tie long, h1 long, h2 long, n long, signature binary")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
-                key = keys(signature)
-                repeat = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), key.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), repeat("node"), repeat("n")], ["key", "node", "n"])
+                key, times = scheme.keys(part.column("signature").to_pylist())
+                repeat = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), times))
+                yield pa.RecordBatch.from_arrays([pa.array(key), repeat("node"), repeat("n")], ["key", "node", "n"])
 
     return classes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long")
 
@@ -115,7 +141,7 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Sets of the given classes, from the texts of their documents."""
     wanted = rows.written(nodes.join(classes.select("node", "h1", "h2", "doc_id"), "node"), "near-wanted")
     ids = wanted.select("node", F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("doc_id").alias("w_id"))
@@ -126,7 +152,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch):
-                values, bounds = sets(part.column("text"))
+                values, bounds = scheme.sets(part.column("text"))
                 same = ((_sums(words.mix(values), bounds) == part.column("w1").to_numpy())
                         & (_sums(words.mix(values ^ np.uint64(0x5555555555555555)), bounds) == part.column("w2").to_numpy()))
                 packed = [values[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(same)]
@@ -135,10 +161,10 @@ def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
     return chosen.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    full = rows.written(_texts_of(docs, classes, nodes), "near-sets")
+    full = rows.written(_texts_of(docs, classes, nodes, scheme), "near-sets")
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
         full.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
@@ -167,7 +193,7 @@ def _tile_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tiles, met.drop("lead_2").withColumn("pair", F.xxhash64("lead", "band", "tile", "band_2", "tile_2"))
 
 
-def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """Links between classes of one lead and different labels; ``open_``: lead, node, n, label."""
     band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100 - 1e-3)))).cast("int")  # a little wider than need be
     members = open_.withColumn("band", band)
@@ -178,7 +204,7 @@ def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, perc
     others = pairs.where("band <> band_2 or tile <> tile_2").select(
         "lead", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "pair")
     twos = placed.join(others, ["lead", "band", "tile"]).select("pair", F.lit(1).alias("side"), "node", "label")
-    full = rows.written(_texts_of(docs, classes, open_.select("node").distinct()), "near-sets")
+    full = rows.written(_texts_of(docs, classes, open_.select("node").distinct(), scheme), "near-sets")
     every = ones.unionByName(twos).join(full, "node")
     # Tiles are many and each is small, so a task streams its pairs one after the other.
     lined = every.repartition(session.task_count(docs.sparkSession), "pair").sortWithinPartitions("pair", "side", "node")
@@ -252,36 +278,41 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per document: size of its set, its component (the smallest id in it), and whether it is that document."""
-    described = rows.written(_described(docs), "near-described")
+    return linked(docs, percent, minhash()).drop("tie")
+
+
+def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
+    """``link`` with sets and keys of any scheme, and a hash of each document's text (``tie``)."""
+    described = rows.written(_described(docs, scheme), "near-described")
     classes = described.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = rows.written(classes.withColumn("node", F.col("h1")), "near-classes")
-    keyed = rows.written(_keyed(classes), "near-keys")
+    keyed = rows.written(_keyed(classes, scheme), "near-keys")
 
     star = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     stars = keyed.join(star.select("key", "lead"), "key").where(
         (F.col("node") != F.col("lead.node")) & _similar_size("n", "lead.n", percent))
     tried = rows.written(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = rows.written(_confirmed(docs, classes, tried, percent), "near-confirmed")
+    links = rows.written(_confirmed(docs, classes, tried, percent, scheme), "near-confirmed")
     label = components(links)
 
     labelled = keyed.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     leads = mixed.select("key").join(star.select("key", F.col("lead.node").alias("lead")), "key")
     open_ = labelled.join(leads, "key").select("lead", "node", "n", "label").distinct()
-    more = rows.written(_linked_in_tiles(docs, classes, rows.written(open_, "near-open"), percent), "near-confirmed")
+    more = rows.written(_linked_in_tiles(docs, classes, rows.written(open_, "near-open"), percent, scheme), "near-confirmed")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
     # Components are named by their smallest id; a class without links by its own.
-    linked = classes.join(label, "node").select("h1", "h2", "doc_id", "label")
-    names = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(names, "label").select("h1", "h2", "component_id")
+    in_links = classes.join(label, "node").select("h1", "h2", "doc_id", "label")
+    names = in_links.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = in_links.join(names, "label").select("h1", "h2", "component_id")
     alone = classes.join(label, "node", "left_anti").select("h1", "h2", F.col("doc_id").alias("component_id"))
     named = named.unionByName(alone).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id")
     out = described.join(named, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -290,8 +321,8 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Only the ids that go are joined, so texts do not move unless ids repeat.
     """
-    linked = rows.written(link(docs, percent), "near-linked")
-    by_id = linked.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    found = rows.written(link(docs, percent), "near-linked")
+    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     marked = rows.written(by_id.where("not kept or times > 1").select(F.col("doc_id").alias("marked_id"), "kept"), "near-marked")
     same = docs["doc_id"].eqNullSafe(marked["marked_id"])
     once = docs.join(marked, same, "left_anti")

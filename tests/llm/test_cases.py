@@ -202,6 +202,32 @@ def test_fingerprints(odd, none):
     assert alone.near_next == 1.0
 
 
+def test_fingerprints_meet_across_the_whole_corpus(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    texts = []
+    for i in range(150):
+        words_ = [f"the {a} {b}" for a, b in random.integers(0, 40 if i % 3 else 4000, (30, 2))]
+        if i >= 90:  # copies with a few changes, far away by id; all share hot signatures
+            words_ = texts[int(random.integers(0, 90))].split(", ")
+            for at in random.choice(30, random.integers(0, 5), replace=False):
+                words_[at] = f"of new{i} x{at}"
+        texts.append(", ".join(words_[:-1] + ["and hot passage"]))
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    sets = [set(s.tolist()) for s in fingerprints.signatures(pa.array(texts))]
+    smallest = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    smallest[i] = smallest[j] = min(smallest[i], smallest[j])
+        if all(smallest[k] == k for k in set(smallest)):
+            break
+    assert len(set(smallest)) < 130
+    for known in (fingerprints.KNOWN, 1):  # the order changes no result
+        monkeypatch.setattr(fingerprints, "KNOWN", known)
+        assert {r.doc_id: r.alike_id for r in fingerprints.edited(docs).collect()} == dict(enumerate(smallest))
+
+
 def test_toxicity(odd, none, labels, spark):
     got = toxicity.assess(odd, labels, odd.columns)
     assert {"score", "rejected"} < set(got.columns) and got.count() == odd.count()
