@@ -125,7 +125,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, known: np.ndarray, percent:
     order = np.lexsort((values, place, owner))
     needed = -(-percent * sizes // 100)
     ends = bounds[:-1] + np.where(sizes > 0, sizes - needed + 1, 0)
-    placed = words.mix(values[order])
+    placed = values[order].astype(np.uint32)
     return [placed[a:b].tobytes() for a, b in zip(bounds[:-1], ends)]
 
 
@@ -134,9 +134,9 @@ def alike(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def keys(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(signed), np.int64), np.array([len(s) // 8 for s in signed], np.int64)
+        return np.frombuffer(b"".join(signed), np.uint32).astype(np.int64), np.array([len(s) // 4 for s in signed], np.int64)
 
-    scheme = near_duplicates.Scheme(sets, lambda values, bounds: prefixes(values, bounds, known.value, percent), keys)
+    scheme = near_duplicates.Scheme(sets, lambda values, bounds: prefixes(values, bounds, known.value, percent), keys, rare=True)
     return near_duplicates.linked(docs, percent, scheme)
 
 

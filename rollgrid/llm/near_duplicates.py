@@ -87,6 +87,7 @@ class Scheme(NamedTuple):
     sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     sign: Callable[[np.ndarray, np.ndarray], list[bytes]]  # values and bounds
     keys: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | int]]  # all keys, and how many of each
+    rare: bool = False  # most keys are of one set; these are then left out before keys are written
 
 
 def minhash(chunks: int = CHUNKS) -> Scheme:
@@ -287,7 +288,11 @@ def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     classes = described.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = rows.written(classes.withColumn("node", F.col("h1")), "near-classes")
-    keyed = rows.written(_keyed(classes, scheme), "near-keys")
+    keyed = _keyed(classes, scheme)
+    if scheme.rare:
+        shared = rows.written(keyed.groupBy("key").count().where("count > 1").select("key"), "near-shared")
+        keyed = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key")
+    keyed = rows.written(keyed, "near-keys")
 
     star = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     stars = keyed.join(star.select("key", "lead"), "key").where(
