@@ -12,6 +12,8 @@ from rollgrid.llm import mixing, near_duplicates, packing, rows, secrets, toxici
 ORACLE_SQL = None
 
 TOKENIZER, CLOSING_ID, CONTEXT = "word_bpe_49k.json", 2, 4096
+#: Jaccard of near copies in per cent, and chunks of MinHash values with which a pair at that shares no key with a chance of 8e-6.
+NEAR, NEAR_CHUNKS = 80, 11
 #: Sources are evened out as far as no document is drawn more than twice, and each at least once.
 MIX = mixing.Target(budget=None, entropy=0.97, repetition=2.0)
 
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id."""
-    return rows.shielded(docs, near_duplicates.keep_one)
+    return rows.shielded(docs, lambda d: near_duplicates.keep_one(d, NEAR, NEAR_CHUNKS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

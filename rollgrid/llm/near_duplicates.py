@@ -4,7 +4,7 @@ A document is the set of its distinct windows of ``WIDTH`` words. Documents with
 count once. A class has ``CHUNKS * SYMBOLS`` MinHash values of ``BITS`` bits. By pigeonhole, two signatures that differ
 in fewer than ``CHUNKS * (ERRORS + 1)`` values have a chunk with at most ``ERRORS`` differences; every choice of
 ``ERRORS`` positions left out of a chunk is a key, so all pairs under that distance share a key. (At Jaccard 0.85 a pair
-shares no key with a chance of 6e-6.) Candidates are confirmed on full sets.
+shares no key with a chance of 6e-6; at 0.8 with 2e-4, and with 11 chunks 8e-6.) Candidates are confirmed on full sets.
 
 Pairs inside a bucket are not written out. Every bucket is first a star around its smallest class, its lead; the
 confirmed links give components. Buckets that then still hold classes of different components are taken together by
@@ -277,9 +277,9 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def link(docs: DataFrame, percent: int = 85) -> DataFrame:
+def link(docs: DataFrame, percent: int = 85, chunks: int = CHUNKS) -> DataFrame:
     """Per document: size of its set, its component (the smallest id in it), and whether it is that document."""
-    return linked(docs, percent, minhash()).drop("tie")
+    return linked(docs, percent, minhash(chunks)).drop("tie")
 
 
 def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
@@ -321,12 +321,12 @@ def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85, chunks: int = CHUNKS) -> DataFrame:
     """The rows of ``docs`` whose document stays; of rows with equal id and text one stays.
 
     Only the ids that go are joined, so texts do not move unless ids repeat.
     """
-    found = rows.written(link(docs, percent), "near-linked")
+    found = rows.written(link(docs, percent, chunks), "near-linked")
     by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     marked = rows.written(by_id.where("not kept or times > 1").select(F.col("doc_id").alias("marked_id"), "kept"), "near-marked")
     same = docs["doc_id"].eqNullSafe(marked["marked_id"])

@@ -158,6 +158,15 @@ def test_a_crowd_just_below_the_threshold_keeps_its_few_links(spark):
     assert got[600] == got[17] and len(set(got.values())) > 300
 
 
+def test_the_pipeline_drops_near_copies_from_80_per_cent_on(spark):
+    w = [f"w{i}" for i in range(500)]
+    copy = [f"new{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 446 windows of 546
+    far = [f"far{i}" if i % 40 == 20 else x for i, x in enumerate(w)]  # 436 windows of 556
+    docs = table(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate((w, copy, far))])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def test_keys_meet_whenever_the_distance_allows():
     random = np.random.default_rng(3)
     values = near_duplicates.CHUNKS * near_duplicates.SYMBOLS
