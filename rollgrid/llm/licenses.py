@@ -10,12 +10,18 @@ Templates are a parameter of bounded size and are broadcast with the index; coun
 word and task. Of the templates that match a block, the best ones give their label. Phrases are found besides, word by
 word, and always count.
 
+Whole notices are cut into templates of at most ``PIECE`` words that cover all of each notice; a longer template is
+refused. A block has the label of a version or variant only if it holds the words that tell it apart (``DECIDING``); a
+piece that GNU licenses share says ``gnu``. The words of a GPL piece also stand in those of the LGPL and AGPL, so beside a
+match of these it does not count.
+
 Defined cases: a null text is empty and has score 0; repeated rows stay; an empty table gives no rows; other columns of
 the table are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from rollgrid.llm import words
 
 BLOCK, CONTAINED = 64, 0.85
+#: Longest template: that many words always lie whole in one block.
+PIECE = BLOCK // 2 + 1
 
 # Phrases with their labels, and public license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -45,6 +53,50 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {version} of the License"
+_MORE = "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+#: Whole notices; paragraphs that begin a piece of their own are apart.
+NOTICES = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", _BSD),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((label, _GNU.format(kind=kind, version=version)) for label, kind, version in (
+        ("gpl-2", _GPL, "2"), ("gpl-3", _GPL, "3"), ("lgpl-2.1", _LGPL, "2.1"), ("lgpl-3", _LGPL, "3"), ("agpl-3", _AGPL, "3"))),
+    ("gnu", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU"),
+    ("gnu", "published by the Free Software Foundation; either version of the License, or (at your option) any later version."),
+    ("gnu", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl", _MORE.format(kind=_GPL)), ("lgpl", _MORE.format(kind=_LGPL)), ("agpl-3", _MORE.format(kind=_AGPL)),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc0", "This work is licensed under the CC0 1.0 Universal Public Domain Dedication."),
+    ("epl-1", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at eclipse.org/legal/epl-2.0"),
+    ("mpl-2", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0/"),
+)
+#: Words without which a block does not have the label.
+DECIDING = {"gpl-2": "2", "gpl-3": "3", "lgpl-2.1": "lesser 2 1", "lgpl-3": "lesser 3", "lgpl": "lesser", "agpl-3": "affero",
+            "epl-1": "v1", "epl-2": "2"}
+
+
+def cut(text: str) -> list[str]:
+    """Pieces of at most ``PIECE`` words, of about one length, that cover the whole text."""
+    w = re.findall(r"[A-Za-z0-9]+", text)
+    n = -(-len(w) // PIECE)
+    return [" ".join(w[k * len(w) // n : (k + 1) * len(w) // n]) for k in range(n)]
+
+
+TEMPLATES += tuple((label, piece) for label, text in NOTICES for piece in cut(text))
+
 
 def hashes_of(text: str) -> np.ndarray:
     return words.Words(pa.array([text]), words.ALPHANUMERIC).hashes()
@@ -58,14 +110,19 @@ class Index(NamedTuple):
     sets: list[np.ndarray]  # ranks of each template's words, rising
     needed: list[int]
     prefixes: dict[int, list[tuple[int, int]]]  # rank: (template, position)
+    deciding: list[np.ndarray]  # ranks without which a block does not match
 
 
 def vocabulary(templates) -> np.ndarray:
-    return np.unique(np.concatenate([hashes_of(text) for _, text in templates]))
+    deciding = [hashes_of(DECIDING[label]) for label, _ in templates if label in DECIDING]
+    return np.unique(np.concatenate([hashes_of(text) for _, text in templates] + deciding))
 
 
 def index(templates, documents: dict[int, int], contained: float = CONTAINED) -> Index:
     """``documents``: how many documents hold each word, by its hash."""
+    long = [text for _, text in templates if len(hashes_of(text)) > PIECE]
+    if long:
+        raise ValueError(f"a template has more than {PIECE} words and would not lie whole in a block: {long[0]}")
     known = vocabulary(templates)
     counts = np.array([documents.get(int(h), 0) for h in known])
     rank = np.empty(len(known), np.int64)
@@ -76,7 +133,8 @@ def index(templates, documents: dict[int, int], contained: float = CONTAINED) ->
     for t, (s, o) in enumerate(zip(sets, needed)):
         for i, r in enumerate(s[: len(s) - o + 1].tolist()):
             prefixes.setdefault(r, []).append((t, i))
-    return Index(known, rank, sets, needed, prefixes)
+    deciding = [rank[np.searchsorted(known, hashes_of(DECIDING.get(label, "")))] for label, _ in templates]
+    return Index(known, rank, sets, needed, prefixes, deciding)
 
 
 def _placed(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +168,7 @@ def matches(found: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
                     continue
                 tried.add(t)
                 shared = len(np.intersect1d(found.sets[t], held, assume_unique=True))
-                if shared >= needed:
+                if shared >= needed and np.isin(found.deciding[t], held).all():
                     out.append((int(rows[0, 0]), int(rows[0, 1]), t, shared / len(found.sets[t])))
     return out
 
@@ -169,6 +227,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
                 for d, b, t, share in matches(shared.value, hashes, first):
                     by_block.setdefault((d, b), []).append((share, t))
                 for (d, _), hits in by_block.items():
+                    if any(templates[t][0].startswith(("lgpl", "agpl")) for _, t in hits):
+                        hits = [(share, t) for share, t in hits if not templates[t][0].startswith("gpl")]
                     best = max(hits)[0]
                     score[d] = max(score[d], best)
                     labels[d].update(templates[t][0] for share, t in hits if share == best)

@@ -202,6 +202,20 @@ def test_licenses(odd, none, spark):
     assert licenses.scan(near).first().labels == "apache-2"
 
 
+def test_every_part_of_a_notice_is_labelled(spark):
+    gnu = ("you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by "
+           "the Free Software Foundation, either version {} of the License, or (at your option) any later version").format
+    texts = {"mit": licenses.NOTICES[2][1], "bsd": licenses.NOTICES[6][1], "isc": licenses.NOTICES[7][1], "cc0": licenses.NOTICES[-5][1],
+             "gpl-2": gnu("", 2), "gpl-3": gnu("", 3), "lgpl-2.1": gnu("Lesser", "2.1"), "lgpl-3": gnu("Lesser", 3), "agpl-3": gnu("Affero", 3)}
+    docs = [(pad * 100 + k, "pad " * pad + text + " pad" * 80, "en", "s") for k, text in enumerate(texts.values()) for pad in (0, 7, 20, 31, 45)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(table(spark, docs)).collect()}
+    for i, found in got.items():
+        label = list(texts)[i % 100]
+        assert label in found and found <= {label, "gnu"}, (label, found)
+    with pytest.raises(ValueError):
+        licenses.index([("long", " ".join(f"w{i}" for i in range(70)))], {})
+
+
 def test_fingerprints(odd, none):
     got = {r.doc_id: r for r in fingerprints.edited(odd).collect()}
     assert got[1].fingerprint == got[2].fingerprint == "" and got[5].fingerprint == got[6].fingerprint
