@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.llm import fingerprints, licenses, mixing, near_duplicates, packing, quality, rows, secrets, sharding, token_counts, toxicity
+from rollgrid.llm import (
+    chunk_recipes, fingerprints, hard_negatives, licenses, mixing, near_duplicates, packing, quality, rows, secrets, sharding, spelling,
+    token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +227,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_minhash_hamming")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.link(rows.documents(spark, sf_dir), percent=85)
+
+
+_EQUAL_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
+
+
+@query("op11_chunk_recipes", _EQUAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.equal_texts(rows.documents(spark, sf_dir)).drop("n_chunks")
+
+
+_MINE_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same AND vec_id <> anchor_id)
+  WHERE place <= {hard_negatives.POSITIVES})
+SELECT * FROM (SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= {hard_negatives.NEGATIVES}"""
+
+
+@query("op12_strassen_negatives", _MINE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE each AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hashed AS (SELECT run, times, {CRC} AS h FROM (
+  SELECT run, count(*) AS times, coalesce(doc_id::VARCHAR, 'null') || ':' || run AS t FROM each GROUP BY doc_id, run)),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_TIMES}),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, v.n, a.word, a.n FROM cut a JOIN v ON a.rest = v.word),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near END AS form,
+    CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near_n END AS form_n FROM v LEFT JOIN best b ON b.word = v.word AND place = 1),
+chain(word, root, step) AS (SELECT word, word, 0 FROM formed
+  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) c USING (word)"""
+
+
+@query("op13_partenum_spelling", _SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(rows.documents(spark, sf_dir))
