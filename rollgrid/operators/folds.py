@@ -249,6 +249,33 @@ class FirstOnly(Fold):
         return (state[0] // self.period + 1) * self.period if self.period else None
 
 
+class CodeUse(Fold):
+    """Verdict of each scan of a code: the first in time of an unused session consumes it.
+
+    ``until`` is the last time at which the session is known; afterwards the state is not asked again.
+    """
+
+    inputs = ("found", "used", "in_time", "until")
+    output = "verdict STRING"
+
+    def step(self, state, cols):
+        verdicts = []
+        for found, used, in_time, until in zip(*(cols[c].tolist() for c in self.inputs)):
+            if not found:
+                verdicts.append("not_found")
+            elif used or state:
+                verdicts.append("used")
+            elif in_time:
+                state = (int(until),)
+                verdicts.append("ok")
+            else:
+                verdicts.append("expired")
+        return state, {"verdict": verdicts}
+
+    def forget_at(self, state):
+        return state[0] + 1
+
+
 class CameraCount(Fold):
     """Distinct cameras among the rows of the last ``window_s`` seconds, this row included."""
 

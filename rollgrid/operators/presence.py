@@ -129,10 +129,15 @@ def camera_quorum(
         *who, "_b", F.col("e.at").alias("us")).agg(F.sum("e.d").alias("_d"))
     along = Window.partitionBy(*who, "_b").orderBy("us")
     open_now = moves.select(*who, "us", F.sum("_d").over(along).alias("n_cameras"))
+    return with_quorum(matches.join(open_now, [*who, "us"]).select(*matches.columns, "n_cameras"), cameras, ratio)
+
+
+def with_quorum(counted: DataFrame, cameras: DataFrame, ratio: float = QUORUM_RATIO) -> DataFrame:
+    """Adds ``required`` and ``quorum`` to matches with ``branch_id`` and ``n_cameras``."""
     active = cameras.filter("active").groupBy("branch_id").agg(F.count(F.lit(1)).alias("_active"))
     required = F.floor(ratio * F.col("_active") + 0.999).cast("bigint")
-    return matches.join(open_now, [*who, "us"]).join(active, "branch_id", "left").select(
-        *matches.columns, "n_cameras", F.coalesce(required, F.lit(0)).alias("required"),
+    return counted.join(active, "branch_id", "left").select(
+        *counted.columns, F.coalesce(required, F.lit(0)).alias("required"),
         F.coalesce(F.col("n_cameras") >= required, F.lit(False)).alias("quorum"))
 
 

@@ -122,6 +122,41 @@ def fold_stream(events: DataFrame, keys: list[str], fold: Fold, order: tuple[str
         outputMode="Append", timeMode="EventTime")
 
 
+class FirstSeen(StatefulProcessor):
+    """Emits the first row of a key when it comes: in the micro-batch that brings the key, the first in order.
+
+    The state is one mark, which goes when the watermark has passed ``ends_col`` (milliseconds).
+    """
+
+    def __init__(self, schema: T.StructType, order: list[str], ends_col: str):
+        self.names, self.order, self.ends = schema.fieldNames(), order, ends_col
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "us BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                best = pdf.sort_values(self.order, kind="stable").head(1)
+                at = tuple(best.iloc[0][c] for c in self.order)
+                first = (at, best) if first is None or at < first[0] else first
+        if first is not None and not self.mark.exists():
+            self.mark.update((int(first[0][0]),))
+            self.handle.registerTimer(int(first[1].iloc[0][self.ends]))
+            yield first[1][self.names].reset_index(drop=True)
+        else:
+            yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.mark.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit_stream(events, keys, limit, window_s):
     return fold_stream(events, keys, folds.RateLimit(limit, window_s))
 
@@ -157,8 +192,22 @@ def once_per_day_stream(events: DataFrame, keys: list[str], time_col: str = "ts"
     """First event per key and day, once the watermark has left the day.
 
     A plain windowed aggregation, so it stays in the JVM whatever the number of keys, and its state
-    goes with the day. Where a mark must be taken at once, the attendance sink keeps it to one a day.
+    goes with the day. ``once_now_stream`` answers at once.
     """
     row = F.struct(*[c for c in events.columns if c not in ("us", "event_id")], "us", "event_id")
     days = events.groupBy(*keys, F.window(time_col, "1 day")).agg(F.min_by(row, F.struct("us", "event_id")).alias("r"))
     return days.select("r.*").withColumn("day", day_of())
+
+
+def once_now_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The mark of each key and day (UTC) in the micro-batch that first brings one; append output.
+
+    Within a micro-batch the first in (time, event_id) order marks. A mark once given stays: an earlier event of the day
+    that comes in a later micro-batch, though not late, finds the day marked and gives no row. The state of a day goes when
+    the watermark has left it; events behind the watermark are dropped (``late.split_late`` keeps them).
+    """
+    dated = events.withColumn("day", day_of())
+    held = dated.withColumn("ends_ms", (F.col("day") + F.lit(1)).cast("bigint") * F.lit(86_400_000))
+    return held.groupBy(*keys, "day").transformWithStateInPandas(
+        statefulProcessor=FirstSeen(dated.schema, ["us", "event_id"], "ends_ms"),
+        outputStructType=T.StructType(list(dated.schema.fields)), outputMode="Append", timeMode="EventTime")
