@@ -4,19 +4,24 @@ Window functions cannot express these ("seconds since the last *accepted* row").
 shuffle by key, a sort inside the partitions and a pass that streams Arrow batches and holds one
 state, never the rows of a key.
 
-A key with more than ``hot_rows`` rows would still be one long task. Such keys are cut into time
-chunks that run in parallel with guessed entry states; every chunk reports the state it ends with,
-chunks whose true entry state (the exit of the chunk before) differs from the guess run again, and
-this repeats until nothing changes. The first chunk is right from the start and each round makes at
-least the next one right, so the end is the sequential result. Folds that forget their past - after
-a time-out or a fresh vector - settle after one or two rounds. Where the past reaches far only the first wrong chunk of a key runs again per round: the work stays
-linear, but such a key takes as many rounds as it has chunks.
+A key with more than ``hot_rows`` rows would still be one long task. Such keys are cut into chunks by
+sampled ranges of their times, so a burst is several chunks. How a chunk learns its entry state:
+
+* A fold with a ``summary`` says, per chunk and without knowing how it is entered, what comes out for
+  every state that can come in, as a small table of pieces. All chunks are summarised in parallel,
+  then one light pass per key hands the state from table to table. Three passes, whatever the number
+  of chunks and however far the past reaches.
+* Other folds guess: chunks run in parallel with guessed entry states and report the state they end
+  with; chunks whose true entry state (the exit of the chunk before) differs run again, until nothing
+  changes. The first chunk is right from the start and each round makes at least the next one right.
+  Folds that forget their past settle after one or two rounds. Where the past reaches far only the
+  first wrong chunk of a key runs again per round: the work stays linear, in as many rounds as chunks.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +55,16 @@ class Fold:
         """Time in microseconds from which ``state`` means the same as none; None for never."""
         return None
 
+    def summary(self, cols: dict[str, np.ndarray]) -> Callable[[tuple | None], tuple] | None:
+        """The state that these rows, all of a chunk, leave for each state before them; None if the fold has no such table.
+
+        The table pickles. A state it gives need not equal the step's, but every later row must be treated alike.
+        """
+        return None
+
+    def summarised(self) -> bool:
+        return type(self).summary is not Fold.summary
+
 
 class Ragged:
     """Output column of lists of structs: how many structs each row has, and all of them as tuples."""
@@ -202,13 +217,74 @@ def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fo
         rounds += 1
 
 
+def _summary_pass(rows: DataFrame, unit: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """One row per chunk with its table; a task holds the step's inputs of one chunk."""
+    lined = spread_by(rows, unit).sortWithinPartitions(*unit, *order)
+    schema = T.StructType([rows.schema[k] for k in unit] + [T.StructField("_table", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def table_of(key: tuple, held: list[dict]) -> pa.RecordBatch:
+        cols = {n: np.concatenate([part[n] for part in held]) for n in fold.inputs}
+        values = [*([k] for k in key), [pickle.dumps(fold.summary(cols))]]
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, arrays = _run_starts(batch, unit), as_arrays(batch, fold.inputs)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                mine = tuple(batch.column(k)[int(a)].as_py() for k in unit)
+                if mine != key:
+                    if held:
+                        yield table_of(key, held)
+                    key, held = mine, []
+                held.append({n: x[a:b].copy() for n, x in arrays.items()})
+        if held:
+            yield table_of(key, held)
+
+    return lined.select(*unit, *[c for c in fold.inputs]).mapInArrow(run, schema)
+
+
+def _summarised_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """True entry state per (keys, chunk), handed from table to table; chunks that start from nothing are absent."""
+    unit = [*keys, CHUNK]
+    tables = _summary_pass(rows, unit, order, fold).checkpoint()
+    lined = spread_by(tables, keys).sortWithinPartitions(*unit)
+    schema = T.StructType([rows.schema[k] for k in unit] + [T.StructField(ENTRY, T.BinaryType())])
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            entries = []
+            for *mine, table in zip(*(batch.column(c).to_pylist() for c in [*keys, "_table"])):
+                if mine != key:
+                    key, state = mine, None
+                entries.append(None if state is None else pickle.dumps(state))
+                state = pickle.loads(table)(state)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in unit), pa.array(entries, pa.binary())], names=[*unit, ENTRY])
+
+    return lined.mapInArrow(run, schema).where(F.col(ENTRY).isNotNull()).checkpoint()
+
+
+def _chunked(df: DataFrame, hot: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
+    """Rows of hot keys with ``CHUNK``, which rises with a key's time: sampled ranges of (key, time) of about ``hot_rows`` rows.
+
+    Rows of one key and time stay together.
+    """
+    total = hot.agg(F.sum("_n")).first()[0]
+    rows = df.join(hot.select(*keys), keys, "left_semi").select(df.columns)
+    ranged = rows.repartitionByRange(-(-total // hot_rows), *keys, time_col)
+    return ranged.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+
+
 def hot_keys(df: DataFrame, keys: list[str], time_col: str, hot_rows: int | None) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, their count ``_n`` and time range ``_lo, _hi``; None if there are none."""
+    """Keys with more than ``hot_rows`` rows and their count ``_n``; None if there are none."""
     if hot_rows is None:
         return None
     reliable_folder(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows)
     return None if hot.isEmpty() else hot
 
@@ -227,10 +303,9 @@ def ordered_fold(
     result = _output_pass(ordered, keys, keep, fold, carry_in=False)
     if hot is None:
         return result
-    chunks = F.ceil(F.col("_n") / hot_rows)
-    place = F.floor((F.col(order[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * chunks)
-    rows = df.join(hot, keys).select(*keep, place.cast("int").alias(CHUNK)).checkpoint()
-    entries = _settle_entries(rows, keys, order, fold)
+    rows = _chunked(df, hot, keys, order[0], hot_rows)
+    settle = _summarised_entries if fold.summarised() else _settle_entries
+    entries = settle(rows, keys, order, fold)
     unit = [*keys, CHUNK]
     final = _output_pass(_with_entries(rows, entries, unit, order), unit, keep, fold, carry_in=True)
     return result.unionByName(final)

@@ -20,6 +20,54 @@ MARK_TTL_S = 1800
 REPLAY_AT, SEARCH_AGAIN_BELOW = 0.995, 0.992
 
 
+class Runs:
+    """What a chunk makes of a state that has run out, by the event at which a new run starts.
+
+    ``next_start[i]`` is the first event after the run from event i (the number of events if the run outlasts the chunk).
+    Runs follow one another, so the last one from any start is found by doubling the links.
+    """
+
+    def __init__(self, us: np.ndarray, next_start: np.ndarray):
+        inside = next_start < len(us)
+        self.last = np.where(inside, next_start, np.arange(len(us)))
+        while not np.array_equal(further := self.last[self.last], self.last):
+            self.last = further
+
+    def pieces(self, us: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
+        """(times, last runs): a run that starts at the first event at or after t ends in the last run of the first piece whose
+        time is at least t. For t up to the first event at or after ``until``."""
+        reach = min(int(np.searchsorted(us, until)) + 1, len(us))
+        first = np.flatnonzero(np.r_[True, us[1:reach] != us[: reach - 1]])  # of events at one time the first starts a run
+        ends = np.flatnonzero(np.r_[self.last[first][1:] != self.last[first][:-1], True])
+        return us[first[ends]], self.last[first[ends]]
+
+
+class Pieces:
+    """A step function from a time to a state; beyond the last time it has no value."""
+
+    def __init__(self, times: np.ndarray, states: list[tuple]):
+        self.times, self.states = times, states
+
+    def at(self, time: int) -> tuple | None:
+        k = int(np.searchsorted(self.times, time))
+        return self.states[k] if k < len(self.states) else None
+
+
+class WindowTable:
+    """State after a chunk for a state before it, where windows of one length open at the first event after the last one closed."""
+
+    def __init__(self, us: np.ndarray, window: int, state_of):
+        self.window, self.begin, self.end, self.n = window, int(us[0]), int(us[-1]), len(us)
+        times, starts = Runs(us, np.searchsorted(us, us + window)).pieces(us, self.begin + window)
+        self.fresh = Pieces(times, [state_of(int(us[i]), self.n - int(i)) for i in starts])
+
+    def __call__(self, state):
+        closes = state[0] + self.window if state else self.begin
+        if closes > self.end:
+            return (state[0], *(seen + self.n for seen in state[1:]))
+        return self.fresh.at(max(closes, self.begin))
+
+
 class RateLimit(Fold):
     """A window opens with the first event after the last one closed; event n in it passes iff n ≤ limit."""
 
@@ -45,6 +93,12 @@ class RateLimit(Fold):
     def forget_at(self, state):
         return state[0] + self.window
 
+    def summarised(self):
+        return self.window > 0
+
+    def summary(self, cols):
+        return WindowTable(cols["us"], self.window, lambda start, seen: (start, seen))
+
 
 class Lockout(Fold):
     """Counted attempts restart the timer; at the limit further ones are blocked and do not."""
@@ -71,6 +125,39 @@ class Lockout(Fold):
     def forget_at(self, state):
         return state[1] + self.timeout
 
+    def summarised(self):
+        return self.limit > 0
+
+    def summary(self, cols):
+        us, n = cols["us"], len(cols["us"])
+        pauses = np.flatnonzero(np.diff(us) >= self.timeout) + 1  # events that come long after the one before
+        pause = np.r_[pauses, n][np.searchsorted(pauses, np.arange(n), side="right")]
+        last = np.minimum(np.arange(n) + self.limit, pause) - 1  # the last event that the run from each event counts
+        runs = Runs(us, np.searchsorted(us, us[last] + self.timeout))
+        left = lambda i: (int(last[i] - i + 1), int(us[last[i]]))  # noqa: E731  state that the run from event i leaves
+        times, ends = runs.pieces(us, int(us[0]) + self.timeout)
+        fresh, counting = Pieces(times, [left(i) for i in ends]), []
+        for count in range(1, self.limit):  # a run that is under way when the chunk begins
+            stop = min(self.limit - count, int(pause[0])) - 1
+            after = int(np.searchsorted(us, us[stop] + self.timeout))
+            counting.append(left(runs.last[after]) if after < n else (count + stop + 1, int(us[stop])))
+        return LockoutTable(self.limit, self.timeout, int(us[0]), int(us[-1]), fresh, counting)
+
+
+class LockoutTable:
+    """State after a chunk for a state before it: the lock runs out at some event, or a run goes on, or nothing is left."""
+
+    def __init__(self, limit: int, timeout: int, first: int, end: int, fresh: Pieces, counting: list[tuple]):
+        self.limit, self.timeout, self.first, self.end, self.fresh, self.counting = limit, timeout, first, end, fresh, counting
+
+    def __call__(self, state):
+        count, last = state or (0, None)
+        if not count or self.first - last >= self.timeout:
+            return self.fresh.at(self.first)
+        if count < self.limit:
+            return self.counting[count - 1]
+        return state if last + self.timeout > self.end else self.fresh.at(last + self.timeout)
+
 
 class TtlDedup(Fold):
     """An event passes iff no *passed* event of its key lies less than ``ttl_s`` back."""
@@ -94,6 +181,12 @@ class TtlDedup(Fold):
     def forget_at(self, state):
         return state[0] + self.ttl
 
+    def summarised(self):
+        return self.ttl > 0
+
+    def summary(self, cols):
+        return WindowTable(cols["us"], self.ttl, lambda start, seen: (start,))
+
 
 def _cosines(vector: np.ndarray, block: np.ndarray) -> np.ndarray:
     norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", block, block)), NORM_FLOOR)
@@ -225,12 +318,55 @@ class Verification(Fold):
                 status.append("marked")
         return (marked, opened, tries), {"status": status}
 
+    def summarised(self):
+        """A mark must outlast the attempt window it was made in."""
+        return self.limit > 0 and self.ttl >= self.window
+
+    def summary(self, cols):
+        us, n = cols["us"], len(cols["us"])
+        at, inside = np.arange(n), np.flatnonzero(cols["inside"])
+        closes = np.searchsorted(us, us + self.window)
+        marks = np.r_[inside, n][np.searchsorted(inside, at)]  # first event inside, from each event on
+        marked = marks < np.minimum(np.minimum(at + self.limit, closes), n)
+        follows = np.where(marked, np.searchsorted(us, us[np.minimum(marks, n - 1)] + self.ttl), closes)
+        runs = Runs(us, follows)
+
+        def left(i):
+            return (int(us[marks[i]]), int(us[i]), int(marks[i] - i + 1)) if marked[i] else (None, int(us[i]), int(min(closes[i], n) - i))
+
+        times, ends = runs.pieces(us, int(us[0]) + self.ttl)
+        first, settled = int(marks[0]), None
+        if first < min(self.limit, n):  # what follows if the first event inside marks
+            after = int(np.searchsorted(us, us[first] + self.ttl))
+            settled = left(runs.last[after]) if after < n else (int(us[first]), int(us[first]), 0)
+        return VerificationTable(self, us, first, settled, Pieces(times, [left(i) for i in ends]))
+
     def forget_at(self, state):
         marked, opened, _ = state
         ends = [t + span for t, span in ((marked, self.ttl), (opened, self.window)) if t is not None]
         return max(ends)
 
 
+class VerificationTable:
+    """State after a chunk for a state before it: a live mark runs out, an attempt window goes on, or nothing is left."""
+
+    def __init__(self, fold: Verification, us: np.ndarray, first: int, settled: tuple | None, fresh: Pieces):
+        self.ttl, self.limit, self.window = fold.ttl, fold.limit, fold.window
+        self.begin, self.end, self.n = int(us[0]), int(us[-1]), len(us)
+        self.first, self.settled, self.fresh = first, settled, fresh
+        self.first_us = int(us[first]) if first < self.n else None
+
+    def __call__(self, state):
+        marked, opened, tries = state or (None, None, 0)
+        if marked is not None and self.begin - marked < self.ttl:
+            return state if marked + self.ttl > self.end else self.fresh.at(marked + self.ttl)
+        if opened is None or self.begin >= opened + self.window:
+            return self.fresh.at(self.begin)
+        if self.settled is not None and self.first < self.limit - tries and self.first_us < opened + self.window:
+            return self.settled
+        return (None, opened, tries + self.n) if opened + self.window > self.end else self.fresh.at(opened + self.window)
+
+
 class FirstOnly(Fold):
     """True for the first row of a key. ``period_s``: the key names a period of that length (a day)."""
 

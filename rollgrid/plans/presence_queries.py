@@ -50,6 +50,19 @@ def s2(v):
     return presence.lockout(events, ["key"], 3, 12 * HOUR).select("event_id", "attempts", "blocked")
 
 
+@query("s2_lockout_hot_keys", "attempt", WALK.format(
+    key="key", view="attempt", first="CAST(1 AS INT) AS attempts, o.us AS last_us, false AS blocked",
+    then="""CAST(CASE WHEN o.us - w.last_us >= 2592000000000 THEN 1 WHEN w.attempts >= 2 THEN w.attempts
+                 ELSE w.attempts + 1 END AS INT),
+            CASE WHEN o.us - w.last_us < 2592000000000 AND w.attempts >= 2 THEN w.last_us ELSE o.us END,
+            o.us - w.last_us < 2592000000000 AND w.attempts >= 2""",
+    select="SELECT event_id, attempts, blocked FROM w"))
+def s2_hot(v):
+    """Locks of 30 days: nearly every chunk is entered locked, and the past reaches over all of them."""
+    events = v.attempt.select("event_id", "key", "us")
+    return presence.lockout(events, ["key"], 2, 30 * 24 * HOUR, hot_rows=20).select("event_id", "attempts", "blocked")
+
+
 TTL_SQL = WALK.format(
     key="key", view="attempt", first="o.us AS last_us, true AS accepted",
     then="CASE WHEN o.us - w.last_us >= 21600000000 THEN o.us ELSE w.last_us END, o.us - w.last_us >= 21600000000",
@@ -166,7 +179,7 @@ def s8(v):
         "event_id", "n_cameras", "required", "quorum")
 
 
-@query("s10_verify_attendance", "attempt branch", """
+VERIFY_SQL = """
     WITH RECURSIVE g AS (SELECT event_id, key, us, pow(sin(radians(b.latitude - lat) / 2), 2) + cos(radians(lat))
                * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - lon) / 2), 2) AS h, b.attendance_radius AS r
            FROM attempt JOIN branch b ON b.id = branch_id),
@@ -182,15 +195,25 @@ def s8(v):
           FROM (SELECT *, CASE WHEN recent THEN 'already_marked' WHEN n > 2 THEN 'too_many_attempts'
                                WHEN NOT inside THEN 'wrong_location' ELSE 'marked' END AS status
                 FROM (SELECT o.event_id, w.k, o.rn, o.us, o.inside, w.marked, w.opened, w.tries,
-                             o.us - w.marked < 54000000000 AS recent, o.us >= w.opened + 86400000000 AS fresh,
-                             CASE WHEN o.us >= w.opened + 86400000000 THEN 1 ELSE w.tries + 1 END AS n
+                             o.us - w.marked < {ttl} AS recent, o.us >= w.opened + {window} AS fresh,
+                             CASE WHEN o.us >= w.opened + {window} THEN 1 ELSE w.tries + 1 END AS n
                       FROM w JOIN o ON o.key = w.k AND o.rn = w.rn + 1)))
-    SELECT event_id, status FROM w WHERE rn > 0""")
+    SELECT event_id, status FROM w WHERE rn > 0"""
+
+
+@query("s10_verify_attendance", "attempt branch", VERIFY_SQL.format(ttl=54000000000, window=86400000000))
 def s10(v):
     requests = v.attempt.select("event_id", "key", "branch_id", "us", "lat", "lon")
     return presence.verify_attendance(requests, v.branch, ["key"], 15 * HOUR, 2, 24 * HOUR).select("event_id", "status")
 
 
+@query("s10_verify_attendance_hot_keys", "attempt branch", VERIFY_SQL.format(ttl=864000000000, window=172800000000))
+def s10_hot(v):
+    """Marks of ten days: a mark outlasts many chunks."""
+    requests = v.attempt.select("event_id", "key", "branch_id", "us", "lat", "lon")
+    return presence.verify_attendance(requests, v.branch, ["key"], 240 * HOUR, 2, 48 * HOUR, hot_rows=20).select("event_id", "status")
+
+
 SCAN_SQL = """
     WITH joined AS (SELECT s.*, q.code IS NOT NULL AS found, q.used, q.branch_id, NOT q.used AND s.us < q.expires_us
                     + q.grace_seconds * 1000000 AS in_time FROM scan s LEFT JOIN qr_session q ON q.code = s.code),

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -187,3 +189,54 @@ def test_scans(spark):
     assert got == {1: "used", 2: "ok", 3: "used", 4: "used", 5: "not_found"}
     late = presence.validate_scans(scans.filter("event_id = 3"), sessions).first()
     assert late.verdict == "expired"
+
+
+def handed_over(fold, cols, cuts):
+    """The fold over chunks whose entry states come from the tables of the chunks before, as pickles."""
+    state, parts = None, []
+    edges = [0, *sorted(set(cuts)), len(cols["us"])]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            part = {n: cols[n][a:b] for n in fold.inputs}
+            parts.append(fold.step(state, part)[1])
+            state = pickle.loads(pickle.dumps(fold.summary(part)))(state)
+    return {n: [v for p in parts for v in list(p[n])] for n in parts[0]}
+
+
+@settings(max_examples=200, deadline=None)
+@given(times, st.integers(1, 4), st.integers(1, 90), st.data())
+def test_lockout_summary(ts, limit, timeout, data):
+    cuts = data.draw(st.lists(st.integers(1, len(ts)), max_size=9))
+    fold = folds.Lockout(limit, timeout)
+    assert handed_over(fold, {"us": us(ts)}, cuts) == run(fold, {"us": us(ts)})
+
+
+@settings(max_examples=200, deadline=None)
+@given(times, st.integers(1, 4), st.integers(1, 90), st.data())
+def test_window_summaries(ts, limit, window, data):
+    cuts = data.draw(st.lists(st.integers(1, len(ts)), max_size=9))
+    for fold in (folds.RateLimit(limit, window), folds.TtlDedup(window)):
+        assert handed_over(fold, {"us": us(ts)}, cuts) == run(fold, {"us": us(ts)})
+
+
+@settings(max_examples=200, deadline=None)
+@given(times, st.integers(1, 4), st.integers(1, 60), st.integers(0, 60), st.data())
+def test_verification_summary(ts, limit, window, longer, data):
+    inside = np.array(data.draw(st.lists(st.booleans(), min_size=len(ts), max_size=len(ts))))
+    cuts = data.draw(st.lists(st.integers(1, len(ts)), max_size=9))
+    fold, cols = folds.Verification(window + longer, limit, window), {"us": us(ts), "inside": inside}
+    assert handed_over(fold, cols, cuts) == run(fold, {n: cols[n] for n in fold.inputs})
+    assert not folds.Verification(window, limit, window + 1).summarised()  # goes by guessed states
+
+
+def test_hot_bursts_whose_past_reaches_far(spark, monkeypatch):
+    """Full windows from end to end, most rows within seconds; no round runs a chunk again."""
+    rng = np.random.default_rng(2)
+    at = np.sort(np.r_[rng.integers(0, 50, 300), rng.integers(0, 40_000, 200), rng.integers(30_000, 30_010, 200)])
+    rows = [(i, k, int(t) * folds.SECOND, bool(rng.random() < 0.2)) for k in ("a", "b") for i, t in enumerate(at)] + [(0, "cold", 5, True)]
+    df = spark.createDataFrame(rows, "event_id bigint, key string, us bigint, inside boolean")
+    monkeypatch.setattr("rollgrid.operators.folding._settle_entries", None)  # must not be needed
+    for fold in (folds.RateLimit(4, 3000), folds.TtlDedup(7000), folds.Lockout(3, 700), folds.Lockout(1, 9000), folds.Verification(5000, 2, 600), folds.Verification(60, 5, 60)):
+        hot = ordered_fold(df, ["key"], ["us", "event_id"], fold, hot_rows=17)
+        cold = ordered_fold(df, ["key"], ["us", "event_id"], fold, hot_rows=None)
+        assert sorted(map(repr, hot.collect())) == sorted(map(repr, cold.collect()))
