@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rollgrid.functions.clock import stripped
 from rollgrid.operators.numbering import number_rows
+from rollgrid.operators.ranks import OrderIndex
 
 # What a filter sends when nothing is chosen.
 IGNORED_BRANCH = ("", "undefined", "null")
@@ -90,17 +91,18 @@ def list_timetable(
 
 def page(
     df: DataFrame, order_by: list[str], number, size: int = DIRECTORY_PAGE, clamp: bool = True,
-    max_size: int | None = None, deep_from: int = 100_000,
+    max_size: int | None = None, deep_from: int = 100_000, index: OrderIndex | None = None,
 ) -> DataFrame:
     """One page of a total order.
 
     ``clamp=True`` reads anything that is no number as page 1 and any page out of range, on either
     side, as the last one; it adds ``page``, ``total`` and ``total_pages``. ``clamp=False`` slices as asked, with at most
     ``max_size`` rows, and adds ``total``. Order columns may have any type and direction. Early pages are a top-n; a
-    page starting beyond ``deep_from`` is cut by row number with the same result, so no task has to hold every row
-    before it.
+    page starting beyond ``deep_from`` is found by counted ranges of the order (``OrderIndex``; keep ``index`` for further
+    pages of the same table), or cut by row number where a direction is given, with the same result: no task has to hold
+    every row before the page.
     """
-    total = df.count()
+    total = sum(index.counts) if index else df.count()
     if clamp:
         pages = max(1, -(-total // size))
         text = str(number).strip()
@@ -112,6 +114,8 @@ def page(
         start = max(0, (int(number) - 1) * count)
     if start + count <= deep_from:
         rows = df.orderBy(*order_by).offset(start).limit(count)
+    elif all(isinstance(c, str) for c in order_by):
+        rows = (index or OrderIndex(df, order_by, total, deep_from)).rows(start, count)
     else:
         rows = number_rows(df, [], order_by, "_row").filter(
             (F.col("_row") > start) & (F.col("_row") <= start + count)

@@ -200,12 +200,16 @@ def enrol(
     return judged.withColumn("decision", decision).withColumn("threshold", threshold)
 
 
-def append_gallery(accepted: DataFrame, gallery: DataFrame, arrival: str = "query_id") -> DataFrame:
+def append_gallery(accepted: DataFrame, gallery: DataFrame, arrival: str = "query_id", reserved: DataFrame | None = None) -> DataFrame:
     """New gallery rows: unit vectors and the next ids of each school in order of arrival.
 
-    Ids go on from the largest one ever given, deleted rows included, so none is used twice.
+    Ids go on from the largest one ever given, deleted rows included, so none is used twice. After a compaction the gallery
+    alone no longer tells; ``reserved`` is then ``snapshots.reserved_ids`` (school_id, next_id).
     """
     next_id = gallery.groupBy("school_id").agg((F.max("id") + 1).alias("_next"))
+    if reserved is not None:
+        marks = reserved.select("school_id", F.col("next_id").alias("_next"))
+        next_id = next_id.unionByName(marks).groupBy("school_id").agg(F.max("_next").alias("_next"))
     numbered = number_rows(accepted, ["school_id"], [arrival], "_nth").join(next_id, "school_id", "left")
     return numbered.select(
         "school_id", (F.coalesce("_next", F.lit(0)) + F.col("_nth") - 1).alias("id"),

@@ -30,6 +30,17 @@ def cascade_delete(
     return result
 
 
+def lost_ids(tables: dict[str, DataFrame], parent: str, keys: DataFrame, cascade: list[tuple[str, str, str]]) -> dict[str, DataFrame]:
+    """Ids that go from each table when ``parent`` rows go, parents before children."""
+    gone = {parent: keys.select("id").distinct()}
+    for above, child, column in cascade:
+        if above not in gone:
+            continue
+        lost = tables[child].join(gone[above].withColumnRenamed("id", "_gone"), F.col(column) == F.col("_gone"), "left_semi").select("id")
+        gone[child] = gone[child].union(lost).distinct() if child in gone else lost.distinct()
+    return gone
+
+
 def cascade_tree(
     tables: dict[str, DataFrame], parent: str, keys: DataFrame, cascade: list[tuple[str, str, str]],
     set_null: list[tuple[str, str, str]] = (),
@@ -39,12 +50,7 @@ def cascade_tree(
     Rules are (parent table, child table, foreign-key column); child tables that are parents themselves have ``id``.
     List a table's cascade rules after those of its own parents. A row goes if any of its parents goes.
     """
-    gone = {parent: keys.select("id").distinct()}
-    for above, child, column in cascade:
-        if above not in gone:
-            continue
-        lost = tables[child].join(gone[above].withColumnRenamed("id", "_gone"), F.col(column) == F.col("_gone"), "left_semi").select("id")
-        gone[child] = gone[child].union(lost).distinct() if child in gone else lost.distinct()
+    gone = lost_ids(tables, parent, keys, cascade)
     result = dict(tables)
     for name, ids in gone.items():
         result[name] = tables[name].join(ids.withColumnRenamed("id", "_gone"), F.col("id") == F.col("_gone"), "left_anti")

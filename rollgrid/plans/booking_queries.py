@@ -106,6 +106,26 @@ def j8(v):
     return spatial.box_overlap(boxes, boxes, ["frame"], 0.05).withColumn("iou", F.round("iou", 6))
 
 
+@query("j8_box_overlap_crowded", "box", """
+    WITH crowd AS (SELECT CASE WHEN box_id % 3 = 0 THEN 0 ELSE frame % 7 + 1 END AS frame, box_id,
+               box_id % 9973 * 97 % 4000 AS x, box_id % 9967 * 89 % 4000 AS y, width % 60 + 5 AS width, height % 50 + 5 AS height FROM box),
+    p AS (SELECT a.frame, a.box_id AS a_id, b.box_id AS b_id,
+             least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x) AS w,
+             least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) AS h,
+             CAST(a.width AS DOUBLE) * a.height + CAST(b.width AS DOUBLE) * b.height AS areas
+        FROM crowd a JOIN crowd b ON a.frame = b.frame AND b.x < a.x + a.width AND b.x + b.width > a.x AND b.y < a.y + a.height)
+    SELECT frame, count(*) AS pairs, CAST(sum(a_id * 31 + b_id * 17) AS BIGINT) AS members, round(sum(round(CAST(w AS DOUBLE) * h / (areas - CAST(w AS DOUBLE) * h), 9)), 4) AS iou
+    FROM p WHERE w > 0 AND h > 0 AND CAST(w AS DOUBLE) * h / (areas - CAST(w AS DOUBLE) * h) >= 0.3 GROUP BY frame""")
+def j8_crowded(v):
+    """A third of all boxes in one frame, cells split where they are dense; the pairs of a frame, summed."""
+    boxes = v.box.selectExpr(
+        "CASE WHEN box_id % 3 = 0 THEN 0 ELSE frame % 7 + 1 END AS frame", "box_id",
+        "named_struct('x', box_id % 9973 * 97 % 4000, 'y', box_id % 9967 * 89 % 4000, 'width', width % 60 + 5, 'height', height % 50 + 5) AS bbox")
+    pairs = spatial.box_overlap(boxes, boxes, ["frame"], 0.3, dense=200)
+    return pairs.groupBy("frame").agg(F.count("*").alias("pairs"), F.sum(F.expr("a_id * 31 + b_id * 17")).alias("members"),
+                                      F.round(F.sum(F.round("iou", 9)), 4).alias("iou"))
+
+
 # ---------------------------------------------------------------- imports
 STUDENT_SHEET_SQL = """
     SELECT c_custkey + 2 AS row_no,

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from rollgrid.operators import analytics, directory, maintenance
 from rollgrid.plans.registry import query
+from rollgrid.session import fresh_path
+from rollgrid.sources import partitioned
 
 RATE_SQL = """
     SELECT p.id, p.name, count(a.{key}) AS total, count(a.{key}) FILTER (WHERE a.status = 'Present') AS present,
@@ -258,6 +260,64 @@ def m1_null(v):
     return left["student"].select("id", F.coalesce("department_id", F.lit(-1)).alias("department_id"))
 
 
+TREE_SQL = """
+    SELECT 'organization' AS table_name, id, 0 AS department_id FROM organization WHERE id <> 1
+    UNION ALL SELECT 'branch', id, 0 FROM branch WHERE organization_id <> 1
+    UNION ALL SELECT 'department', d.id, 0 FROM department d JOIN branch b ON b.id = d.branch_id WHERE b.organization_id <> 1
+    UNION ALL SELECT 'student', s.id, CASE WHEN s.department_id IN (
+                  SELECT d.id FROM department d JOIN branch x ON x.id = d.branch_id WHERE x.organization_id = 1) THEN -1 ELSE coalesce(s.department_id, -1) END
+              FROM student s JOIN branch b ON b.id = s.branch_id WHERE b.organization_id <> 1
+    UNION ALL SELECT 'attendance', a.id, 0 FROM attendance a WHERE a.branch_id NOT IN (SELECT id FROM branch WHERE organization_id = 1)
+        AND coalesce(a.student_id, -1) NOT IN (SELECT s.id FROM student s JOIN branch b ON b.id = s.branch_id WHERE b.organization_id = 1)"""
+TREE_RULES = [("organization", "branch", "organization_id"), ("branch", "department", "branch_id"), ("branch", "student", "branch_id"),
+              ("branch", "attendance", "branch_id"), ("student", "attendance", "student_id")]
+TREE_NULLS = [("department", "student", "department_id")]
+TREE_TABLES = "organization branch department student attendance"
+
+
+def _tree_rows(left):
+    return maintenance.union_report([
+        t.select(F.lit(n).alias("table_name"), "id", (F.coalesce("department_id", F.lit(-1)) if n == "student" else F.lit(0)).cast("bigint").alias("department_id"))
+        for n, t in left.items()])
+
+
+@query("m1_cascade_tree", TREE_TABLES, TREE_SQL)
+def m1_tree(v):
+    """An organization goes, and with it its branches, their departments, students and attendance."""
+    tables = {n: getattr(v, n) for n in TREE_TABLES.split()}
+    return _tree_rows(maintenance.cascade_tree(tables, "organization", v.organization.filter("id = 1"), TREE_RULES, TREE_NULLS))
+
+
+def _stored(v, by):
+    """The views as stored tables: name to (path, schema, partition columns)."""
+    base, stored = fresh_path(v.spark, "stored"), {}
+    for name, columns in by.items():
+        rows = getattr(v, name)
+        rows.write.partitionBy(*columns).parquet(f"{base}/{name}")
+        stored[name] = (f"{base}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), columns)
+    return stored
+
+
+@query("m1_cascade_written", TREE_TABLES, TREE_SQL)
+def m1_written(v):
+    """The same on stored tables: only partitions that hold a row that goes are written again."""
+    stored = _stored(v, {"organization": ["name"], "branch": ["organization_id"], "department": ["branch_id"], "student": ["branch_id"],
+                         "attendance": ["branch_id", "status"]})
+    partitioned.cascade(v.spark, stored, "organization", v.organization.filter("id = 1"), TREE_RULES, TREE_NULLS)
+    return _tree_rows({n: v.spark.read.schema(schema).parquet(path) for n, (path, schema, _) in stored.items()})
+
+
+@query("m2_update_written", "student", """
+    SELECT id, branch_id, CASE WHEN branch_id % 4 = 1 AND id % 3 = 0 THEN 'Renamed ' || CAST(id AS STRING) ELSE name END AS name,
+           CASE WHEN branch_id % 4 = 1 AND id % 3 = 0 AND id % 2 = 0 THEN '-' ELSE class_name END AS class_name FROM student""")
+def m2_written(v):
+    stored = _stored(v, {"student": ["branch_id"]})["student"]
+    patches = v.student.filter("branch_id % 4 = 1 AND id % 3 = 0").selectExpr(
+        "id", "concat('Renamed ', id) AS name", "true AS has_name", "'-' AS class_name", "id % 2 = 0 AS has_class_name")
+    partitioned.update_rows(v.spark, *stored, patches, ["id"], ["name", "class_name"])
+    return v.spark.read.schema(stored[1]).parquet(stored[0]).select("id", "branch_id", "name", "class_name")
+
+
 @query("m2_apply_updates", "student attendance", """
     WITH p AS (SELECT student_id AS id, min(status) AS s, max(id) AS m FROM attendance GROUP BY 1)
     SELECT s.id, s.branch_id, CASE WHEN p.id IS NOT NULL THEN 'Renamed ' || CAST(p.m AS STRING) ELSE s.name END AS name,

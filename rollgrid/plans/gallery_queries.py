@@ -155,6 +155,28 @@ def snapshot(v):
         F.round(F.col("embedding")[0].cast("double"), 4).alias("first_part"))
 
 
+@query("v9_ids_after_compaction", "probe gallery", """
+    WITH marked AS (SELECT school_id, id, deleted OR id >= (SELECT max(id) FROM gallery) - 60 OR school_id = 'S2' AS deleted FROM gallery),
+    due AS (SELECT school_id FROM marked GROUP BY school_id HAVING count(*) FILTER (WHERE deleted) >= 0.25 * count(*)),
+    tops AS (SELECT school_id, max(id) + 1 AS next_id FROM marked GROUP BY school_id)
+    SELECT school_id, id, deleted, 'stored' AS kind FROM marked WHERE NOT deleted OR school_id NOT IN (SELECT school_id FROM due)
+    UNION ALL
+    SELECT p.school_id, t.next_id - 1 + row_number() OVER (PARTITION BY p.school_id ORDER BY query_id), false, 'new'
+    FROM probe p JOIN tops t USING (school_id)""")
+def v9_compaction(v):
+    """The last ids of every school and all of one school are deleted; compaction twice, then people are appended."""
+    base = fresh_path(v.spark, "compacted")
+    last = F.col("id") >= v.gallery.agg(F.max("id")).first()[0] - 60
+    marked = v.gallery.withColumn("reliability", F.col("reliability").cast("float")).withColumn(
+        "deleted", F.col("deleted") | last | (F.col("school_id") == "S2"))
+    snapshots.write_snapshot(marked, base, "1", least_deleted=0.25)
+    snapshots.write_snapshot(snapshots.read_snapshot(v.spark, base), base, "2", least_deleted=0.9)
+    stored = snapshots.read_snapshot(v.spark, base)
+    new = gallery.append_gallery(v.probe, stored, reserved=snapshots.reserved_ids(v.spark, base))
+    return stored.select("school_id", "id", "deleted", F.lit("stored").alias("kind")).unionByName(
+        new.select("school_id", "id", "deleted", F.lit("new").alias("kind")))
+
+
 @query("j11_with_identity", "gallery camera_match", """
     SELECT m.event_id, g.name AS match_name, g.roll_no AS match_roll_no, g.role AS match_role
     FROM camera_match m LEFT JOIN gallery g ON g.school_id = 'S' || CAST(m.branch_id AS STRING)
