@@ -60,20 +60,29 @@ def overlaps_any(busy: Column, start: Column, end: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def has_odd(bookings: DataFrame) -> bool:
+    """Whether any booking does not start before it ends; a scan of two columns that ends at the first."""
+    return not bookings.filter("start_min >= end_min").isEmpty()
+
+
 def conflict_flag(
-    rows: DataFrame, booked: DataFrame, keys: list[str], as_col: str, odd_rows: bool = True,
+    rows: DataFrame, booked: DataFrame, keys: list[str], as_col: str, odd_rows: bool | None = None,
 ) -> DataFrame:
     """Adds ``as_col``: does a stored booking with the same keys overlap? Touching is no overlap.
 
     Rows that do not start before they end are compared with single bookings, since merged busy time could hide a gap;
-    ``odd_rows=False`` leaves that out where such rows are judged otherwise.
+    ``odd_rows=False`` leaves that out where such rows are judged otherwise or known not to be there (None: look). Neither
+    side is shuffled for odd bookings where it has none.
     """
     start, end = F.col("start_min"), F.col("end_min")
-    odd = F.coalesce(F.exists("odd", lambda b: _meets(b, start, end)), F.lit(False))
-    flag = (overlaps_any(F.col("busy"), start, end) | odd).alias(as_col)
+    odd_rows = has_odd(rows) if odd_rows is None else odd_rows
+    flag = overlaps_any(F.col("busy"), start, end)
     plain = rows.filter("coalesce(start_min < end_min, true)") if odd_rows else rows
-    plain = plain.join(busy_blocks(booked, keys), keys, "left").join(odd_blocks(booked, keys), keys, "left").select(
-        *rows.columns, flag)
+    plain = plain.join(busy_blocks(booked, keys), keys, "left")
+    if has_odd(booked):
+        plain = plain.join(odd_blocks(booked, keys), keys, "left")
+        flag = flag | F.coalesce(F.exists("odd", lambda b: _meets(b, start, end)), F.lit(False))
+    plain = plain.select(*rows.columns, flag.alias(as_col))
     if not odd_rows:
         return plain
     strange = rows.filter("start_min >= end_min")
@@ -112,6 +121,8 @@ def self_conflicts(bookings: DataFrame, key: str, day: str = DAY) -> DataFrame:
     at_end = sums.select(*keys, F.col("minute").alias("end_min"), "_opened_before")
     counted = bookings.filter("start_min < end_min").join(at_start, [*keys, "start_min"]).join(
         at_end, [*keys, "end_min"]).select(*bookings.columns, (F.col("_opened_before") - F.col("_closed_by") - 1).alias("_n"))
+    if not has_odd(bookings):
+        return counted.withColumnRenamed("_n", "n_conflicts").filter("n_conflicts > 0")
     # An odd booking meets proper ones and other odd ones; it never meets itself.
     odd = bookings.filter("start_min >= end_min")
     spans = odd.select(*keys, "start_min", "end_min").distinct()

@@ -18,10 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollgrid.functions.text_vectors import hash_vector
-from rollgrid.operators.bookings import DAY, conflict_flag
+from rollgrid.operators.bookings import DAY, conflict_flag, has_odd
 from rollgrid.operators.gallery import knn_join
-from rollgrid.operators.numbering import number_rows
-from rollgrid.session import spread_by
+from rollgrid.session import spread_by, written
 
 # Fixed values of the planner.
 SIMILAR_K, TAKE, DEFAULT_RELIABILITY = 30, 6, 0.8
@@ -45,8 +44,8 @@ def subject_similarity(subjects: DataFrame, teachers: DataFrame, k: int = SIMILA
     texts = wanted.select("subject").union(declared.select("subject")).distinct().withColumn(
         "embedding", hash_vector(F.col("subject"), dim))
     school = F.col("organization_id").cast("string").alias("school_id")
-    wanted = number_rows(wanted, [], ["organization_id", "subject"], "query_id")
-    numbered = number_rows(declared.distinct(), [], ["teacher_id", "subject"], "id")
+    wanted = written(wanted.withColumn("query_id", F.monotonically_increasing_id()), "subjects")  # numbers hold once written
+    numbered = declared.distinct().withColumn("id", F.col("teacher_id"))  # a teacher counts once, and ties go to the lower one
     probes = wanted.join(texts, "subject").select("query_id", school, F.lit("teacher").alias("role"), "embedding")
     gallery = numbered.join(texts, "subject").select(
         school, F.lit("teacher").alias("role"), "id", F.col("teacher_id").alias("person_id"), F.lit(False).alias("deleted"), "embedding")
@@ -73,7 +72,7 @@ def free_candidates(
     if skip_absent:
         found = found.filter("teacher_id <> absent_id")
     if bookings is not None:
-        found = conflict_flag(found, bookings, ["teacher_id", DAY], "_busy").filter("NOT _busy").drop("_busy")
+        found = conflict_flag(found, bookings, ["teacher_id", DAY], "_busy", has_odd(periods)).filter("NOT _busy").drop("_busy")
     return found.withColumn("score", F.col("reliability") * F.col("similarity")
                             / (1 + F.log(F.greatest(F.col("workload"), F.lit(1)).cast("double"))))
 
@@ -293,7 +292,7 @@ def plan_substitutions(
     beam: bool = True, exclude_booked: bool = True,
 ) -> DataFrame:
     """Plans for all absences at once, with the substitute's name."""
-    periods = open_periods(absences, bookings)
+    periods = written(open_periods(absences, bookings), "periods")
     if similarity is None:
         similarity = subject_similarity(periods, teachers)
     candidates = free_candidates(periods, teachers, similarity, bookings if exclude_booked else None)

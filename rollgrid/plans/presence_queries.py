@@ -161,7 +161,7 @@ def s9(v):
 @query("s6_track")
 def s6(v):
     seen = v.sighting.withColumns({"match_person": F.lit(-1).cast("bigint"), "score": F.lit(0.0)})
-    return presence.track(seen, ["school_id", "role", "camera_id"], F.floor(F.col("us") / (HOUR * 1_000_000)))
+    return presence.track(seen, ["school_id", "role", "camera_id"], F.col("us"))  # a frame is what one camera sees at one time
 
 
 @query("s8_camera_quorum", "camera_match camera", """
