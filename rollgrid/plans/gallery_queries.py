@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rollgrid.functions import vectors
-from rollgrid.operators import directory, gallery
+from rollgrid.operators import directory, gallery, gallery_index
 from rollgrid.plans.registry import query
 from rollgrid.session import fresh_path
 from rollgrid.sources import snapshots
@@ -56,6 +56,14 @@ def v2_tiled(v):
     return scored(gallery.knn_join(v.probe, v.gallery, 5, probe_bytes=0, tile_rows=64))
 
 
+@query("v2_knn_join_pruned", "probe gallery", KNN_SQL)
+def v2_pruned(v):
+    """Same rows from a stored gallery, cut into groups of about 16 rows; groups that cannot hold one of the best are skipped."""
+    base = fresh_path(v.spark, "grouped")
+    gallery_index.build(v.gallery, base, group_rows=16)
+    return scored(gallery_index.knn_join(v.probe, base, 5))
+
+
 @query("v3_similar_ids", "probe gallery", "WITH " + AS_STUDENT + """
     SELECT query_id, string_agg(CAST(id AS STRING), ',' ORDER BY rank) AS ids FROM ranked WHERE rank <= 4 GROUP BY 1""")
 def v3(v):

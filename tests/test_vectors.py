@@ -9,7 +9,7 @@ from rollgrid.functions import vectors
 from rollgrid.functions.assignment import assign
 from rollgrid.functions.nearest import best_columns, search_block
 from rollgrid.functions.text_vectors import hash_vector
-from rollgrid.operators import gallery
+from rollgrid.operators import gallery, gallery_index
 from rollgrid.sources import snapshots
 
 
@@ -207,3 +207,29 @@ def test_hash_vector(spark):
     got = [np.array(r.v) for r in texts.repartition(3).withColumn("v", hash_vector(F.col("t"), 32)).orderBy("t").collect()]
     assert all(len(v) == 32 and np.linalg.norm(v) == pytest.approx(1, abs=1e-5) for v in got)
     assert (got[0] == got[1]).all() and (got[2] == got[3]).all() and not (got[2] == got[4]).all()
+
+
+def test_pruned_search_equals_full_search(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(900):
+        school = "S1" if i % 3 else f"S{2 + i % 4}"  # two thirds in one tenant
+        vector = centres[i % 12] + rng.normal(scale=0.05, size=8)
+        rows.append((school, i, i // 2, "n", "r", "teacher" if i % 10 == 0 else "student", None, i % 17 == 3, [float(x) for x in vector]))
+    rows += [("S1", 2000 + i, 1, "n", "r", "student", None, False, v) for i, v in enumerate([[0.0] * 8, [0.0] * 8, [1.0, 2.0], rows[1][8], rows[1][8], []])]
+    table = spark.createDataFrame(rows, schemas.GALLERY)
+    queries = [(i, f"S{1 + i % 6}", "teacher" if i % 9 == 0 else "pupil", [float(x) for x in centres[i % 12] + rng.normal(scale=0.2, size=8)]) for i in range(80)]
+    queries += [(500, "S1", "student", [0.0] * 8), (501, "S1", "student", [3.0, 6.0]), (502, "S9", "student", [1.0] * 8), (503, "S1", "student", rows[1][8])]
+    probes = spark.createDataFrame(queries, "query_id bigint, school_id string, role string, embedding array<double>")
+    base = str(tmp_path / "index")
+    gallery_index.build(table, base, group_rows=10)
+    columns = ["query_id", "school_id", "role", "id", "person_id", "score", "rank"]
+    for k, tile in ((5, 4096), (60, 7)):
+        want = gallery.knn_join(probes, table, k).select(columns).collect()
+        got = gallery_index.searched(probes, base, k, tile)
+        assert sorted(map(tuple, got.hits.select(columns).collect())) == sorted(map(tuple, want))
+        if k == 5:
+            assert gallery_index.skipped_share(got, probes, base) > 0.5
+    none = gallery_index.knn_join(probes.where("false"), base)
+    assert none.count() == 0
