@@ -35,8 +35,8 @@ from rollgrid.llm import rows, words
 CELL_BYTES = 8 << 20
 #: Tokens that a task holds at most before it packs them, whatever the cell.
 HELD_TOKENS = 16 << 20
-#: Pieces of a text that a worker remembers.
-CACHE, LONGEST = 300_000, 64
+#: Parts of texts that a worker remembers in each of two generations, and the longest of them.
+CACHE, LONGEST = 400_000, 64
 
 
 def _characters(kind: str) -> str:
@@ -51,6 +51,10 @@ PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACES}{_L}{_N}]
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\x85\xa0-įı-ɏ]|<\|")
 
 
+def _ids(library, text: str) -> bytes:
+    return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+
 class Encoder(dict):
     """Little-endian ids of each part of a text, encoded by the library when first met.
 
@@ -58,31 +62,45 @@ class Encoder(dict):
     """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait
         self.library = Tokenizer.from_file(tokenizer)
+        # Parts are normalised and split already; for them the same model needs no more than the spaces between them.
+        self.for_parts = Tokenizer.from_file(tokenizer)
+        self.for_parts.normalizer = normalizers.Sequence([])
+        self.for_parts.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return _ids(self.library, text)
 
     def learn(self, parts: list[str], ids: list[bytes | None]) -> None:
-        """Encode the parts that have no ids yet; a full cache is emptied first."""
-        new = list({part for part, known in zip(parts, ids) if known is None})
-        if len(self) + len(new) > CACHE:
+        """Fill in the ids of parts that have none yet. A full generation grows old; a part met again is young again."""
+        missing = [k for k, known in enumerate(ids) if known is None]
+        found = dict.fromkeys(parts[k] for k in missing)
+        for part in found:
+            found[part] = self.old.get(part)
+        new = [part for part, known in found.items() if known is None]
+        if new:
+            raw = _ids(self.for_parts, " ".join(new))
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1).tolist()
+            if len(cuts) == len(new):
+                found.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts))))
+            else:
+                found.update((part, self.whole(part)) for part in new)
+        for k in missing:
+            ids[k] = found[parts[k]]
+        self.update((part, known) for part, known in found.items() if len(part) <= LONGEST)
+        if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
-            new = list(set(parts))
-        raw = self.whole(" ".join(new))
-        cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1).tolist()
-        if len(cuts) == len(new):
-            self.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts))))
-        else:
-            self.update((part, self.whole(part)) for part in new)
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
@@ -92,10 +110,6 @@ class Encoder(dict):
         ids = list(map(self.get, parts))
         if None in ids:
             self.learn(parts, ids)
-            ids = list(map(self.__getitem__, parts))
-            for part in parts:
-                if len(part) > LONGEST:
-                    self.pop(part, None)
         return b"".join(ids)
 
 
