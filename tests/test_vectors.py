@@ -219,7 +219,7 @@ def test_pruned_search_equals_full_search(spark, tmp_path):
         rows.append((school, i, i // 2, "n", "r", "teacher" if i % 10 == 0 else "student", None, i % 17 == 3, [float(x) for x in vector]))
     rows += [("S1", 2000 + i, 1, "n", "r", "student", None, False, v) for i, v in enumerate([[0.0] * 8, [0.0] * 8, [1.0, 2.0], rows[1][8], rows[1][8], []])]
     table = spark.createDataFrame(rows, schemas.GALLERY)
-    queries = [(i, f"S{1 + i % 6}", "teacher" if i % 9 == 0 else "pupil", [float(x) for x in centres[i % 12] + rng.normal(scale=0.2, size=8)]) for i in range(80)]
+    queries = [(i, f"S{1 + i % 6}", "teacher" if i % 9 == 0 else "pupil", [float(x) for x in centres[i % 12] + rng.normal(scale=0.1, size=8)]) for i in range(80)]
     queries += [(500, "S1", "student", [0.0] * 8), (501, "S1", "student", [3.0, 6.0]), (502, "S9", "student", [1.0] * 8), (503, "S1", "student", rows[1][8])]
     probes = spark.createDataFrame(queries, "query_id bigint, school_id string, role string, embedding array<double>")
     base = str(tmp_path / "index")
