@@ -25,6 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollgrid import session
 from rollgrid.llm import rows
 from rollgrid.llm.sharding import BITS, hashed
 
@@ -120,3 +121,13 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
     start = F.col("before") + F.col("inside")
     return drawn.where(start < F.col("quota")).select(
         *docs.columns, "tokens", "epoch", (start / F.col("quota")).alias("position"))
+
+
+def in_order(drawn: DataFrame, slots: int = 8) -> DataFrame:
+    """The draws in stored order of position: ranges of positions, ``slots`` to a task, each sorted.
+
+    Positions are spread evenly over 0 to 1, so ranges of one width hold about equally many draws.
+    """
+    tasks = session.task_count(drawn.sparkSession)
+    at = F.floor(F.col("position") * tasks * slots)
+    return drawn.repartition(tasks, at).sortWithinPartitions(at, "position", F.col("doc_id").asc_nulls_first(), "epoch")

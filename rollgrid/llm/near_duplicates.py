@@ -279,11 +279,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = 85, chunks: int = CHUNKS) -> DataFrame:
     """Per document: size of its set, its component (the smallest id in it), and whether it is that document."""
-    return linked(docs, percent, minhash(chunks)).drop("tie")
+    return linked(docs, percent, minhash(chunks)).drop("tie", "group")
 
 
 def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
-    """``link`` with sets and keys of any scheme, and a hash of each document's text (``tie``)."""
+    """``link`` with sets and keys of any scheme, a hash of each document's text (``tie``) and one of its component (``group``)."""
     described = rows.written(_described(docs, scheme), "near-described")
     classes = described.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
@@ -312,26 +312,33 @@ def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     # Components are named by their smallest id; a class without links by its own.
     in_links = classes.join(label, "node").select("h1", "h2", "doc_id", "label")
     names = in_links.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = in_links.join(names, "label").select("h1", "h2", "component_id")
-    alone = classes.join(label, "node", "left_anti").select("h1", "h2", F.col("doc_id").alias("component_id"))
-    named = named.unionByName(alone).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id")
+    named = in_links.join(names, "label").select("h1", "h2", "component_id", F.col("label").alias("group"))
+    alone = classes.join(label, "node", "left_anti").select("h1", "h2", F.col("doc_id").alias("component_id"), F.col("node").alias("group"))
+    named = named.unionByName(alone).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id", "group")
     out = described.join(named, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("doc_id", "tie", "group", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, chunks: int = CHUNKS) -> DataFrame:
-    """The rows of ``docs`` whose document stays; of rows with equal id and text one stays.
+    """The rows of ``docs`` that stay: of every component one, with the smallest id and of that the first text by its hash.
 
-    Only the ids that go are joined, so texts do not move unless ids repeat.
+    Each row is judged by its own text, whatever other texts share its id. Texts without words are components of their own;
+    of rows with equal id and text one stays. Only the (id, text hash) pairs that go or repeat are joined, so texts do not
+    move unless rows repeat.
     """
-    found = rows.written(link(docs, percent, chunks), "near-linked")
-    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-    marked = rows.written(by_id.where("not kept or times > 1").select(F.col("doc_id").alias("marked_id"), "kept"), "near-marked")
-    same = docs["doc_id"].eqNullSafe(marked["marked_id"])
+    found = rows.written(linked(docs, percent, minhash(chunks)), "near-linked")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    stays = found.where("group IS NOT NULL").groupBy(F.col("group").alias("of_group")).agg(F.min(first).alias("stays"))
+    judged = found.groupBy("group", "doc_id", "tie").agg(F.count("*").alias("times")).join(stays, F.col("group") == F.col("of_group"), "left")
+    keeps = F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tie") == F.col("stays.tie")))
+    marked = judged.select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie"), keeps.alias("keeps"), "times")
+    marked = rows.written(marked.where("not keeps or times > 1"), "near-marked")
+    same = docs["doc_id"].eqNullSafe(marked["marked_id"]) & (_tie() == marked["marked_tie"])
     once = docs.join(marked, same, "left_anti")
-    repeated = marked.where("kept").select("marked_id")
+    repeated = marked.where("keeps").select("marked_id", "marked_tie")
     if repeated.isEmpty():
         return once
-    return once.unionByName(docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["marked_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = docs["doc_id"].eqNullSafe(repeated["marked_id"]) & (_tie() == repeated["marked_tie"])
+    return once.unionByName(docs.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

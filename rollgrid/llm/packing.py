@@ -6,9 +6,11 @@ window, the gap is filled with the longest pieces of shorter tiers that fit, and
 one. Only the last window of a cell can stay open; it is split into full windows of smaller tiers, and what is left is
 the one padded sequence of the cell.
 
-Documents meet in cells of about ``CELL_BYTES`` of text by a hash, so a cell is bounded at any size of corpus, and one
-shuffle moves each remaining token once. Sequences are numbered tier by tier with counts per cell, and dealt round robin
-to steps, so that steps hold equally many sequences of every tier.
+Documents meet in cells of about ``CELL_BYTES`` of text in the order in which the table stores them, so a cell is bounded
+at any size of corpus, a mixed order survives, repeated rows spread like others, and nothing is shuffled: a task packs the
+cells of its part of the scan. Sequences are numbered tier by tier with counts per cell, and dealt round robin to steps, so
+that steps hold equally many sequences of every tier. The pieces are written before they are counted, so a task that runs
+again changes nothing afterwards.
 
 Defined cases: a null text is empty, and a document has at least its closing id; repeated rows are packed each on its
 own; an empty table gives no rows; other columns of the table are ignored.
@@ -29,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid import session
-from rollgrid.llm import rows, words
+from rollgrid.llm import rows
 
 CELL_BYTES = 8 << 20
-#: Tokens that a task holds at most before it packs them, whatever the cell.
-HELD_TOKENS = 16 << 20
+#: Tokens of a cell at most, and one more than the cells that a part of the scan can have.
+HELD_TOKENS, CELLS = 16 << 20, 1 << 24
 #: Parts of texts that a worker remembers in each of two generations, and the longest of them.
 CACHE, LONGEST = 400_000, 64
 
@@ -176,92 +177,58 @@ PIECE = "doc_tokens long, start long, length long, ids_crc32 long"
 def pack_documents(docs: DataFrame, tokenizer: str, closing_id: int, largest: int = 4096, smallest: int = 64,
                    step_sequences: int = 256) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, the sequence's tier and training step."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = tiers(largest, smallest)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    cells = max(1, -(-size // CELL_BYTES))
-    tasks = max(session.task_count(spark), -(-cells // 16))
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = np.array([closing_id], "<u4").tobytes()
-        carried = "<u2" if encoder.library.get_vocab_size() <= 1 << 16 and closing_id < 1 << 16 else "<u4"
+        held, size, tokens, cell, done, schema = [], 0, 0, 0, {}, pa.int64()
         for batch in batches:
-            for part in words.slices(batch):
-                of, total, start, length, crc, rest = [], [], [], [], [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    ids = encoder.of(text or "") + end
-                    n = len(ids) // 4
-                    for at in range(0, n, largest):
-                        piece = ids[4 * at : 4 * (at + largest)]
-                        full = len(piece) == 4 * largest
-                        of.append(k)
-                        total.append(n)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece) if full else 0)
-                        rest.append(None if full else np.frombuffer(piece, "<u4").astype(carried).tobytes())
-                took = part.take(pa.array(of, pa.int64()))
-                long = lambda values: pa.array(values, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [took.column("doc_id"), took.column("row_hash"), long(total), long(start), long(length), long(crc), pa.array(rest, pa.binary())],
-                    ["doc_id", "row_hash", "doc_tokens", "start", "length", "ids_crc32", "ids"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens, cell, done = [], 0, None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["cell"] != cell or tokens >= HELD_TOKENS):
-                    yield _sequences(held, sizes, done, kind_of(batch))
-                    held, tokens = [], 0
-                if row["cell"] != cell:
-                    cell, done = row["cell"], {}
-                held.append(row)
-                tokens += row["length"]
-            schema = kind_of(batch)
+            schema = batch.schema.field("doc_id").type
+            for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+                ids = np.frombuffer(encoder.of(text or "") + end, "<u4")
+                for at in range(0, len(ids), largest):
+                    held.append((part * CELLS + cell, doc_id, len(ids), at, ids[at : at + largest]))
+                size, tokens = size + len(text or ""), tokens + len(ids)
+                if size >= CELL_BYTES or tokens >= HELD_TOKENS:
+                    yield _sequences(held, sizes, done, schema)
+                    held, size, tokens, cell, done = [], 0, 0, cell + 1, {}
         if held:
             yield _sequences(held, sizes, done, schema)
 
-    kind_of = lambda batch: batch.schema.field("doc_id").type
-    encoded = source.mapInArrow(encode, f"doc_id {kind}, row_hash long, {PIECE}, ids binary")
-    placed = encoded.withColumn("cell", F.pmod("row_hash", F.lit(cells)))
-    packed = placed.repartition(tasks, "cell").sortWithinPartitions("cell", "row_hash", "start").mapInArrow(
-        settle, f"cell long, doc_id {kind}, {PIECE}, tier int, tier_rank long, `offset` long")
-    packed = rows.written(packed, "packed")
-    return _numbered(packed, cells, step_sequences)
+    packed = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(
+        run, f"cell long, doc_id {kind}, {PIECE}, tier int, tier_rank long, `offset` long")
+    return _numbered(rows.written(packed, "packed"), step_sequences)
 
 
-def _sequences(held: list[dict], sizes: list[int], done: dict[int, int], kind: pa.DataType) -> pa.RecordBatch:
-    """The pieces of one cell; ``done`` counts its sequences by tier."""
-    full = [r for r in held if r["ids"] is None]
-    rest = [r for r in held if r["ids"] is not None]
+def _sequences(held: list[tuple], sizes: list[int], done: dict[int, int], kind: pa.DataType) -> pa.RecordBatch:
+    """The pieces (cell, id, tokens of the document, start, ids) of one cell; ``done`` counts its sequences by tier."""
+    largest = sizes[-1]
     out: list[tuple] = []
 
     def place(tier: int, pieces: list[tuple]) -> None:
         rank, offset = done.get(tier, 0), 0
         done[tier] = rank + 1
-        for r, start, length, crc in pieces:
-            out.append((r["cell"], r["doc_id"], r["doc_tokens"], start, length, crc, tier, rank, offset))
+        for (cell, doc_id, total, start, ids), skip, length in pieces:
+            out.append((cell, doc_id, total, start + skip, length, zlib.crc32(ids[skip : skip + length]), tier, rank, offset))
             offset += length
 
-    for r in full:
-        place(sizes[-1], [(r, r["start"], r["length"], r["ids_crc32"])])
-    ids = [np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["length"] else "<u4").astype("<u4") for r in rest]
-    for tier, pieces in pack([r["length"] for r in rest], sizes):
-        place(tier, [(rest[i], rest[i]["start"] + s, n, zlib.crc32(ids[i][s : s + n])) for i, s, n in pieces])
-    columns = list(zip(*out))
+    for piece in held:
+        if len(piece[-1]) == largest:
+            place(largest, [(piece, 0, largest)])
+    rest = [piece for piece in held if len(piece[-1]) < largest]
+    for tier, pieces in pack([len(piece[-1]) for piece in rest], sizes):
+        place(tier, [(rest[i], skip, n) for i, skip, n in pieces])
     kinds = [pa.int64(), kind] + [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64()]
     names = ["cell", "doc_id", "doc_tokens", "start", "length", "ids_crc32", "tier", "tier_rank", "offset"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
-def _numbered(packed: DataFrame, cells: int, step_sequences: int) -> DataFrame:
+def _numbered(packed: DataFrame, step_sequences: int) -> DataFrame:
     """Sequence numbers without gaps over the whole corpus, tier by tier, and steps with equal numbers of each tier."""
     counts = packed.groupBy("tier", "cell").agg((F.max("tier_rank") + 1).alias("n"))
-    wide = rows.blocks_for(cells)
-    counts = counts.withColumn("group", F.floor(F.col("cell") / wide).cast("long"))
+    counts = counts.withColumn("group", F.floor(F.col("cell") / CELLS).cast("long"))  # a part of the scan
     groups = counts.groupBy("tier", "group").agg(F.sum("n").alias("group_n"))
     of_tier = groups.groupBy("tier").agg(F.sum("group_n").alias("tier_n"))
     base = of_tier.select("tier", F.coalesce(F.sum("tier_n").over(

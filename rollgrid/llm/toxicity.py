@@ -29,6 +29,8 @@ from rollgrid.llm import rows, words
 
 #: Labelled documents of each label in the training sample at most, epochs over it, and texts of a step.
 SAMPLE, EPOCHS, BATCH = {1: 1500, 0: 2500}, 8, 32
+#: Bytes of word hashes (16 a word) that the sample may have; whole documents beyond, the longest first, are left out of it.
+SAMPLE_BYTES = 64 << 20
 #: Rows of the embedding table, its width, filter widths and filters per width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 4
 #: Leading bytes that share a row.
@@ -208,7 +210,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
         hashes, f"doc_id {kind}, toxic int, ids binary")
-    found = sorted(((r["doc_id"], r["ids"], r["toxic"]) for r in texts.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    # One row per id and label; then whole documents, the shortest first, up to SAMPLE_BYTES of word hashes.
+    sized = texts.withColumn("size", F.octet_length("ids").cast("long"))
+    first = sized.groupBy("doc_id", "toxic").agg(F.min(F.struct("size", "ids")).alias("least")).select("doc_id", "toxic", "least.*")
+    first = rows.written(first, "toxicity-sample")
+    upto = F.sum("size").over(Window.orderBy("size", "doc_id", "toxic"))  # SAMPLE rows at most
+    kept = first.select("doc_id", "toxic", "size").withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
+    whole = first.join(F.broadcast(kept.select("doc_id", "toxic")), ["doc_id", "toxic"])
+    found = sorted(((r["doc_id"], r["ids"], r["toxic"]) for r in whole.toLocalIterator()), key=lambda r: (r[0], r[1]))
     return fit([(np.frombuffer(ids, np.int32).reshape(-1, 1 + len(PREFIXES)), y) for _, ids, y in found])
 
 

@@ -266,9 +266,35 @@ def test_the_pipeline_keeps_columns_and_clean_documents(spark, odd, none, tmp_pa
             out = rows.written(stage(spark, docs, sf), f"case-{name}")
             assert out.columns == odd.columns
             docs = out
-        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-        assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(
-            F.sum("doc_tokens")).first()[0] or docs.count() > 0
+        packed = rows.written(corpus_pipeline.STAGES[-1][1](spark, docs, sf), "case-packing")
+        # Every draw that mixing made is packed whole: its pieces begin at 0 as often as it was drawn.
+        begins = packed.where("start = 0").groupBy("doc_id", "doc_tokens").agg(F.count("*").alias("times"), F.lit(1).alias("one"))
+        lengths = packed.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"))
+        pairs = begins.alias("b").join(lengths.alias("l"), F.expr("b.doc_id <=> l.doc_id AND b.doc_tokens = l.doc_tokens")).collect()
+        assert all(r.n == r.times * r.doc_tokens for r in pairs)
+        assert sum(r.times for r in pairs) == docs.count()
+
+
+def test_near_copies_are_judged_by_their_own_text(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    near = [*a[:100], "changed", *a[101:]]
+    texts = [(1, a), (2, near), (2, b), (3, b), (2, b), (None, a), (4, [*b, "more"]), (2, [*b, "else"])]
+    docs = table(spark, [(i, " ".join(t), "en", "s") for i, t in texts])
+    kept = sorted((r.doc_id, r.text[:2]) for r in near_duplicates.keep_one(docs).collect())
+    assert kept == [(1, "a0"), (2, "b0")]
+
+
+def test_mixed_order_reaches_the_sequences(spark, tmp_path):
+    import public_tokenizers
+
+    docs = table(spark, [(i, " ".join([f"w{i}"] * 30), "en", "small" if i % 20 == 0 else "large") for i in range(600)])
+    drawn = rows.written(mixing.in_order(mixing.mix(docs, corpus_pipeline.MIX)), "drawn")
+    places = [r.position for part in drawn.select("position").rdd.glom().collect() for r in part]
+    rising = sum(a <= b for a, b in zip(places, places[1:]))
+    assert rising > 0.85 * len(places)
+    first = packing.pack_documents(drawn.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    twice = {r.doc_id: r.n for r in first.where("start = 0").groupBy("doc_id").agg(F.countDistinct("sequence_id").alias("n")).collect()}
+    assert sum(n == 2 for i, n in twice.items() if i % 20 == 0) > 20  # both draws of a repeated document, in different sequences
 
 
 def test_words_match_plain_splitting():
