@@ -35,8 +35,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of small sources again as their weight asks."""
-    return rows.shielded(docs, lambda d: mixing.mix(d, MIX))
+    """Every document once, those of small sources again as their weight asks, stored in the mixed order, which packing keeps."""
+    return rows.shielded(docs, lambda d: mixing.in_order(mixing.mix(d, MIX)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
