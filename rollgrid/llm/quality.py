@@ -1,9 +1,13 @@
 """Quality rules whose cutoffs follow the corpus: quantile sketches per language and source, then a joined filter.
 
 Each document gets four whole-number measures per thousand words. A sketch counts measures in cells of a few per cent
-width (the five leading binary digits of the value), so sketches of parts merge by adding counts. A cutoff lies a
-multiple of the spread above the upper quartile of the document's own (language, source) sketch; a group of few documents
-takes the merged sketch of its language, and a small language that of the corpus.
+width (the five leading binary digits of the value), so sketches of parts merge by adding counts. The median and the
+quantiles at a tenth and nine tenths of the document's own (language, source) sketch are drawn towards what is usual in its
+language, and that towards what is usual in the corpus, the more so the fewer documents there are. Usual is the median over
+groups, merged by a sketch of their quantiles in which no group counts for more than ``HALF_WAY`` documents, so one bad
+source, however large, does not decide it. A cutoff lies a multiple of the distance between median and quantile from the
+median. A group with an extreme spread, as a source of which a quarter is junk has, may not go further from its median than
+the usual distance and a quarter of the least one. Every measure has an upper cutoff, the length of words a lower one too.
 
 Defined cases: a null text has no words and fails; null language or source are groups of their own; repeated rows count
 as often as they occur; an empty table gives no rows; other columns of the table are ignored.
@@ -18,12 +22,14 @@ from rollgrid.llm import rows
 
 WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
-#: Measures per thousand words or lines, and how far above the upper quartile a cutoff lies at least.
-MEASURES = {"symbols": 100, "dup_lines": 400, "repeats": 200, "long_words": 2000}
-#: A cutoff is q3 + SPREAD * (q3 - q1), or q3 plus the least distance above.
-SPREAD = 3
-#: A group with fewer documents uses the next wider sketch.
-LEAST_DOCUMENTS = 30
+#: Measures per thousand words or lines, and how far from the median a cutoff lies at least.
+MEASURES = {"symbols": 50, "dup_lines": 250, "repeats": 100, "long_words": 500}
+#: Measures with a cutoff below as well.
+LOWER = ("long_words",)
+#: A cutoff's distance from the median is SPREAD times the quantile's, and the least distance more.
+SPREAD = 4
+#: A group of so many documents is drawn half-way to the next wider sketch.
+HALF_WAY = 100
 #: Leading binary digits that a cell of the sketch keeps.
 DIGITS = 5
 
@@ -88,30 +94,58 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n")))
 
 
-def _quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    merged = sketch.groupBy(*group, "measure", "cell").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy(*group, "measure")
+QUANTILES = {"q10": 1, "q50": 5, "q90": 9}
+
+
+def _quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """Per group the cells at the tenths ``QUANTILES`` of a sketch (cell, n), and how much it counts."""
+    merged = sketch.groupBy(*group, "cell").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy(*group)
     ranked = merged.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn("all", F.sum("n").over(by))
-    return ranked.groupBy(*group, "measure").agg(
-        F.max("all").alias("documents"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("cell"))).alias("q3"))
+    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, F.col("cell")))
+    return ranked.groupBy(*group).agg(F.max("all").alias("documents"), *[at(t).alias(q) for q, t in QUANTILES.items()])
 
 
-def cutoffs(sketch: DataFrame) -> DataFrame:
-    """One row per (language, source) with the highest value that passes, for each measure."""
-    fence = lambda q: F.col(f"{q}.q3") + F.greatest(SPREAD * (F.col(f"{q}.q3") - F.col(f"{q}.q1")), F.col("least"))
+def _usual(groups: DataFrame, by: list[str], values: tuple[str, ...]) -> DataFrame:
+    """The median over groups of each of the values, a group counting for ``HALF_WAY`` documents at most."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("value"), cell(F.col(v)).alias("cell")) for v in values]))
+    sketch = groups.select(*by, F.least("documents", F.lit(HALF_WAY)).alias("n"), each.alias("e")).select(*by, "n", "e.*")
+    middle = _quantiles(sketch, [*by, "value"])
+    return middle.groupBy(*[F.col(c).alias(f"w_{c}") for c in by]).agg(
+        F.sum("documents").alias("w_documents"), *[F.max(F.when(F.col("value") == v, F.col("q50"))).alias(f"usual_{v}") for v in values])
+
+
+def _drawn(own: str, wide: str, n: str) -> Column:
+    return F.expr(f"({n} * {own} + {HALF_WAY} * {wide}) div ({n} + {HALF_WAY})")
+
+
+def distances(sketch: DataFrame) -> DataFrame:
+    """Per (language, source, measure): the median drawn towards the usual, and how far a cutoff may lie above and below."""
     least = F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv])
-    own = _quartiles(sketch, ["lang", "source"]).alias("own")
-    lang = _quartiles(sketch, ["lang"]).alias("by_lang")
-    every = _quartiles(sketch, []).alias("by_all")
-    chosen = (
-        own.join(lang, F.col("own.lang").eqNullSafe(F.col("by_lang.lang")) & (F.col("own.measure") == F.col("by_lang.measure")))
-        .join(every, F.col("own.measure") == F.col("by_all.measure")).withColumn("least", least[F.col("own.measure")])
-        .withColumn("cutoff", F.when(F.col("own.documents") >= LEAST_DOCUMENTS, fence("own"))
-                    .when(F.col("by_lang.documents") >= LEAST_DOCUMENTS, fence("by_lang")).otherwise(fence("by_all"))))
-    return chosen.groupBy(F.col("own.lang").alias("lang"), F.col("own.source").alias("source")).agg(*[
-        F.max(F.when(F.col("own.measure") == m, F.col("cutoff"))).alias(f"max_{m}") for m in MEASURES])
+    names = tuple(QUANTILES)
+    own = _quantiles(sketch, ["lang", "source", "measure"])
+    every = _usual(own, ["measure"], names).drop("w_documents").withColumnsRenamed({"w_measure": "a_measure"} | {f"usual_{q}": f"a_{q}" for q in names})
+    lang = _usual(own, ["lang", "measure"], names).join(every, F.col("w_measure") == F.col("a_measure"))
+    documents = F.expr(f"w_documents div {len(names)}").alias("w_documents")  # each of the values has counted them
+    lang = lang.select("w_lang", "w_measure", documents, *[f"usual_{q}" for q in names], *[f"a_{q}" for q in names]).select(
+        "w_lang", "w_measure", *[_drawn(f"usual_{q}", f"a_{q}", "w_documents").alias(f"l_{q}") for q in names])
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure")))
+    both = both.select("lang", "source", "measure", "documents", *[_drawn(q, f"l_{q}", "documents").alias(q) for q in names])
+    return both.withColumn("least", least[F.col("measure")]).select(
+        "lang", "source", "measure", "documents", "q50", "least",
+        (SPREAD * (F.col("q90") - F.col("q50")) + F.col("least")).cast("long").alias("above"),
+        (SPREAD * (F.col("q50") - F.col("q10")) + F.col("least")).cast("long").alias("below"))
+
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """One row per (language, source) with the highest and, where there is one, the lowest value that passes, for each measure."""
+    spread = rows.written(distances(sketch), "quality-spread")
+    spread = spread.join(_usual(spread, ["measure"], ("above", "below")), F.col("measure") == F.col("w_measure"))
+    reach = lambda side: F.least(F.col(side), F.col(f"usual_{side}") + F.expr("least div 4"))
+    limits = spread.select("lang", "source", "measure", (F.col("q50") + reach("above")).alias("most"), (F.col("q50") - reach("below")).alias("least"))
+    pick = lambda m, of, name: F.max(F.when(F.col("measure") == m, F.col(of))).alias(name)
+    return limits.groupBy("lang", "source").agg(
+        *[pick(m, "most", f"max_{m}") for m in MEASURES], *[pick(m, "least", f"min_{m}") for m in LOWER])
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -123,7 +157,9 @@ def assess(docs: DataFrame) -> DataFrame:
     passes = F.lit(True)
     for m in MEASURES:
         passes = passes & (F.col(m) <= F.col(f"max_{m}"))
+    for m in LOWER:
+        passes = passes & (F.col(m) >= F.col(f"min_{m}"))
     joined = d.join(c, F.col("d.lang").eqNullSafe(F.col("c.lang")) & F.col("d.source").eqNullSafe(F.col("c.source")), "left")
     return joined.select(
         "d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & F.coalesce(passes, F.lit(True))).alias("kept"), *MEASURES, *[f"max_{m}" for m in MEASURES])
+        (~failed & F.coalesce(passes, F.lit(True))).alias("kept"), *MEASURES, *[f"max_{m}" for m in MEASURES], *[f"min_{m}" for m in LOWER])

@@ -158,10 +158,18 @@ def _quality_sql() -> str:
     cut = lambda e: f"(({e}) >> greatest(length(bin({e})) - {quality.DIGITS}, 0)) << greatest(length(bin({e})) - {quality.DIGITS}, 0)"
     per = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
            "long_words": "1000 * word_chars // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)"}
-    least = " ".join(f"WHEN '{m}' THEN {d}" for m, d in quality.MEASURES.items())
-    quart = lambda group: f"""SELECT {group}measure, n, cells[ceil(n * 0.25)::BIGINT] AS q1, cells[ceil(n * 0.75)::BIGINT] AS q3 FROM (
-        SELECT {group}measure, count(*) AS n, list(cell ORDER BY cell) AS cells FROM cells GROUP BY ALL)"""
-    fence = lambda q: f"{q}.q3 + greatest({quality.SPREAD} * ({q}.q3 - {q}.q1), CASE o.measure {least} END)"
+    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {d}" for m, d in quality.MEASURES.items()) + " END"
+    quantiles = ("q10", "q50", "q90")
+    drawn = lambda n, own, wide: ", ".join(f"({n} * {own}{q} + {quality.HALF_WAY} * {wide}{q}) // ({n} + {quality.HALF_WAY}) AS {q}" for q in quantiles)
+
+    def usual(of: str, by: str, values: tuple) -> str:
+        """The median over groups, weighted by their documents up to HALF_WAY."""
+        middle = ", ".join(f"min(cell) FILTER (value = '{v}' AND 2 * upto >= whole) AS {v}" for v in values)
+        return f"""SELECT {by}, max(whole) AS w, {middle} FROM (
+          SELECT {by}, value, cell, sum(weight) OVER (PARTITION BY {by}, value ORDER BY cell) AS upto, sum(weight) OVER (PARTITION BY {by}, value) AS whole
+          FROM (SELECT {by}, value, least(n, {quality.HALF_WAY}) AS weight, {cut("v")} AS cell FROM (UNPIVOT {of} ON {", ".join(values)} INTO NAME value VALUE v)))
+          GROUP BY {by}"""
+
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 split AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
@@ -174,16 +182,23 @@ feats AS (SELECT row_id, doc_id, lang, source, len(words) AS n_words, length(reg
     coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN repeats USING (row_id)),
 measured AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in per.items())} FROM feats),
 cells AS (SELECT row_id, lang, source, measure, {cut("value")} AS cell FROM (UNPIVOT measured ON {", ".join(per)} INTO NAME measure VALUE value)),
-own AS ({quart("lang, source, ")}), by_lang AS ({quart("lang, ")}), by_all AS ({quart("")}),
-limits AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {quality.LEAST_DOCUMENTS} THEN {fence("o")}
-    WHEN l.n >= {quality.LEAST_DOCUMENTS} THEN {fence("l")} ELSE {fence("a")} END AS cutoff
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN by_all a ON o.measure = a.measure),
-wide AS (SELECT lang, source, {", ".join(f"max(cutoff) FILTER (measure = '{m}') AS max_{m}" for m in per)} FROM limits GROUP BY ALL)
+groups AS (SELECT lang, source, measure, n, {", ".join(f"cells[({t} * n + 9) // 10] AS {q}" for q, t in quality.QUANTILES.items())}
+  FROM (SELECT lang, source, measure, count(*) AS n, list(cell ORDER BY cell) AS cells FROM cells GROUP BY ALL)),
+by_all AS ({usual("groups", "measure", quantiles)}),
+by_lang AS (SELECT o.lang, o.measure, {drawn("o.w", "o.", "a.")} FROM ({usual("groups", "lang, measure", quantiles)}) o JOIN by_all a USING (measure)),
+own AS (SELECT o.lang, o.source, o.measure, o.n, {drawn("o.n", "o.", "w.")} FROM groups o
+  JOIN by_lang w ON o.lang IS NOT DISTINCT FROM w.lang AND o.measure = w.measure),
+spread AS (SELECT *, ({quality.SPREAD} * (q90 - q50) + {least})::BIGINT AS above, ({quality.SPREAD} * (q50 - q10) + {least})::BIGINT AS below, {least} AS least FROM own),
+limits AS (SELECT s.lang, s.source, measure, s.q50 + least(s.above, u.above + s.least // 4) AS most, s.q50 - least(s.below, u.below + s.least // 4) AS fewest
+  FROM spread s JOIN ({usual("spread", "measure", ("above", "below"))}) u USING (measure)),
+wide AS (SELECT lang, source, {", ".join(f"max(most) FILTER (measure = '{m}') AS max_{m}" for m in per)},
+    {", ".join(f"max(fewest) FILTER (measure = '{m}') AS min_{m}" for m in quality.LOWER)} FROM limits GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words)
-    AND {" AND ".join(f"{m} <= max_{m}" for m in per)} AS kept,
-  {", ".join(f"{m}::BIGINT AS {m}" for m in quality.MEASURES)}, {", ".join(f"max_{m}::BIGINT AS max_{m}" for m in quality.MEASURES)}
+    AND {" AND ".join([f"{m} <= max_{m}" for m in per] + [f"{m} >= min_{m}" for m in quality.LOWER])} AS kept,
+  {", ".join(f"{m}::BIGINT AS {m}" for m in quality.MEASURES)}, {", ".join(f"max_{m}::BIGINT AS max_{m}" for m in quality.MEASURES)},
+  {", ".join(f"min_{m}::BIGINT AS min_{m}" for m in quality.LOWER)}
 FROM measured m JOIN wide w ON m.lang IS NOT DISTINCT FROM w.lang AND m.source IS NOT DISTINCT FROM w.source"""
 
 

@@ -186,6 +186,43 @@ def test_quality(odd, none):
     assert quality.assess(none).count() == 0
 
 
+def prose(i, n=100):
+    random = np.random.default_rng(i)
+    w = ["".join(random.choice(list("abcdefghij"), random.integers(2, 9))) for _ in range(n)]
+    return "\n".join(" ".join(w[k : k + 10]) for k in range(0, n, 10))
+
+
+def odd_one(kind):
+    w = prose(99_999).split()
+    if kind == "symbols":
+        w[:12] = ["#" + x for x in w[:12]]
+    if kind == "dup_lines":
+        return "\n".join(f"{'same' if k % 2 else w[k] + ' ' + w[k + 1]}" for k in range(0, 60))
+    if kind == "repeats":
+        w[50:59] = w[20:29]  # 18 words of 100
+    if kind == "long_words":
+        w = [x * 4 for x in w]
+    if kind == "short_words":
+        w = [x[0] + str(k % 10) if k % 3 else x[0] for k, x in enumerate(w)]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("kind", ["symbols", "dup_lines", "repeats", "long_words", "short_words"])
+def test_every_measure_can_reject_alone_and_one_bad_source_does_not_raise_it(spark, kind):
+    docs = [(i, prose(i), ("en", "de")[i % 2], f"s{i % 5}") for i in range(300)]
+    docs += [(1000 + i, prose(1000 + i), "en", "hot") for i in range(150)]  # a third of all rows
+    docs += [(2000 + i, odd_one(kind) + f" {prose(5000 + i, 3)}", "en", "hot") for i in range(50)] + [(3000, odd_one(kind), "de", "s1")]
+    docs += [(4000, prose(4000), "xx", "lone"), (4001, odd_one(kind), "xx", "lone")]  # next to nothing known of their own
+    got = {r.doc_id: r for r in quality.assess(table(spark, docs)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    for i in (*range(2000, 2050), 3000, 4001):
+        r, name = got[i], "long_words" if kind == "short_words" else kind
+        outside = {m for m in quality.MEASURES if r[m] > r[f"max_{m}"]} | {m for m in quality.LOWER if r[m] < r[f"min_{m}"]}
+        assert not r.kept and outside == {name}, (i, outside, r)
+    clean = [r.kept for i, r in got.items() if i < 2000 or i == 4000]
+    assert sum(clean) >= 0.99 * len(clean)
+
+
 def test_repeated_windows(spark):
     docs = table(spark, [(1, "a b c d e f g a b c d e z", "en", "s"), (2, "q q q q q q", "en", "s"), (3, "a\nb\na\n \n a", "en", "s")])
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
