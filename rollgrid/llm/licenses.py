@@ -7,13 +7,17 @@ holds one of its first n - o + 1 words (prefix), that holds o template words at
 follow that one on either side (position); what is left is verified on the full sets. No match is missed.
 
 Templates are a parameter of bounded size and are broadcast with the index; counting their words takes one row per
-word and task. Of the templates that match a block, the best ones give their label. Phrases are found besides, word by
-word, and always count.
+word and task. Phrases are found besides, word by word, and always count.
+
+A matching template has places: the shortest runs of words that hold enough of it, each from one of its words on, about as
+long as itself at most, since its words may stand anywhere in a block by chance. Every matching template gives its label,
+but for three rules. The words that tell a version
+or variant apart (``DECIDING``) must stand in a place. A match yields to the better matches of another label (of higher
+containment, or of more words) if these templates hold all its words and each of its places meets one of theirs. Labels that
+say less (``gnu``, ``gpl``, ``lgpl``) yield to one that says more (``SAYS_MORE``) in the same block or one that overlaps it.
 
 Whole notices are cut into templates of at most ``PIECE`` words that cover all of each notice; a longer template is
-refused. A block has the label of a version or variant only if it holds the words that tell it apart (``DECIDING``); a
-piece that GNU licenses share says ``gnu``. The words of a GPL piece also stand in those of the LGPL and AGPL, so beside a
-match of these it does not count.
+refused.
 
 Defined cases: a null text is empty and has score 0; repeated rows stay; an empty table gives no rows; other columns of
 the table are ignored.
@@ -35,6 +39,8 @@ from rollgrid.llm import words
 BLOCK, CONTAINED = 64, 0.85
 #: Longest template: that many words always lie whole in one block.
 PIECE = BLOCK // 2 + 1
+#: A place is at most so many words longer than its template, or this part of it.
+SLACK, SLACK_PART = 2, 8
 
 # Phrases with their labels, and public license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -85,7 +91,9 @@ NOTICES = (
 )
 #: Words without which a block does not have the label.
 DECIDING = {"gpl-2": "2", "gpl-3": "3", "lgpl-2.1": "lesser 2 1", "lgpl-3": "lesser 3", "lgpl": "lesser", "agpl-3": "affero",
-            "epl-1": "v1", "epl-2": "2"}
+            "epl-1": "v1", "epl-2": "2", "cc-by-nc": "nc", "cc-by-sa": "sa"}
+#: Labels that yield, and the labels that say more.
+SAYS_MORE = {"gnu": ("gpl", "gpl-2", "gpl-3", "lgpl", "lgpl-2.1", "lgpl-3", "agpl-3"), "gpl": ("gpl-2", "gpl-3"), "lgpl": ("lgpl-2.1", "lgpl-3")}
 
 
 def cut(text: str) -> list[str]:
@@ -111,6 +119,7 @@ class Index(NamedTuple):
     needed: list[int]
     prefixes: dict[int, list[tuple[int, int]]]  # rank: (template, position)
     deciding: list[np.ndarray]  # ranks without which a block does not match
+    lengths: list[int]  # words of each template, repeated ones too
 
 
 def vocabulary(templates) -> np.ndarray:
@@ -134,7 +143,7 @@ def index(templates, documents: dict[int, int], contained: float = CONTAINED) ->
         for i, r in enumerate(s[: len(s) - o + 1].tolist()):
             prefixes.setdefault(r, []).append((t, i))
     deciding = [rank[np.searchsorted(known, hashes_of(DECIDING.get(label, "")))] for label, _ in templates]
-    return Index(known, rank, sets, needed, prefixes, deciding)
+    return Index(known, rank, sets, needed, prefixes, deciding, [len(hashes_of(text)) for _, text in templates])
 
 
 def _placed(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,22 +153,31 @@ def _placed(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return here, at[here]
 
 
-def matches(found: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(text, block, template, containment) of every block and template that match."""
+class Match(NamedTuple):
+    """A template in a block, its containment, and its places as word positions (first, last)."""
+
+    template: int
+    share: float
+    places: list[tuple[int, int]]
+    words: np.ndarray  # ranks of its words that the block holds
+
+
+def matches(found: Index, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[Match]]:
+    """The templates that match each block, by (text, block)."""
     at, which = _placed(found.known, hashes)
     text = np.searchsorted(first, at, "right") - 1
     block = (at - first[text]) // (BLOCK // 2)
     ranks = found.rank[which]
     # Each word lies in two blocks: the one that begins in its half, and the one before.
-    keys = np.concatenate([np.stack([text, block, ranks], 1), np.stack([text, block - 1, ranks], 1)[block > 0]])
-    keys = np.unique(keys, axis=0)
-    rare = np.isin(keys[:, 2], np.array(sorted(found.prefixes), np.int64))
-    out = []
+    keys = np.concatenate([np.stack([text, block, at, ranks], 1), np.stack([text, block - 1, at, ranks], 1)[block > 0]])
+    keys = keys[np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))]
+    rare = np.isin(keys[:, 3], np.array(sorted(found.prefixes), np.int64))
+    out: dict[tuple[int, int], list[Match]] = {}
     bounds = np.flatnonzero(np.any(keys[1:, :2] != keys[:-1, :2], 1)) + 1 if len(keys) else np.zeros(0, int)
     starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(keys)]])
     for b in np.unique(np.searchsorted(starts, np.flatnonzero(rare), "right") - 1).tolist():
         rows = keys[starts[b] : ends[b]]
-        held = rows[:, 2]
+        held = np.unique(rows[:, 3])
         tried = set()
         for j, r in enumerate(held.tolist()):
             for t, i in found.prefixes.get(r, ()):
@@ -167,9 +185,56 @@ def matches(found: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
                 if t in tried or len(held) < needed or 1 + min(len(found.sets[t]) - i, len(held) - j) - 1 < needed:
                     continue
                 tried.add(t)
-                shared = len(np.intersect1d(found.sets[t], held, assume_unique=True))
-                if shared >= needed and np.isin(found.deciding[t], held).all():
-                    out.append((int(rows[0, 0]), int(rows[0, 1]), t, shared / len(found.sets[t])))
+                shared = np.intersect1d(found.sets[t], held, assume_unique=True)
+                if len(shared) >= needed and (places := _places(found, t, rows[:, 2].tolist(), rows[:, 3].tolist())):
+                    out.setdefault((int(rows[0, 0]), int(rows[0, 1])), []).append(Match(t, len(shared) / len(found.sets[t]), places, shared))
+    return out
+
+
+def _places(found: Index, t: int, at: list[int], ranks: list[int]) -> list[tuple[int, int]]:
+    """From each word of the template the shortest run that holds enough of it, and the deciding words."""
+    mine, deciding = set(found.sets[t].tolist()), set(found.deciding[t].tolist())
+    of = [(p, r) for p, r in zip(at, ranks) if r in mine or r in deciding]
+    longest = found.lengths[t] + max(SLACK, found.lengths[t] // SLACK_PART)
+    out = []
+    for k, (begin, _) in enumerate(of):
+        seen, missing = set(), set(deciding)
+        for p, r in of[k:]:
+            if p - begin >= longest:
+                break
+            missing.discard(r)
+            if r in mine:
+                seen.add(r)
+            if len(seen) >= found.needed[t] and not missing:
+                out.append((begin, p))
+                break
+    return out
+
+
+def _yields(found: Index, one: Match, others: list[Match]) -> bool:
+    """Whether all that ``one`` says, and everywhere it does, better matches of another label say."""
+    rank = lambda m: (m.share, len(found.sets[m.template]))
+    better = [m for m in others if rank(m) > rank(one)]
+    if not better or not np.isin(one.words, np.concatenate([found.sets[m.template] for m in better])).all():
+        return False
+    return all(any(a <= d and c <= b for m in better for c, d in m.places) for a, b in one.places)
+
+
+def labels_of(found: Index, templates, hits: list[Match]) -> set[str]:
+    """The labels of a block from all its matches."""
+    by_label: dict[str, list[Match]] = {}
+    for m in hits:
+        by_label.setdefault(templates[m.template][0], []).append(m)
+    return {label for label, mine in by_label.items() if not all(
+        any(_yields(found, m, others) for other, others in by_label.items() if other != label) for m in mine)}
+
+
+def _told(blocks: dict[tuple[int, int], set[str]]) -> dict[int, set[str]]:
+    """Labels per text; one that says less goes beside one that says more."""
+    out: dict[int, set[str]] = {}
+    for (d, b), labels in blocks.items():
+        around = labels | blocks.get((d, b - 1), set()) | blocks.get((d, b + 1), set())
+        out.setdefault(d, set()).update(label for label in labels if not around & set(SAYS_MORE.get(label, ())))
     return out
 
 
@@ -202,7 +267,7 @@ def document_counts(docs: DataFrame, templates) -> dict[int, int]:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """One row per document: phrase places, labels, and the best containment (1 with a phrase)."""
+    """One row per document: phrase places, labels, and the best containment of a match (1 with a phrase)."""
     shared = docs.sparkSession.sparkContext.broadcast(index(templates, document_counts(docs, templates)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sought = [(hashes_of(p), label) for p, label in phrases.items()]
@@ -223,15 +288,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
                     for d in np.unique(text).tolist():
                         labels[d].add(label)
                 base_labels = [",".join(sorted(s)) for s in labels]
-                by_block: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for d, b, t, share in matches(shared.value, hashes, first):
-                    by_block.setdefault((d, b), []).append((share, t))
-                for (d, _), hits in by_block.items():
-                    if any(templates[t][0].startswith(("lgpl", "agpl")) for _, t in hits):
-                        hits = [(share, t) for share, t in hits if not templates[t][0].startswith("gpl")]
-                    best = max(hits)[0]
-                    score[d] = max(score[d], best)
-                    labels[d].update(templates[t][0] for share, t in hits if share == best)
+                found_blocks = matches(shared.value, hashes, first)
+                for (d, _), hits in found_blocks.items():
+                    score[d] = max(score[d], *(m.share for m in hits))
+                for d, told in _told({at: labels_of(shared.value, templates, hits) for at, hits in found_blocks.items()}).items():
+                    labels[d] |= told
                 none = base == 0
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(found.counts(), pa.int64()), pa.array(base), pa.array(low, mask=none),

@@ -139,13 +139,18 @@ further AS (SELECT *, start + length(hit) AS stop FROM ({_spans_sql(secrets.CAND
   WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= {secrets.LEAST_DIGITS} AND regexp_matches(value, '[A-Za-z]')
     AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_DIFFERENT}),
 extra AS (SELECT * FROM further e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = e.row_id AND b.start < e.stop AND e.start < b.stop)),
-owners AS (SELECT value, count(DISTINCT source) AS owners FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) JOIN docs USING (row_id) GROUP BY value),
-found AS (SELECT s.*, owners FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) s JOIN owners USING (value) WHERE kind < 3 OR owners < 2),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (source, lang)) AS repos, count(DISTINCT t) AS texts
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) JOIN docs USING (row_id) GROUP BY value),
+judged AS (SELECT s.*, owners, owners >= {secrets.EXAMPLE_OWNERS} OR repos >= {secrets.EXAMPLE_REPOS} OR texts >= {secrets.EXAMPLE_TEXTS} OR NOT (
+    length(regexp_replace(value, '[^0-9]', '', 'g')) >= {secrets.LEAST_DIGITS} AND regexp_matches(value, '[A-Za-z]')
+    AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_DIFFERENT}) AS example
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) s JOIN owners USING (value)),
+found AS (SELECT * FROM judged WHERE kind < 3 OR (NOT example AND owners = 1)),
 texts AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM found)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans,
-  count(*) FILTER (owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+  count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example
 FROM docs d LEFT JOIN texts x USING (row_id) GROUP BY d.row_id, d.doc_id"""
 
 

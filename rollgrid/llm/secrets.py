@@ -1,9 +1,10 @@
 """Secrets in texts, and how the values they show are spread over repositories and owners.
 
 ``find`` locates the base spans (assignments, access keys, hexadecimal runs) and further candidates: long runs that mix
-letters and digits. ``spread`` counts, for the hash of every value in the whole corpus, its documents, repositories and
-owners. A value of one owner only that looks like a credential is live and becomes a span; a value that several owners
-carry is a copied example. ``scan`` joins both and ``redact`` masks what was found.
+letters and digits. ``spread`` counts, for the hash of every value in the whole corpus, its different texts, repositories
+and owners. A value that many owners, repositories or texts carry is a copied example; so is one that does not look like a
+credential, wherever it stands. What is left is live; further candidates become spans if they are live and of one owner
+only. ``scan`` joins both, gives the counts with every span, and ``redact`` masks what was found.
 
 Everything is a column function or a join. A value that many documents carry is counted with partial sums, first per
 repository and owner, then per value, and only rows with candidates take part in the join on values, which Spark splits
@@ -32,8 +33,8 @@ LEAST_VALUE = 12
 #: Further candidates: runs of this length at least, with a letter and this many digits.
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 LEAST_DIGITS, LEAST_DIFFERENT = 4, 10
-#: From so many owners on, a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners, repositories or different texts on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS, EXAMPLE_TEXTS = 3, 6, 25
 
 KINDS = ("assign", "access", "hex", "owned")
 
@@ -78,18 +79,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def values(found: DataFrame, repo: list[str], owner: list[str]) -> DataFrame:
-    """Each row's different value hashes, with its repository and owner."""
+    """Each row's different value hashes, with its repository, owner and text."""
     return found.where((F.size("base") > 0) | (F.size("extra") > 0)).select(
-        "row_hash", F.xxhash64(*repo).alias("repo"), F.xxhash64(*owner).alias("owner"),
+        "row_hash", F.xxhash64(*repo).alias("repo"), F.xxhash64(*owner).alias("owner"), F.xxhash64("text").alias("text_hash"),
         F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.xxhash64(s["value"])))).alias("value_hash"))
 
 
 def spread(shown: DataFrame) -> DataFrame:
-    """Documents, repositories and owners of every value hash."""
-    by_repo = shown.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("documents"))
-    by_owner = by_repo.groupBy("value_hash", "owner").agg(F.sum("documents").alias("documents"), F.count("*").alias("repos"))
-    return by_owner.groupBy("value_hash").agg(
-        F.sum("documents").alias("documents"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    """Different texts, repositories and owners of every value hash, each counted from partial sums."""
+    texts = shown.select("value_hash", "owner", "repo", "text_hash").distinct()
+    count = lambda of: texts.select("value_hash", of).distinct().groupBy("value_hash").agg(F.count("*").alias(f"{of}s"))
+    return count("text_hash").withColumnRenamed("text_hashs", "texts").join(count("repo"), "value_hash").join(count("owner"), "value_hash")
 
 
 def _joined(of: Column) -> Column:
@@ -99,28 +99,30 @@ def _joined(of: Column) -> Column:
 
 
 def scan(docs: DataFrame, repo: list[str] = ["source", "lang"], owner: list[str] = ["source"],
-         example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``docs`` with ``found`` (all spans, each with its verdict ``live`` or ``example``), ``base`` and the digests.
+         example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, example_texts: int = EXAMPLE_TEXTS) -> DataFrame:
+    """``docs`` with ``base`` and ``found``: all spans, each with the owners, repositories and texts of its value and a verdict.
 
-    A base span stays whatever its verdict; a further candidate is a span only if live.
+    A base span stays whatever its verdict, ``live`` or ``example``; a further candidate is a span only if live and of one owner.
     """
-    docs = docs.drop("base", "extra", "found", "row_hash", "copied", "shared")
+    docs = docs.drop("base", "extra", "found", "row_hash", "counts")
     identity = F.xxhash64(F.col("doc_id"), F.col("text"), *[F.col(c) for c in dict.fromkeys(repo + owner)])
     found = find(docs).withColumn("row_hash", identity)
     shown = rows.written(values(found, repo, owner), "secret-values")
-    several = spread(shown).where(F.col("owners") > 1).select("value_hash", "owners")
-    of_row = shown.select("row_hash", "value_hash").distinct().join(several, "value_hash").groupBy("row_hash").agg(
-        F.collect_set(F.when(F.col("owners") >= example_owners, F.col("value_hash"))).alias("copied"),
-        F.collect_set(F.when(F.col("owners") < example_owners, F.col("value_hash"))).alias("shared"))
-    out = found.join(rows.written(of_row, "secret-copies"), "row_hash", "left").drop("row_hash")
-    few = F.array().cast("array<bigint>")
-    copied_here, shared_here = F.coalesce("copied", few), F.coalesce("shared", few)
-    marked = lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-        F.when(F.array_contains(copied_here, F.xxhash64(s["value"])), "example").otherwise("live").alias("verdict"))
-    owned = F.filter("extra", lambda s: ~F.array_contains(copied_here, F.xxhash64(s["value"]))
-                     & ~F.array_contains(shared_here, F.xxhash64(s["value"])))
-    return out.withColumn("found", F.transform(F.array_sort(F.concat("base", owned)), marked)).drop("extra", "copied", "shared")
+    entry = F.struct("value_hash", F.struct("owners", "repos", "texts").alias("counts"))
+    of_row = shown.select("row_hash", "value_hash").distinct().join(rows.written(spread(shown), "secret-spread"), "value_hash")
+    of_row = of_row.groupBy("row_hash").agg(F.map_from_entries(F.collect_list(entry)).alias("counts"))  # the values of one text
+    out = found.join(rows.written(of_row, "secret-counts"), "row_hash", "left").drop("row_hash")
+
+    def judged(s: Column) -> Column:
+        n = F.element_at("counts", F.xxhash64(s["value"]))
+        copied = (n["owners"] >= example_owners) | (n["repos"] >= example_repos) | (n["texts"] >= example_texts)
+        return F.struct(
+            *[s[c].alias(c) for c in ("start", "kind", "end", "value")], *[n[c].alias(c) for c in ("owners", "repos", "texts")],
+            F.when(copied | ~_credential_like(s["value"]), "example").otherwise("live").alias("verdict"))
+
+    spans_ = F.transform(F.array_sort(F.concat("base", "extra")), judged)
+    stays = lambda s: (s["kind"] < len(KINDS) - 1) | ((s["verdict"] == "live") & (s["owners"] == 1))
+    return out.withColumn("found", F.filter(spans_, stays)).drop("extra", "counts")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -84,12 +84,27 @@ def test_secrets(odd, none):
 def test_widely_copied_values_are_examples(spark):
     value = "Zx9Yw8Vu7Ts6Rq5Po4Nm3"
     docs = [(i, f"see {value} here", "en", f"s{i}") for i in range(4)] + [(9, "mine Qa1Ws2Ed3Rf4Tg5Yh6Uj7", "en", "s1")]
-    docs += [(20 + i, "password=hunter2hunter2x", "en", f"s{i}") for i in range(4)]
+    docs += [(20 + i, "password=hunter2hunter2x", "en", f"s{i}") for i in range(4)]  # no credential by its looks either
     got = {r.doc_id: r for r in secrets.digest(secrets.scan(table(spark, docs))).collect()}
     assert got[0].spans == "" and got[9].spans == "owned:5:26" and got[9].n_live == 1
     assert got[20].n_assign == 1 and got[20].n_example == 1
 
 
+def test_verdicts_come_from_owners_repositories_texts_and_looks(spark):
+    many, copies, wide, two = "Aa1Bb2Cc3Dd4Ee5Ff6Gg7", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3", "Qq1Ww2Ee3Rr4Tt5Yy6Uu7", "Mm1Nn2Bb3Vv4Cc5Xx6Ll7"
+    docs = [(i, f"run {i} with {many}", "en", "s0") for i in range(500)]  # one repository, many texts
+    docs += [(1000 + i, f"mine {copies}", "en", "s0") for i in range(500)]  # copies of one text
+    docs += [(2000 + i, f"x{i} {wide}", f"l{i}", "s0") for i in range(6)] + [(3000 + i, f"y {two}", "en", f"s{i}") for i in range(2)]
+    docs += [(4000, "password: changemechangeme", "en", "s0"), (4001, "password: Ab3dEf6hIj9k2Lm4", "en", "s0"), (4002, f"token={many}", "en", "s0")]
+    scanned = secrets.scan(table(spark, docs)).cache()
+    got = {r.doc_id: r for r in secrets.digest(scanned).collect()}
+    assert all(got[i].spans == "" for i in (*range(500), *range(2000, 2006), 3000, 3001))
+    assert all(got[i].spans == "owned:5:26" and got[i].n_live == 1 for i in range(1000, 1500))
+    assert [(got[i].n_live, got[i].n_example) for i in (4000, 4001, 4002)] == [(0, 1), (1, 0), (0, 1)]
+    counts = {r.doc_id: [(f.owners, f.repos, f.texts) for f in r.found] for r in scanned.collect()}
+    assert counts[1000] == [(1, 1, 1)] and counts[4002] == [(1, 1, 501)] and counts[4000] == [(1, 1, 1)]
+
+
 def test_token_counts(odd, none):
     import public_tokenizers
 
@@ -239,6 +254,22 @@ def test_licenses(odd, none, spark):
     assert licenses.scan(near).first().labels == "apache-2"
 
 
+def test_all_that_a_block_says_is_labelled(spark):
+    kernel = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+              "version 2 as published by the Free Software Foundation.")
+    bsd = licenses.TEMPLATES[10][1].replace("Redistribution", "Distribution")
+    gnu = lambda kind, n: f"you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {n} of the License"
+    texts = {
+        "gpl-2": kernel, "bsd,mit": f"{bsd}. Released under the MIT License.",
+        "gpl-2,lgpl-3": f"{gnu('General Public License', 2)} {gnu('Lesser General Public License', 3)}",
+        "": "Researchers at MIT released a study on how the driver license rules apply under new law",
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by": "Licensed under CC BY 4.0.", "cc-by-sa": "Licensed under CC BY-SA 4.0.",
+        "apache-2,cc-by": "Licensed under CC BY 4.0. " + "pad " * 20 + "Licensed under the Apache License, Version 2.0."}
+    docs = [(100 * k + pad, "pad " * pad + t, "en", "s") for k, t in enumerate(texts.values()) for pad in (0, 9, 31, 40)]
+    for r in licenses.scan(table(spark, docs)).collect():
+        assert r.labels == list(texts)[r.doc_id // 100], r
+
+
 def test_every_part_of_a_notice_is_labelled(spark):
     gnu = ("you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by "
            "the Free Software Foundation, either version {} of the License, or (at your option) any later version").format

@@ -95,10 +95,29 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
 
+def plain_matches(block, templates):
+    """(label, containment, places, words) of the templates in one block, in plain Python."""
+    out = []
+    for label, text in templates:
+        words, deciding = set(text), set(licenses.DECIDING.get(label, "").split())
+        needed = next(o for o in range(1, len(words) + 1) if o >= 0.85 * len(words) - 1e-9)
+        longest = len(text) + max(2, len(text) // 8)
+        places = []
+        for begin, first in enumerate(block):
+            if first in words | deciding:
+                ends = [e for e in range(begin, min(len(block), begin + longest))
+                        if len(words & set(block[begin : e + 1])) >= needed and deciding <= set(block[begin : e + 1])]
+                places += [(begin, ends[0])] if ends else []
+        share = len(words & set(block)) / len(words)
+        if share >= 0.85 - 1e-9 and len(words & set(block)) >= needed and places:
+            out.append((label, share, places, words))
+    return out
+
+
 def test_license_phrases_and_blocks(spark, texts):
     rows = {r.doc_id: r for r in run(spark, "op9_license_blocks")}
     phrases = {tuple(p.split()): label for p, label in licenses.PHRASES.items()}
-    templates = [(label, set(words_of(t))) for label, t in licenses.TEMPLATES]
+    templates = [(label, words_of(t)) for label, t in licenses.TEMPLATES]
     assert set(rows) == set(texts)
     for i, t in texts.items():
         w, r = words_of(t), rows[i]
@@ -109,12 +128,23 @@ def test_license_phrases_and_blocks(spark, texts):
         base = {label for _, label in places}
         assert r.base_labels == ",".join(sorted(base))
         best, labels = 0.0, set(base)
+        blocks = []
         for k in range(0, max(len(w), 1), licenses.BLOCK // 2):
             block = set(w[k : k + licenses.BLOCK])
-            shares = {(len(block & s) / len(s), label) for label, s in templates if len(block & s) / len(s) >= licenses.CONTAINED}
-            top = max((s for s, _ in shares), default=0.0)
-            best = max(best, top)
-            labels |= {label for s, label in shares if s == top}
+            hits = plain_matches(w[k : k + licenses.BLOCK], templates)
+            best = max([best, *(share for _, share, _, _ in hits)])
+            stay = set()
+            for h in hits:
+                def loses(label):
+                    better = [o for o in hits if o[0] == label and (o[1], len(o[3])) > (h[1], len(h[3]))]
+                    return better and h[3] & block <= set().union(*(o[3] for o in better)) and all(
+                        any(x <= v and u <= y for o in better for u, v in o[2]) for x, y in h[2])
+                if not any(loses(label) for label in {o[0] for o in hits} - {h[0]}):
+                    stay.add(h[0])
+            blocks.append(stay)
+        for k, here in enumerate(blocks):
+            around = set().union(*blocks[max(k - 1, 0) : k + 2])
+            labels |= {label for label in here if not around & set(licenses.SAYS_MORE.get(label, ()))}
         assert r.labels == ",".join(sorted(labels))
         assert r.score == pytest.approx(1.0 if places else best)
 
