@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollgrid import session
-from rollgrid.llm import near_duplicates, words
+from rollgrid.llm import near_duplicates, rows, words
 
 CHAIN = 2
 #: Bytes of text in an id range, about.
@@ -136,7 +136,7 @@ def alike(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     def keys(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(signed), np.uint32).astype(np.int64), np.array([len(s) // 4 for s in signed], np.int64)
 
-    scheme = near_duplicates.Scheme(sets, lambda values, bounds: prefixes(values, bounds, known.value, percent), keys, rare=True)
+    scheme = near_duplicates.Scheme(sets, lambda values, bounds: prefixes(values, bounds, known.value, percent), keys, rare=True, element=np.uint32)
     return near_duplicates.linked(docs, percent, scheme)
 
 
@@ -171,6 +171,7 @@ def edited(docs: DataFrame) -> DataFrame:
     every = own.unionByName(guests.select("doc_id", "text", F.col("to").alias("range"), "tie", F.lit(1).alias("guest")))
     # Documents that a smaller id stands for are told so by a row before them, so the texts do not move again.
     notes = alike(docs).where("not kept").select("doc_id", "tie", F.col("component_id").alias("alike_id")).dropDuplicates(["doc_id", "tie"])
+    notes = rows.written(notes, "alike")
     notes = notes.select("doc_id", F.lit(None).cast("string").alias("text"), _range_of(F.col("doc_id"), cuts).alias("range"), "tie",
                          F.lit(0).alias("guest"), "alike_id")
     every = every.withColumn("alike_id", F.lit(None).cast(kind)).unionByName(notes)

@@ -88,6 +88,7 @@ class Scheme(NamedTuple):
     sign: Callable[[np.ndarray, np.ndarray], list[bytes]]  # values and bounds
     keys: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | int]]  # all keys, and how many of each
     rare: bool = False  # most keys are of one set; these are then left out before keys are written
+    element: type = np.uint64  # of a set that travels; values must fit
 
 
 def minhash(chunks: int = CHUNKS) -> Scheme:
@@ -156,7 +157,8 @@ def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scheme: Sch
                 values, bounds = scheme.sets(part.column("text"))
                 same = ((_sums(words.mix(values), bounds) == part.column("w1").to_numpy())
                         & (_sums(words.mix(values ^ np.uint64(0x5555555555555555)), bounds) == part.column("w2").to_numpy()))
-                packed = [values[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(same)]
+                carried = values.astype(scheme.element)
+                packed = [carried[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(same)]
                 yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(same)), pa.array(packed, pa.binary())], ["node", "set"])
 
     return chosen.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
@@ -173,7 +175,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
             for k, (a, b) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+                x, y = (np.frombuffer(s.as_buffer(), scheme.element) for s in (a, b))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 shared = int(np.count_nonzero(y[at] == x))
                 linked[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
@@ -215,21 +217,21 @@ def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, perc
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "label", "set"))):
                 if row[0] != pair:
-                    yield from _links_of(held, percent)
+                    yield from _links_of(held, percent, scheme.element)
                     held, pair = [], row[0]
                 held.append(row)
-        yield from _links_of(held, percent)
+        yield from _links_of(held, percent, scheme.element)
 
     return lined.select("pair", "side", "node", "label", "set").mapInArrow(run, "a long, b long").distinct()
 
 
-def _links_of(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+def _links_of(held: list[tuple], percent: int, element: type) -> Iterator[pa.RecordBatch]:
     """Links between the two tiles of a pair, or inside the only one."""
     first, second = ([r for r in held if r[1] == side] for side in (0, 1))
     second = second or first
     if len({r[3] for r in held}) < 2 or not first:
         return
-    shared, sizes = _shared([np.frombuffer(r[4], np.uint64) for r in first], [np.frombuffer(r[4], np.uint64) for r in second])
+    shared, sizes = _shared([np.frombuffer(r[4], element) for r in first], [np.frombuffer(r[4], element) for r in second])
     total = sizes[0][:, None] + sizes[1][None, :] - shared
     node = [np.array([r[2] for r in part]) for part in (first, second)]
     label = [np.array([r[3] for r in part]) for part in (first, second)]
