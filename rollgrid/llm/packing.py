@@ -37,7 +37,7 @@ CELL_BYTES = 8 << 20
 #: Tokens of a cell at most, and one more than the cells that a part of the scan can have.
 HELD_TOKENS, CELLS = 16 << 20, 1 << 24
 #: Parts of texts that a worker remembers in each of two generations, and the longest of them.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 200_000, 64
 
 
 def _characters(kind: str) -> str:
@@ -63,15 +63,14 @@ class Encoder(dict):
     """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait
         self.library = Tokenizer.from_file(tokenizer)
         # Parts are normalised and split already; for them the same model needs no more than the spaces between them.
-        self.for_parts = Tokenizer.from_file(tokenizer)
-        self.for_parts.normalizer = normalizers.Sequence([])
+        self.for_parts = Tokenizer(self.library.model)
         self.for_parts.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         vocabulary = self.library.get_vocab()
