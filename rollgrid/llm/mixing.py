@@ -25,7 +25,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid import session
 from rollgrid.llm import rows
 from rollgrid.llm.sharding import BITS, hashed
 
@@ -123,11 +122,9 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
         *docs.columns, "tokens", "epoch", (start / F.col("quota")).alias("position"))
 
 
-def in_order(drawn: DataFrame, slots: int = 8) -> DataFrame:
-    """The draws in stored order of position: ranges of positions, ``slots`` to a task, each sorted.
+def in_order(drawn: DataFrame) -> DataFrame:
+    """The draws with every part of them in rising position, so that what reads them in stored order meets the mix.
 
-    Positions are spread evenly over 0 to 1, so ranges of one width hold about equally many draws.
+    A part holds whole hashed blocks of all sources, so its positions run from 0 to 1 like those of the whole; nothing moves.
     """
-    tasks = session.task_count(drawn.sparkSession)
-    at = F.floor(F.col("position") * tasks * slots)
-    return drawn.repartition(tasks, at).sortWithinPartitions(at, "position", F.col("doc_id").asc_nulls_first(), "epoch")
+    return drawn.sortWithinPartitions("position", F.col("doc_id").asc_nulls_first(), "epoch")
