@@ -37,7 +37,7 @@ CELL_BYTES = 8 << 20
 #: Tokens of a cell at most, and one more than the cells that a part of the scan can have.
 HELD_TOKENS, CELLS = 16 << 20, 1 << 24
 #: Parts of texts that a worker remembers in each of two generations, and the longest of them.
-CACHE, LONGEST = 200_000, 64
+CACHE, LONGEST = 120_000, 64
 
 
 def _characters(kind: str) -> str:
