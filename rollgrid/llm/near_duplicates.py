@@ -12,7 +12,11 @@ lead and cut into tiles of bounded size, by size band of the sets and by hash. T
 meet pairwise in a task, which multiplies their sets as matrices and gives back the links only. So groups of near copies
 stay linear in rows, no link between different texts is lost, and no task holds more than two tiles.
 
-Texts are read twice; only those of classes with candidates move. Skewed buckets, hubs and classes are summed before
+A class also has a parity bitmap: each element flips one bit. Two bitmaps differ in no more bits than their sets differ in
+elements, which bounds the intersection from above, so most candidates go by their bitmaps (a thirtieth of a set or less)
+and only sets that may link move; no link is lost by it.
+
+Texts are read twice; only those of classes with such candidates move. Skewed buckets, hubs and classes are summed before
 shuffles, or joined, which Spark splits. Intermediate tables lie in the shared folder.
 
 Defined cases: a null or empty text has an empty set and is its own component; rows that share an id are judged each by
@@ -39,6 +43,8 @@ CHUNKS, SYMBOLS, ERRORS, BITS = 8, 6, 1, 16
 MOST_CHUNKS = 16
 #: Classes and set elements of a tile, about, and columns of a matrix at a time.
 TILE, TILE_ELEMENTS, COLUMNS = 256, 1 << 17, 4096
+#: Bits of the smallest bitmap.
+LEAST_BITS = 64
 #: Ids that may be broadcast to pick texts from the documents; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -56,6 +62,37 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
+def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: a bit is set if an odd number of elements fall on it. As many bits as elements, rounded up
+    to a power of two, 64 at least; with half as many bits it is both halves combined by exclusive or."""
+    sizes = np.diff(bounds)
+    widths = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, LEAST_BITS))).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(widths)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (words.mix(values + np.uint64(0x632BE59BD9B4E019)) & (widths[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(starts[owner] + place, minlength=starts[-1]) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip(starts[:-1] // 8, starts[1:] // 8)]
+
+
+def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of 64-bit words with ``width`` words, a power of two."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, width), axis=0) if len(bitmap) > width else bitmap
+
+
+def may_link(sizes: tuple[np.ndarray, np.ndarray], bits: tuple[list[bytes], list[bytes]], percent: int) -> np.ndarray:
+    """For every set of one list and every one of another: whether sizes and bitmaps leave room for a link."""
+    maps = [[np.frombuffer(b, np.uint64) for b in part] for part in bits]
+    width = min(len(m) for part in maps for m in part)
+    first, second = (np.stack([_folded(m, width) for m in part]) for part in maps)
+    differ = np.zeros((len(first), len(second)), np.int64)
+    for k in range(width):
+        differ += np.bitwise_count(first[:, k, None] ^ second[None, :, k])
+    total = sizes[0][:, None] + sizes[1][None, :]
+    shared = np.minimum((total - differ) // 2, np.minimum(sizes[0][:, None], sizes[1][None, :]))
+    return 100 * shared >= percent * (total - shared)
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """b-bit MinHash values of each non-empty set, one row per text (zeros for empty sets)."""
     out = np.zeros((len(bounds) - 1, chunks * SYMBOLS), np.uint16)
@@ -108,7 +145,7 @@ def _tie(text: str = "text") -> Column:
 
 
 def _described(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Per document: a hash of its text, two hashes of its set, the set's size, and its signature."""
+    """Per document: a hash of its text, two hashes of its set, the set's size, its signature and its bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +157,11 @@ def _described(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("tie"), pa.array(_sums(words.mix(values), bounds), mask=empty),
                      pa.array(_sums(words.mix(values ^ np.uint64(0x5555555555555555)), bounds), mask=empty),
-                     pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary())],
-                    ["doc_id", "tie", "h1", "h2", "n", "signature"])
+                     pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary()), pa.array(bitmaps(values, bounds), pa.binary())],
+                    ["doc_id", "tie", "h1", "h2", "n", "signature", "bits"])
 
     return docs.select("doc_id", "text", _tie().alias("tie")).mapInArrow(
-        run, f"doc_id {kind}, tie long, h1 long, h2 long, n long, signature binary")
+        run, f"doc_id {kind}, tie long, h1 long, h2 long, n long, signature binary, bits binary")
 
 
 def _keyed(classes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -164,6 +201,21 @@ def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scheme: Sch
     return chosen.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
+def _possible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            bits = zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b")))
+            open_ = [bool(may_link((n_a[k : k + 1], n_b[k : k + 1]), ([x], [y]), percent)[0, 0]) for k, (x, y) in enumerate(bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(open_, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -203,32 +255,64 @@ def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, perc
     tiles, pairs = _tile_pairs(members)
     placed = members.join(tiles, ["lead", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     pairs = rows.written(pairs, "near-tiles")
-    ones = placed.join(pairs, ["lead", "band", "tile"]).select("pair", F.lit(0).alias("side"), "node", "label")
+    ones = placed.join(pairs, ["lead", "band", "tile"]).select("pair", F.lit(0).alias("side"), "node", "n", "label")
     others = pairs.where("band <> band_2 or tile <> tile_2").select(
         "lead", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "pair")
-    twos = placed.join(others, ["lead", "band", "tile"]).select("pair", F.lit(1).alias("side"), "node", "label")
-    full = rows.written(_texts_of(docs, classes, open_.select("node").distinct(), scheme), "near-sets")
-    every = ones.unionByName(twos).join(full, "node")
-    # Tiles are many and each is small, so a task streams its pairs one after the other.
-    lined = every.repartition(session.task_count(docs.sparkSession), "pair").sortWithinPartitions("pair", "side", "node")
+    twos = placed.join(others, ["lead", "band", "tile"]).select("pair", F.lit(1).alias("side"), "node", "n", "label")
+    every = ones.unionByName(twos).join(classes.select("node", "bits"), "node")
+    met = rows.written(_by_pair(every, ["node", "n", "label", "bits"], lambda held: _meeting(held, percent),
+                                "pair long, side int, node long, label long"), "near-met")
+    full = rows.written(_texts_of(docs, classes, met.select("node").distinct(), scheme), "near-sets")
+    return _by_pair(met.join(full, "node"), ["node", "label", "set"], lambda held: _links_of(held, percent, scheme.element),
+                    "a long, b long").distinct()
+
+
+def _by_pair(members: DataFrame, columns: list[str], apply: Callable[[list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``apply`` to the rows (pair, side, columns) of every pair of tiles. Tiles are many and each is small, so a task streams
+    its pairs one after the other."""
+    columns = ["pair", "side", *columns]
+    lined = members.repartition(session.task_count(members.sparkSession), "pair").sortWithinPartitions("pair", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pair = [], None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "label", "set"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if row[0] != pair:
-                    yield from _links_of(held, percent, scheme.element)
+                    yield from apply(held)
                     held, pair = [], row[0]
                 held.append(row)
-        yield from _links_of(held, percent, scheme.element)
+        yield from apply(held)
+
+    return lined.select(*columns).mapInArrow(run, schema)
 
-    return lined.select("pair", "side", "node", "label", "set").mapInArrow(run, "a long, b long").distinct()
+
+def _sides(held: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The members of both tiles of a pair; those of a tile that meets itself twice."""
+    first, second = ([r for r in held if r[1] == side] for side in (0, 1))
+    return first, second or first
+
+
+def _meeting(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members (pair, side, node, n, label, bits) of a pair of tiles that may link to one of another label."""
+    first, second = _sides(held)
+    if not first or len({r[4] for r in held}) < 2:
+        return
+    sizes = tuple(np.array([r[3] for r in part]) for part in (first, second))
+    label = [np.array([r[4] for r in part]) for part in (first, second)]
+    open_ = may_link(sizes, tuple([r[5] for r in part] for part in (first, second)), percent) & (label[0][:, None] != label[1][None, :])
+    stay = [r for r, some in zip(first, open_.any(axis=1)) if some]
+    if second is not first:
+        stay += [r for r, some in zip(second, open_.any(axis=0)) if some]
+    if stay:
+        pair, side, node, _, of, _ = zip(*stay)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(node, pa.int64()), pa.array(of, pa.int64())],
+            ["pair", "side", "node", "label"])
 
 
 def _links_of(held: list[tuple], percent: int, element: type) -> Iterator[pa.RecordBatch]:
     """Links between the two tiles of a pair, or inside the only one."""
-    first, second = ([r for r in held if r[1] == side] for side in (0, 1))
-    second = second or first
+    first, second = _sides(held)
     if len({r[3] for r in held}) < 2 or not first:
         return
     shared, sizes = _shared([np.frombuffer(r[4], element) for r in first], [np.frombuffer(r[4], element) for r in second])
@@ -288,7 +372,8 @@ def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """``link`` with sets and keys of any scheme, a hash of each document's text (``tie``) and one of its component (``group``)."""
     described = rows.written(_described(docs, scheme), "near-described")
     classes = described.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"),
+        F.first("bits").alias("bits"))
     classes = rows.written(classes.withColumn("node", F.col("h1")), "near-classes")
     keyed = _keyed(classes, scheme)
     if scheme.rare:
@@ -299,7 +384,8 @@ def linked(docs: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     star = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     stars = keyed.join(star.select("key", "lead"), "key").where(
         (F.col("node") != F.col("lead.node")) & _similar_size("n", "lead.n", percent))
-    tried = rows.written(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    tried = stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    tried = rows.written(_possible(classes, tried, percent), "near-stars")
     links = rows.written(_confirmed(docs, classes, tried, percent, scheme), "near-confirmed")
     label = components(links)
 

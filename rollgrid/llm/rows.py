@@ -14,11 +14,23 @@ from rollgrid import session
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Setting under which Spark removes the shuffle files of a statement when it ends, not only once the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and still there when an executor is lost."""
+    """The rows as a table in the shared folder: computed once, and still there when an executor is lost.
+
+    The table stands for the work before it, so the shuffle files that led to it are freed at once.
+    """
     spark = df.sparkSession
     path = session.fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -173,6 +173,30 @@ def test_a_crowd_just_below_the_threshold_keeps_its_few_links(spark):
     assert got[600] == got[17] and len(set(got.values())) > 300
 
 
+def test_bitmaps_rule_out_no_link_and_most_strangers():
+    r = np.random.default_rng(5)
+    ruled_out = tried = 0
+    for n in (1, 2, 9, 63, 64, 65, 200, 1000, 5000):
+        for changed in (0, 0.05, 0.09, 0.11, 0.12, 0.2, 0.5, 1):
+            a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - int(changed * n)], r.integers(0, 1 << 63, r.integers(0, int(changed * n) + 2), np.uint64)]))
+            values, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            maps = near_duplicates.bitmaps(values, bounds)
+            if not len(b):
+                continue
+            shared = len(np.intersect1d(a, b))
+            sizes = np.diff(bounds)
+            for percent in (80, 85, 100):
+                links = 100 * shared >= percent * (len(a) + len(b) - shared)
+                open_ = near_duplicates.may_link((sizes[:1], sizes[1:]), ([maps[0]], [maps[1]]), percent)[0, 0]
+                assert open_ or not links
+                back = near_duplicates.may_link((sizes[1:], sizes[:1]), ([maps[1]], [maps[0]]), percent)[0, 0]
+                assert back == open_
+                if changed >= 0.5 and n >= 63:
+                    tried, ruled_out = tried + 1, ruled_out + (not open_)
+    assert tried and ruled_out == tried
+
+
 def test_the_pipeline_drops_near_copies_from_80_per_cent_on(spark):
     w = [f"w{i}" for i in range(500)]
     copy = [f"new{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 446 windows of 546
