@@ -311,7 +311,7 @@ def _meeting(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _links_of(held: list[tuple], percent: int, element: type) -> Iterator[pa.RecordBatch]:
-    """Links between the two tiles of a pair, or inside the only one."""
+    """Links between the two tiles of a pair, or inside the only one; of those that join the same members, as many as it takes."""
     first, second = _sides(held)
     if len({r[3] for r in held}) < 2 or not first:
         return
@@ -319,11 +319,30 @@ def _links_of(held: list[tuple], percent: int, element: type) -> Iterator[pa.Rec
     total = sizes[0][:, None] + sizes[1][None, :] - shared
     node = [np.array([r[2] for r in part]) for part in (first, second)]
     label = [np.array([r[3] for r in part]) for part in (first, second)]
-    x, y = np.nonzero((100 * shared >= percent * total) & (label[0][:, None] != label[1][None, :]))
+    x, y = _forest((100 * shared >= percent * total) & (label[0][:, None] != label[1][None, :]))
     if len(x):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[0][x], node[1][y])), pa.array(np.maximum(node[0][x], node[1][y]))], ["a", "b"])
 
 
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that join whatever all links of a matrix join, fewer than it has rows and columns."""
+    waiting = [linked.any(axis=1), linked.any(axis=0)]
+    sides, x, y = (linked, linked.T), [], []
+    for root in range(len(linked)):
+        reached = [(0, root)] if waiting[0][root] else []
+        waiting[0][root] = False
+        while reached:
+            side, at = reached.pop()
+            found = np.flatnonzero(sides[side][at] & waiting[1 - side])
+            waiting[1 - side][found] = False
+            reached += [(1 - side, k) for k in found]
+            ends = (np.full(len(found), at), found) if side == 0 else (found, np.full(len(found), at))
+            x.append(ends[0])
+            y.append(ends[1])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(x or none), np.concatenate(y or none)
+
+
 def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Sizes of the intersections of all sets of both lists, and the sizes of the sets."""
     sizes = tuple(np.array([len(s) for s in part], np.int64) for part in (first, second))

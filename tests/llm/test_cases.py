@@ -197,6 +197,23 @@ def test_bitmaps_rule_out_no_link_and_most_strangers():
     assert tried and ruled_out == tried
 
 
+def test_links_of_a_tile_are_few_and_join_the_same_members():
+    def groups(links, rows_, columns):
+        of = list(range(rows_ + columns))
+        for x, y in links:
+            a, b = of[x], of[rows_ + y]
+            of = [min(a, b) if g in (a, b) else g for g in of]
+        return of
+
+    r = np.random.default_rng(3)
+    for share in (0, 0.01, 0.05, 0.3, 1):
+        for shape in ((1, 1), (7, 40), (40, 7), (30, 30)):
+            linked = r.random(shape) < share
+            x, y = near_duplicates._forest(linked)
+            assert linked[x, y].all() and len(x) < sum(shape)
+            assert groups(zip(x, y), *shape) == groups(zip(*np.nonzero(linked)), *shape)
+
+
 def test_the_pipeline_drops_near_copies_from_80_per_cent_on(spark):
     w = [f"w{i}" for i in range(500)]
     copy = [f"new{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 446 windows of 546
