@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollgrid.functions.vectors import matrix
-from rollgrid.session import reliable_folder, spread_by
+from rollgrid.session import reliable_folder, spread_by, task_count
 
 HOT_ROWS = 5_000_000
+RANGES_PER_TASK = 4
 FREE_ROUNDS = 3
 CHUNK, ENTRY, EXIT, USED = "_chunk", "_entry", "_exit", "_used"
 
@@ -271,11 +272,13 @@ def _summarised_entries(rows: DataFrame, keys: list[str], order: list[str], fold
 def _chunked(df: DataFrame, hot: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
     """Rows of hot keys with ``CHUNK``, which rises with a key's time: sampled ranges of (key, time) of about ``hot_rows`` rows.
 
-    Rows of one key and time stay together.
+    Rows of one key and time stay together. A range is a task, so there are no more than balance the session's tasks, however
+    low ``hot_rows`` is; only rows beyond ``HOT_ROWS`` a range, which a summary holds at once, ask for more.
     """
     total = hot.agg(F.sum("_n")).first()[0]
     rows = df.join(hot.select(*keys), keys, "left_semi").select(df.columns)
-    ranged = rows.repartitionByRange(-(-total // hot_rows), *keys, time_col)
+    ranges = min(-(-total // hot_rows), max(RANGES_PER_TASK * task_count(df.sparkSession), -(-total // HOT_ROWS)))
+    ranged = rows.repartitionByRange(ranges, *keys, time_col)
     return ranged.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
 
 

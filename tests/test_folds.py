@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rollgrid.operators import folds, presence
+from rollgrid.operators import folding, folds, presence
 from rollgrid.operators.folding import ordered_fold
+from rollgrid.session import task_count
 
 times = st.lists(st.integers(0, 400), min_size=1, max_size=60).map(sorted)
 
@@ -240,3 +241,13 @@ def test_hot_bursts_whose_past_reaches_far(spark, monkeypatch):
         hot = ordered_fold(df, ["key"], ["us", "event_id"], fold, hot_rows=17)
         cold = ordered_fold(df, ["key"], ["us", "event_id"], fold, hot_rows=None)
         assert sorted(map(repr, hot.collect())) == sorted(map(repr, cold.collect()))
+
+
+def test_ranges_of_hot_keys_do_not_follow_the_limit(spark):
+    """A low limit on a large table asks for no more tasks than the session can use."""
+    df = spark.range(6000).selectExpr("id AS event_id", "concat('k', id % 100) AS key", "id * 7000000 AS us")
+    hot = folding.hot_keys(df, ["key"], "us", 5)
+    rows = folding._chunked(df, hot, ["key"], "us", 5)
+    assert rows.count() == 6000
+    assert 1 < rows.select(folding.CHUNK).distinct().count() <= folding.RANGES_PER_TASK * task_count(spark)
+    assert rows.groupBy("key", "us").agg(F.count_distinct(folding.CHUNK).alias("n")).where("n > 1").isEmpty()
