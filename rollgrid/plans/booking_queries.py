@@ -73,11 +73,8 @@ def absences(v):
 
 @query("j6_absent_periods", "teacher_attendance timetable school_class", ABSENCE_SQL)
 def j6(v):
-    periods = bookings.absent_periods(absences(v), v.timetable, v.school_class)
-    return periods.groupBy("teacher_id", F.col("date").cast("string").alias("date")).agg(
-        F.count(F.lit(1)).alias("n_periods"), F.count_distinct("school_class_id").alias("n_classes"),
-        F.min("start_min").alias("first_start"), F.max("end_min").alias("last_end"),
-        F.max(F.concat_ws(" ", "class_name", "section")).alias("last_class"))
+    missed = bookings.absence_summary(absences(v), v.timetable, v.school_class)
+    return missed.withColumn("date", F.col("date").cast("string"))
 
 
 # ---------------------------------------------------------------- geography

@@ -365,3 +365,19 @@ def test_backfill(spark):
     images = directory.backfill_images(facts, students, teachers, first).collect()
     assert sorted((r.person_id, r.person_type, r.branch_id) for r in images) == [
         ("s1", "student", 5), ("s1", "teacher", 9), ("t1", "teacher", 6), ("x", "student", 2)]
+
+
+def test_absences_are_summed_once_per_weekday(spark):
+    """What is missed is the same on every Monday, so bookings are grouped before they meet the dates."""
+    timetable = spark.createDataFrame(
+        [(i, i % 3, i % 5, "Monday" if i % 2 else "Tuesday", 500 + i, 540 + i, "s") for i in range(60)],
+        "id bigint, teacher_id bigint, school_class_id bigint, day_of_week string, start_min int, end_min int, subject string")
+    classes = spark.createDataFrame([(i, f"c{i}", None if i == 3 else "x") for i in range(4)], "id bigint, class_name string, section string")
+    absences = spark.range(200).selectExpr("id % 4 AS teacher_id", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS date")
+    got = bookings.absence_summary(absences, timetable, classes)
+    want = bookings.absent_periods(absences, timetable, classes).groupBy("teacher_id", "date").agg(
+        F.count("*").alias("n_periods"), F.count_distinct("school_class_id").alias("n_classes"), F.min("start_min").alias("first_start"),
+        F.max("end_min").alias("last_end"), F.max(F.concat("class_name", F.lit(" "), "section")).alias("last_class"))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, ((teacher_id") < plan.index("Aggregate [teacher_id")  # the dates join what is already grouped
