@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def rewrite(spark: SparkSession, path: str, schema: str, by: list[str], touched:
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     nothing = staged.drop(*by).limit(0)
     for gone in emptied:
-        nothing.write.mode("overwrite").parquet(gone)
+        nothing.write.mode("overwrite").parquet(unquote(gone))  # _metadata gives a URI, in which a folder's % is %25
     return count
 
 
