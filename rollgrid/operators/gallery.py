@@ -34,6 +34,8 @@ REENROL_FLOOR = 0.65
 
 PROBE_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 4096
+#: Tiles of scoring that travel together, and rows they hold at most: a side is copied once per such block of the other side.
+TILES_MOVED, MOVED_ROWS = 256, 16384
 TENANT = ["school_id", "role"]
 HIT = "query_id BIGINT, school_id STRING, role STRING, id BIGINT, person_id BIGINT, score DOUBLE"
 HIT_TYPES = pa.schema([
@@ -102,10 +104,18 @@ def _search_carried(probes: DataFrame, gallery: DataFrame, k: int, per_person: b
     return gallery.mapInArrow(partition, HIT)
 
 
+def moved_rows(tile_rows: int) -> int:
+    return min(tile_rows * TILES_MOVED, max(tile_rows, MOVED_ROWS))
+
+
 def _search_tiled(probes: DataFrame, gallery: DataFrame, k: int, per_person: bool, tile_rows: int) -> DataFrame:
-    """Probe tiles × gallery tiles per tenant; the tile counts follow the tenant's row counts."""
+    """Blocks of probes × blocks of the gallery per tenant; their counts follow the tenant's row counts.
+
+    A task scores its block of the gallery in tiles of ``tile_rows``. What moves grows with the rows times the blocks of the
+    other side, so blocks are as large as a task may hold, however small the tiles are.
+    """
     def tiles(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*TENANT).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias(name))
+        return df.groupBy(*TENANT).agg(F.ceil(F.count(F.lit(1)) / moved_rows(tile_rows)).cast("int").alias(name))
 
     counts = tiles(probes, "probe_tiles").join(tiles(gallery, "gallery_tiles"), TENANT)
 
@@ -121,7 +131,10 @@ def _search_tiled(probes: DataFrame, gallery: DataFrame, k: int, per_person: boo
         if not some_probes.num_rows or not rows.num_rows:
             return HIT_TYPES.empty_table()
         tenant = rows["school_id"][0].as_py(), rows["role"][0].as_py()
-        found = _search(some_probes, rows, k, per_person)
+        vectors, found = matrix(some_probes["embedding"]), None
+        for at in range(0, rows.num_rows, tile_rows):
+            some = rows.slice(at, tile_rows)
+            found = search_block(vectors, matrix(some["embedding"]), some["id"].to_numpy(), some["person_id"].to_numpy(), k, per_person, found)
         return _hits(tenant, some_probes["query_id"].to_numpy(), found)
 
     keys, tasks = [*TENANT, "pt", "gt"], task_count(probes.sparkSession)

@@ -136,6 +136,22 @@ def test_knn_is_exact(spark, per_person, probe_bytes):
         assert got == want
 
 
+@pytest.mark.parametrize("per_person", [False, True])
+def test_tiled_search_moves_blocks(spark, monkeypatch, per_person):
+    """A side is copied per block of the other side, not per tile; several blocks give the rows of one."""
+    table = people(spark)
+    moved = []
+    for rows in (16, 1000):
+        monkeypatch.setattr(gallery, "MOVED_ROWS", rows)
+        hits = gallery.knn_join(probes_of(table), table, 4, per_person, 0, tile_rows=8)
+        got = {}
+        for h in sorted(hits.collect(), key=lambda h: h["rank"]):
+            got.setdefault(h.query_id, []).append(h.id)
+        assert got == brute(table, 4, per_person)
+        moved.append(gallery._search_tiled(gallery._probes(probes_of(table)), gallery._live(table), 4, per_person, 8).count())
+    assert moved[1] < moved[0]
+
+
 def test_tenants_never_mix(spark):
     table = people(spark, 200, schools=("a", "b", "c", "d"))
     hits = gallery.knn_join(probes_of(table), table, 3)
@@ -233,3 +249,16 @@ def test_pruned_search_equals_full_search(spark, tmp_path):
             assert gallery_index.skipped_share(got, probes, base) > 0.4  # measured: 0.48
     none = gallery_index.knn_join(probes.where("false"), base)
     assert none.count() == 0
+
+
+def test_pruned_search_carries_a_probe_once_per_block(spark, tmp_path):
+    """Random vectors skip nothing, so every probe meets every group; its vector still goes to each block once."""
+    rng = np.random.default_rng(5)
+    rows = [("S1", i, i, "n", "r", "student", None, False, [float(x) for x in rng.normal(size=16)]) for i in range(640)]
+    table, base = spark.createDataFrame(rows, schemas.GALLERY), str(tmp_path / "index")
+    gallery_index.build(table, base, group_rows=4)
+    probes = probes_of(table).limit(50)
+    got = gallery_index.searched(probes, base, 5)
+    assert got.pairs.count() <= 2 * 50
+    columns = ["query_id", "id", "score", "rank"]
+    assert sorted(map(tuple, got.hits.select(columns).collect())) == sorted(map(tuple, gallery.knn_join(probes, table, 5).select(columns).collect()))
