@@ -9,7 +9,9 @@ found is a bound; of the other groups only those are searched whose best possibl
 rounding). Only their partitions are read. Nothing is approximate: the rows equal those of ``gallery.knn_join``. How much is
 skipped depends on the vectors; ``searched`` counts it. Vectors without direction are a group of their own, always searched.
 
-Probes and rows meet pivots, and then rows, in tiles of bounded size per tenant or group, so no task holds a whole tenant.
+Probes and rows meet pivots, and then rows, in tiles of bounded size per tenant, so no task holds a whole tenant. Groups travel
+in blocks of neighbouring numbers: a probe goes once to each block that holds one of its groups, with the list of these, and
+comes back with its k best of the block, however many groups it has there.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollgrid import session
+from rollgrid.functions.nearest import PROBE_STEP, search_block
 from rollgrid.functions.vectors import NORM_FLOOR, matrix, unit_rows
-from rollgrid.operators.gallery import HIT, HIT_TYPES, TENANT, TILE_ROWS, _hits, _live, _probes, _search
+from rollgrid.operators.gallery import HIT, HIT_TYPES, TENANT, TILE_ROWS, _hits, _live, _probes, moved_rows
 
 #: Rows a group should have, groups of a tenant at most, and cells listed in a filter (more are joined only).
 GROUP_ROWS, MOST_GROUPS, LISTED_CELLS = 2048, 1024, 5000
@@ -35,7 +38,7 @@ GROUPS = "school_id STRING, role STRING, grp INT, pivot ARRAY<DOUBLE>, cell STRI
 
 
 class Searched(NamedTuple):
-    """Result rows, and the (probe, group) pairs that were searched with the rows of each group."""
+    """Result rows, and the (probe, block) pairs that were searched with the rows of the groups searched there."""
 
     hits: DataFrame
     pairs: DataFrame
@@ -97,14 +100,27 @@ def build(gallery: DataFrame, base: str, group_rows: int = GROUP_ROWS, most: int
     sizes.join(pivots, [*TENANT, "grp"], "left").select([c.split()[0] for c in GROUPS.split(", ")]).write.mode("overwrite").parquet(f"{base}/groups")
 
 
+CHOSEN = pa.schema([("query_id", pa.int64()), ("school_id", pa.string()), ("role", pa.string()), ("block", pa.int32()),
+                    ("grps", pa.list_(pa.int32())), ("n", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+
+
+def _blocked(groups: DataFrame, tile_rows: int) -> DataFrame:
+    """The groups with ``block``: runs of a tenant's groups of about as many rows as a task may hold."""
+    before = F.sum("n").over(Window.partitionBy(*TENANT).orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
+    return groups.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / moved_rows(tile_rows)).cast("int"))
+
+
 def _chosen(probes: DataFrame, groups: DataFrame, k: int, bounded: bool) -> DataFrame:
-    """(query_id, tenant, cell, n, embedding): the groups to search first, or with a bound the others that can reach it."""
-    schema = "query_id BIGINT, school_id STRING, role STRING, cell STRING, n BIGINT, embedding ARRAY<DOUBLE>"
+    """(query_id, tenant, block, grps, n, embedding): the groups to search first, or with a bound the others that can reach it."""
+    schema = "query_id BIGINT, school_id STRING, role STRING, block INT, grps ARRAY<INT>, n BIGINT, embedding ARRAY<DOUBLE>"
 
     def choose(some: pa.Table, there: pa.Table) -> pa.Table:
         if not some.num_rows or not there.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(("query_id", "school_id", "role", "cell", "n", "embedding"), (
-                pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())))})
+            return CHOSEN.empty_table()
+        there = there.sort_by([("block", "ascending"), ("grp", "ascending")])
+        return pa.concat_tables([part(some.slice(at, PROBE_STEP), there) for at in range(0, some.num_rows, PROBE_STEP)])
+
+    def part(some: pa.Table, there: pa.Table) -> pa.Table:
         sizes = there["n"].to_numpy()
         grouped = there["grp"].to_numpy() != NO_DIRECTION
         least = np.zeros((some.num_rows, there.num_rows))  # angle that a row of the group has at least
@@ -122,34 +138,63 @@ def _chosen(probes: DataFrame, groups: DataFrame, k: int, bounded: bool) -> Data
         first |= ~grouped[None, :]
         take = ~first & (np.cos(least) + MARGIN >= some["bound"].to_numpy()[:, None]) if bounded else first
         row, group = np.nonzero(take)
-        picked, cells = some.take(row), there.take(group)
-        return pa.table({"query_id": picked["query_id"], "school_id": picked["school_id"], "role": picked["role"], "cell": cells["cell"],
-                         "n": cells["n"], "embedding": picked["embedding"].cast(pa.list_(pa.float64()))})
+        if not len(row):
+            return CHOSEN.empty_table()
+        block = there["block"].to_numpy()[group]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
+        picked, ends = some.take(row[starts]), np.r_[starts, len(row)].astype(np.int32)
+        grps = pa.ListArray.from_arrays(ends, pa.array(there["grp"].to_numpy()[group], pa.int32()))
+        return pa.table({"query_id": picked["query_id"], "school_id": picked["school_id"], "role": picked["role"],
+                         "block": pa.array(block[starts], pa.int32()), "grps": grps, "n": np.add.reduceat(sizes[group], starts),
+                         "embedding": picked["embedding"].cast(pa.list_(pa.float64()))}).cast(CHOSEN)
 
     return _meeting(probes, groups, "query_id", TENANT, TILE_ROWS).applyInArrow(choose, schema)
 
 
-def _search_cells(chosen: DataFrame, base: str, k: int, tile_rows: int) -> DataFrame:
-    """Hits of the chosen (probe, cell) pairs; reads the partitions of these cells only, as long as they can be listed."""
+def _search_cells(chosen: DataFrame, groups: DataFrame, base: str, k: int, tile_rows: int) -> DataFrame:
+    """Hits of the chosen groups of each probe; reads the partitions of these cells only, as long as they can be listed."""
     spark = chosen.sparkSession
     rows = spark.read.schema(ROWS).parquet(f"{base}/rows")
-    cells = [r["cell"] for r in chosen.select("cell").distinct().limit(LISTED_CELLS + 1).collect()]
+    wanted = chosen.select(*TENANT, F.explode("grps").alias("grp")).distinct().join(groups, [*TENANT, "grp"]).select("cell")
+    cells = [r["cell"] for r in wanted.limit(LISTED_CELLS + 1).collect()]
     if len(cells) <= LISTED_CELLS:
         rows = rows.filter(F.col("cell").isin(cells))
-    tiles = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias(name))
-    counts = tiles(chosen, "_pt").join(tiles(rows, "_rt"), "cell")
+    rows = rows.drop("cell").join(groups.select(*TENANT, "grp", "block"), [*TENANT, "grp"])
+    place = [*TENANT, "block"]
+    tiles = lambda df, name: df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / moved_rows(tile_rows)).cast("int").alias(name))
+    counts = tiles(chosen, "_pt").join(tiles(rows, "_rt"), place)
 
     def cut(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        placed = df.join(counts, "cell").withColumn(f"{own}_tile", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        placed = df.join(counts, place).withColumn(f"{own}_tile", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
         return placed.withColumn(f"{other}_tile", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_pt", "_rt")
 
     def tile(some: pa.Table, there: pa.Table) -> pa.Table:
         if not some.num_rows or not there.num_rows:
             return HIT_TYPES.empty_table()
         tenant = there["school_id"][0].as_py(), there["role"][0].as_py()
-        return _hits(tenant, some["query_id"].to_numpy(), _search(some, there, k, False))
-
-    by, tasks = ["cell", "_pt_tile", "_rt_tile"], session.task_count(spark)
+        lists = some["grps"].combine_chunks()
+        asked, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        line = np.argsort(asked, kind="stable")
+        asked, owner = asked[line], owner[line]
+        vectors = matrix(some["embedding"])
+        best = np.full((len(lists), k), -np.inf), np.zeros((len(lists), k), np.int64), np.zeros((len(lists), k), np.int64)
+        there = there.sort_by("grp")
+        grp = there["grp"].to_numpy()
+        for at in np.unique(grp):
+            who = owner[np.searchsorted(asked, at) : np.searchsorted(asked, at, "right")]
+            if not len(who):
+                continue
+            probes = vectors[who] if isinstance(vectors, np.ndarray) else [vectors[i] for i in who]
+            low, high = np.searchsorted(grp, at), np.searchsorted(grp, at, "right")
+            for start in range(low, high, TILE_ROWS):
+                part = there.slice(start, min(TILE_ROWS, high - start))
+                found = search_block(probes, matrix(part["embedding"]), part["id"].to_numpy(), part["person_id"].to_numpy(), k, False,
+                                     tuple(x[who] for x in best))
+                for target, source in zip(best, found):
+                    target[who] = source
+        return _hits(tenant, some["query_id"].to_numpy(), best)
+
+    by, tasks = [*place, "_pt_tile", "_rt_tile"], session.task_count(spark)
     left, right = cut(chosen, "query_id", "_pt", "_rt"), cut(rows, "id", "_rt", "_pt")
     left, right = (df.toDF(*df.columns).repartition(tasks, *by) for df in (left, right))
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, HIT)
@@ -162,15 +207,15 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def searched(queries: DataFrame, base: str, k: int = 5, tile_rows: int = TILE_ROWS) -> Searched:
     spark = queries.sparkSession
-    groups = spark.read.schema(GROUPS).parquet(f"{base}/groups")
+    groups = session.written(_blocked(spark.read.schema(GROUPS).parquet(f"{base}/groups"), tile_rows), "blocked-groups")
     probes = session.written(_probes(queries).withColumn("embedding", F.col("embedding").cast("array<double>")), "probes")
     first = session.written(_chosen(probes, groups, k, bounded=False), "first-groups")
-    found = session.written(_best(_search_cells(first, base, k, tile_rows), k), "first-hits").drop("rank")
+    found = session.written(_best(_search_cells(first, groups, base, k, tile_rows), k), "first-hits").drop("rank")
     bound = found.groupBy("query_id", *TENANT).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
     bounded = probes.join(bound, ["query_id", *TENANT], "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
     rest = session.written(_chosen(bounded, groups, k, bounded=True), "other-groups")
-    more = _search_cells(rest, base, k, tile_rows)
-    pairs = first.unionByName(rest).select("query_id", *TENANT, "cell", "n")
+    more = _search_cells(rest, groups, base, k, tile_rows)
+    pairs = first.unionByName(rest).select("query_id", *TENANT, "block", "n")
     return Searched(_best(found.unionByName(more), k), pairs)
 
 
