@@ -236,29 +236,39 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tiles per (lead, band), and the pairs of tiles of one lead that can hold links."""
-    sizes = members.groupBy("lead", "band").agg(F.count("*").alias("m"), F.sum("n").alias("elements"))
-    tiles = sizes.select("lead", "band", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("elements") / TILE_ELEMENTS)).alias("tiles"))
-    tiles = rows.written(tiles, "near-tile-counts")
-    each = tiles.select("lead", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    second = each.select(F.col("lead").alias("lead_2"), F.col("band").alias("band_2"), F.col("tile").alias("tile_2"))
+def _tile_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles per (lead, band), and the pairs of tiles of one lead that can hold links: their bands have more than one label
+    and sizes that allow one. ``least_2`` is the smallest set of the second band, ``most`` the largest of the first."""
+    sizes = members.groupBy("lead", "band").agg(
+        F.count("*").alias("m"), F.sum("n").alias("elements"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("label").alias("low"), F.max("label").alias("high"))
+    tiles = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("elements") / TILE_ELEMENTS)))
+    tiles = rows.written(tiles.drop("m", "elements"), "near-tile-counts")
+    each = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
+    second = each.withColumnsRenamed({c: f"{c}_2" for c in each.columns})
     same, next_ = F.col("band_2") == F.col("band"), F.col("band_2") == F.col("band") + 1
-    met = each.join(second, (F.col("lead") == F.col("lead_2")) & ((same & (F.col("tile_2") >= F.col("tile"))) | next_))
-    return tiles, met.drop("lead_2").withColumn("pair", F.xxhash64("lead", "band", "tile", "band_2", "tile_2"))
+    sizes_allow = 100 * F.col("most") >= percent * F.col("least_2")
+    mixed = F.least("low", "low_2") < F.greatest("high", "high_2")
+    met = each.join(second, (F.col("lead") == F.col("lead_2")) & mixed & (
+        (same & (F.col("tile_2") >= F.col("tile"))) | (next_ & sizes_allow)))
+    met = met.select("lead", "band", "tile", "most", "band_2", "tile_2", "least_2")
+    return tiles.select("lead", "band", "tiles"), met.withColumn("pair", F.xxhash64("lead", "band", "tile", "band_2", "tile_2"))
 
 
 def _linked_in_tiles(docs: DataFrame, classes: DataFrame, open_: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """Links between classes of one lead and different labels; ``open_``: lead, node, n, label."""
     band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100 - 1e-3)))).cast("int")  # a little wider than need be
     members = open_.withColumn("band", band)
-    tiles, pairs = _tile_pairs(members)
+    tiles, pairs = _tile_pairs(members, percent)
     placed = members.join(tiles, ["lead", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     pairs = rows.written(pairs, "near-tiles")
-    ones = placed.join(pairs, ["lead", "band", "tile"]).select("pair", F.lit(0).alias("side"), "node", "n", "label")
+    # A member goes to the pairs whose other band has a set that its size allows.
+    ones = placed.join(pairs, ["lead", "band", "tile"]).where(100 * F.col("n") >= percent * F.col("least_2")).select(
+        "pair", F.lit(0).alias("side"), "node", "n", "label")
     others = pairs.where("band <> band_2 or tile <> tile_2").select(
-        "lead", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "pair")
-    twos = placed.join(others, ["lead", "band", "tile"]).select("pair", F.lit(1).alias("side"), "node", "n", "label")
+        "lead", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "pair", "most")
+    twos = placed.join(others, ["lead", "band", "tile"]).where(100 * F.col("most") >= percent * F.col("n")).select(
+        "pair", F.lit(1).alias("side"), "node", "n", "label")
     every = ones.unionByName(twos).join(classes.select("node", "bits"), "node")
     met = rows.written(_by_pair(every, ["node", "n", "label", "bits"], lambda held: _meeting(held, percent),
                                 "pair long, side int, node long, label long"), "near-met")

@@ -214,6 +214,18 @@ def test_links_of_a_tile_are_few_and_join_the_same_members():
             assert groups(zip(x, y), *shape) == groups(zip(*np.nonzero(linked)), *shape)
 
 
+def test_only_tiles_that_can_hold_links_meet(spark):
+    members = spark.createDataFrame(
+        [(1, 10, 100, 10, 20),  # one label in the band
+         (2, 20, 100, 20, 20), (2, 21, 101, 21, 20),  # two labels
+         (3, 30, 100, 30, 20), (3, 31, 126, 31, 21),  # next bands, sizes too far apart
+         (4, 40, 100, 40, 20), (4, 41, 125, 41, 21),  # next bands, sizes allow a link
+         (5, 50, 100, 50, 20), (5, 51, 110, 50, 21)],  # next bands, one label
+        "lead long, node long, n long, label long, band int")
+    _, pairs = near_duplicates._tile_pairs(members, 80)
+    assert sorted((r["lead"], r["band"], r["band_2"]) for r in pairs.collect()) == [(2, 20, 20), (4, 20, 21)]
+
+
 def test_the_pipeline_drops_near_copies_from_80_per_cent_on(spark):
     w = [f"w{i}" for i in range(500)]
     copy = [f"new{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 446 windows of 546
