@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rollgrid import schemas
-from rollgrid.functions import vectors
+from rollgrid.functions import nearest, vectors
 from rollgrid.functions.assignment import assign
 from rollgrid.functions.nearest import best_columns, search_block
 from rollgrid.functions.text_vectors import hash_vector
@@ -262,3 +262,15 @@ def test_pruned_search_carries_a_probe_once_per_block(spark, tmp_path):
     assert got.pairs.count() <= 2 * 50
     columns = ["query_id", "id", "score", "rank"]
     assert sorted(map(tuple, got.hits.select(columns).collect())) == sorted(map(tuple, gallery.knn_join(probes, table, 5).select(columns).collect()))
+
+
+def test_scores_are_held_in_bounded_blocks(monkeypatch):
+    r, seen, plain = np.random.default_rng(5), [], nearest.cosine_block
+    probes, vectors, ids = r.normal(size=(7, 4)), r.normal(size=(50, 4)), r.permutation(50)
+    whole = nearest.search_block(probes, vectors, ids, ids // 2, 3, True)
+    monkeypatch.setattr(nearest, "PROBE_STEP", 4)
+    monkeypatch.setattr(nearest, "GALLERY_STEP", 8, raising=False)
+    monkeypatch.setattr(nearest, "cosine_block", lambda a, b: seen.append((len(a), len(b))) or plain(a, b))
+    cut = nearest.search_block(probes, vectors, ids, ids // 2, 3, True)
+    assert max(a for a, _ in seen) <= 4 and max(b for _, b in seen) <= 8
+    assert all((a == b).all() for a, b in zip(whole, cut))
