@@ -15,6 +15,7 @@ from rollgrid import schemas
 from rollgrid.functions.clock import clock_is_bad, clock_minutes, is_blank, stripped
 from rollgrid.operators.bookings import DAY, WEEK, conflict_flag, earlier_overlap
 from rollgrid.operators.directory import resolve, split_existing
+from rollgrid.session import written
 
 OK, SKIP, FAIL = "ok", "skip", "fail"
 REPORT = ("row_no", "status", "error")
@@ -122,6 +123,7 @@ def import_timetable(
     status, error = _first_rule(rules)
     judged = known.withColumns({"status": status, "error": error})
     if check_batch:
+        judged = written(judged, "judged")  # read several times below
         ok = F.col("status") == OK
         for keys, text in ((["teacher_id", DAY], "teacher is booked in this file"),
                            (["branch_id", "class_name", "section", DAY], "class is booked in this file")):

@@ -381,3 +381,13 @@ def test_absences_are_summed_once_per_weekday(spark):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner, ((teacher_id") < plan.index("Aggregate [teacher_id")  # the dates join what is already grouped
+
+
+def test_minutes_are_laid_out_per_slot(spark):
+    rows = spark.createDataFrame([(n, 1, 480 + 10 * (n % 3), 500 + 10 * (n % 3)) for n in range(40)] + [(40, 1, 520, 530), (41, 2, 480, 490)],
+                                 "row_no bigint, teacher_id bigint, start_min int, end_min int")
+    flagged = bookings.earlier_overlap(rows, ["teacher_id"], "row_no", "late", F.col("row_no") != 1)
+    got = {r.row_no for r in flagged.collect() if r.late}
+    assert got == set(range(3, 40))
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Generate"):]  # what is laid out is summed first
