@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rollgrid.functions.text_vectors import hash_vector
 from rollgrid.functions.vectors import l2_norm
 from rollgrid.operators import substitution
+from rollgrid.operators.bookings import has_odd
 from rollgrid.plans.registry import query
 
 
@@ -113,14 +114,15 @@ CHOSEN_SQL = """
     FROM ranked WHERE rank <= 6""")
 def h1(v):
     periods = substitution.open_periods(absences(v), v.staff_booking)
-    ranked = substitution.rank_candidates(periods, v.staff, practice_similarity(v), v.staff_booking)
+    ranked = substitution.rank_candidates(
+        periods, v.staff, practice_similarity(v), v.staff_booking, odd_periods=has_odd(v.staff_booking))
     return ranked.select(F.col("date").cast("string").alias("date"), "booking_id", "teacher_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _plan(v, search):
     periods = substitution.open_periods(absences(v), v.staff_booking)
-    candidates = substitution.free_candidates(periods, v.staff, practice_similarity(v), v.staff_booking)
-    return _rounded(search(periods, candidates))
+    return _rounded(search(substitution.offers(
+        periods, v.staff, practice_similarity(v), v.staff_booking, best_first="worth", odd_periods=has_odd(v.staff_booking))))
 
 
 def _rounded(plans):
