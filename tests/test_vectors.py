@@ -274,3 +274,34 @@ def test_scores_are_held_in_bounded_blocks(monkeypatch):
     cut = nearest.search_block(probes, vectors, ids, ids // 2, 3, True)
     assert max(a for a, _ in seen) <= 4 and max(b for _, b in seen) <= 8
     assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+@pytest.mark.parametrize("per_person", [False, True])
+def test_a_small_gallery_goes_to_many_probes(spark, per_person):
+    """Probes above the limit stay where they are if the gallery is below it; the rows are those of the tiles."""
+    table = people(spark)
+    probes = probes_of(table)
+    probes = probes.unionByName(probes.withColumn("query_id", F.col("query_id") + 1_000_000))
+    limit = gallery._vector_bytes(gallery._live(table))
+    assert limit < gallery._vector_bytes(probes)
+    found = gallery.knn_join(probes, table, 4, per_person, limit, tile_rows=16)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    columns = ["query_id", "school_id", "role", "id", "person_id", "score", "rank"]
+    tiled = gallery.knn_join(probes, table, 4, per_person, 0, tile_rows=16)
+    rows = sorted(map(tuple, found.select(columns).collect()))
+    assert rows and rows == sorted(map(tuple, tiled.select(columns).collect()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**31))
+def test_assignment_costs_the_minimum(seed):
+    from itertools import permutations
+    rng = np.random.default_rng(seed)
+    n, m = (int(x) for x in rng.integers(1, 6, 2))
+    cost = rng.random((n, m)) if seed % 2 else rng.integers(0, 3, (n, m)).astype(float)
+    chosen = assign(cost)
+    rows = np.flatnonzero(chosen >= 0)
+    assert len(rows) == min(n, m) and len(set(chosen[rows].tolist())) == len(rows)
+    small, large = (cost, m) if n <= m else (cost.T, n)
+    least = min(sum(small[i, j] for i, j in enumerate(p)) for p in permutations(range(large), len(small)))
+    assert cost[rows, chosen[rows]].sum() == pytest.approx(least)
