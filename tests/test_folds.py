@@ -251,3 +251,28 @@ def test_ranges_of_hot_keys_do_not_follow_the_limit(spark):
     assert rows.count() == 6000
     assert 1 < rows.select(folding.CHUNK).distinct().count() <= folding.RANGES_PER_TASK * task_count(spark)
     assert rows.groupBy("key", "us").agg(F.count_distinct(folding.CHUNK).alias("n")).where("n > 1").isEmpty()
+
+
+def test_only_new_vectors_of_a_frame_are_scaled(monkeypatch):
+    """A live track keeps its unit vector; a frame costs what its own detections cost."""
+    scaled = []
+    plain = folds.unit_rows
+    monkeypatch.setattr(folds, "unit_rows", lambda rows: scaled.append(len(rows)) or plain(rows))
+    eye = np.eye(40)
+
+    def frame(vectors):
+        n = len(vectors)
+        return {**{c: np.arange(n) for c in folds.BOX}, "match_person": np.full(n, -1), "score": np.zeros(n), "embedding": vectors}
+
+    _, out = folds.TrackFold().step(None, {"detections": [frame(eye), frame(eye[:1]), frame(eye[5:7])]})
+    assert scaled == [40, 1, 2] and out["tracks"].counts == [40, 40, 40]
+    seen = [[t["track_id"] for t in row if t["seen"]] for row in out["tracks"]]
+    assert seen == [list(range(40)), [0], [5, 6]]
+
+
+def test_frames_with_vectors_of_other_lengths_start_tracks():
+    short, long = [np.ones(3)], [np.ones(5), np.ones(3)]
+    frame = lambda vectors: {**{c: np.arange(len(vectors)) for c in folds.BOX}, "match_person": np.full(len(vectors), -1),
+                             "score": np.zeros(len(vectors)), "embedding": vectors}
+    _, out = folds.TrackFold().step(None, {"detections": [frame(short), frame(long), frame(np.ones((1, 5)))]})
+    assert [[(t["track_id"], t["hits"]) for t in row if t["seen"]] for row in out["tracks"]] == [[(0, 1)], [(0, 2), (1, 1)], [(1, 2)]]
