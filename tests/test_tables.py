@@ -408,3 +408,16 @@ def test_self_conflicts_move_a_slot_not_its_edges(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert plan.count("Exchange hashpartitioning") <= 4 and "explode" in plan  # slots twice, bookings and numbers once
+
+
+def test_sums_of_a_crowd_beyond_a_bigint(spark):
+    """The sum of ids stays a BIGINT where it is one, and is exact where it is not."""
+    from rollgrid.plans.booking_queries import crowd_sums
+
+    small = [(1, 5, 6, 0.5), (1, 7, 8, 0.25), (2, None, 9, 0.5)]
+    large = [(1, 2**57, 2**57, 0.5), (1, 2**57, 2**57 + 1, 0.25), (2, 3, 4, 0.5)]
+    for rows, kind in ((small, "bigint"), (large, "decimal(38,0)")):
+        got = crowd_sums(frame(spark, rows, "frame bigint, a_id bigint, b_id bigint, iou double"))
+        assert got.dtypes == [("frame", "bigint"), ("pairs", "bigint"), ("members", kind), ("iou", "double")]
+        want = {k: sum(a * 31 + b * 17 for f, a, b, _ in rows if f == k and a is not None) or None for k in (1, 2)}
+        assert {r.frame: None if r.members is None else int(r.members) for r in got.collect()} == want
