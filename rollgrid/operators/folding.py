@@ -4,8 +4,11 @@ Window functions cannot express these ("seconds since the last *accepted* row").
 shuffle by key, a sort inside the partitions and a pass that streams Arrow batches and holds one
 state, never the rows of a key.
 
-A key with more than ``hot_rows`` rows would still be one long task. Such keys are cut into chunks by
-sampled ranges of their times, so a burst is several chunks. How a chunk learns its entry state:
+A key with more than ``hot_rows`` rows would still be one long task. The rows of such keys are dealt in
+sampled ranges of (key, time), found from keys and times alone; a key that lies in one range is folded
+like any other, and a key that a bound cuts is cut into chunks there, so a burst is several chunks. Rows
+of cut keys are sorted and written once, by chunk, and all passes read them there; all other rows move
+once. How a chunk learns its entry state:
 
 * A fold with a ``summary`` says, per chunk and without knowing how it is entered, what comes out for
   every state that can come in, as a small table of pieces. All chunks are summarised in parallel,
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollgrid.functions.vectors import matrix
-from rollgrid.session import reliable_folder, spread_by, task_count
+from rollgrid.session import reliable_folder, spread_by, task_count, written
 
 HOT_ROWS = 5_000_000
 RANGES_PER_TASK = 4
@@ -122,16 +125,13 @@ def _run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _fold_batches(batches: Iterator[pa.RecordBatch], keys: list[str], fold: Fold, carry_in: bool):
-    """Yields ``(batch, outputs, finished)`` where ``finished`` lists (key, state) of completed keys."""
-    key, state, pending = None, None, {}
+def _fold_batches(batches: Iterator[pa.RecordBatch], keys: list[str], fold: Fold, entries: dict):
+    """Yields ``(batch, outputs, finished)`` where ``finished`` lists (key, state) of completed keys.
+
+    ``entries`` has the pickled states of the keys that do not start from nothing.
+    """
+    key, state = None, None
     for batch in batches:
-        if carry_in and batch.num_rows:
-            marks = batch.column(ENTRY).is_valid()
-            rows = batch.filter(marks)
-            for i in range(rows.num_rows):
-                pending[tuple(rows.column(k)[i].as_py() for k in keys)] = pickle.loads(rows.column(ENTRY)[i].as_py())
-            batch = batch.filter(pa.compute.invert(marks))
         if not batch.num_rows:
             continue
         starts = _run_starts(batch, keys)
@@ -142,7 +142,7 @@ def _fold_batches(batches: Iterator[pa.RecordBatch], keys: list[str], fold: Fold
             if mine != key:
                 if key is not None:
                     finished.append((key, state))
-                key, state = mine, pending.pop(mine, None)
+                key, state = mine, pickle.loads(entries[mine]) if mine in entries else None
             state, out = fold.step(state, {n: x[a:b] for n, x in arrays.items()})
             pieces.append(out)
         yield batch, pieces, finished
@@ -159,13 +159,22 @@ def _join_pieces(pieces: list[dict], field: pa.Field) -> pa.Array:
     return pa.array([v for part in values for v in part], type=field.type)
 
 
-def _output_pass(df: DataFrame, keys: list[str], keep: list[str], fold: Fold, carry_in: bool) -> DataFrame:
+def _carried(entries: DataFrame | None, keys: list[str]) -> Callable[[], dict]:
+    """Entry states by key, sent to the tasks: one per chunk at most, and chunks are few (``_ranges``)."""
+    if entries is None:
+        return dict
+    *columns, states = (c.to_pylist() for c in entries.select(*keys, ENTRY).toArrow().columns)
+    carried = entries.sparkSession.sparkContext.broadcast(dict(zip(zip(*columns), states)))
+    return lambda: carried.value
+
+
+def _output_pass(df: DataFrame, keys: list[str], keep: list[str], fold: Fold, entries: DataFrame | None = None) -> DataFrame:
     added = T._parse_datatype_string(fold.output)
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
-    fields = list(to_arrow_schema(added))
+    fields, carried = list(to_arrow_schema(added)), _carried(entries, keys)
 
     def run(batches):
-        for batch, pieces, _ in _fold_batches(batches, keys, fold, carry_in):
+        for batch, pieces, _ in _fold_batches(batches, keys, fold, carried()):
             if batch is not None:
                 columns = [batch.column(c) for c in keep] + [_join_pieces(pieces, f) for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in fields)])
@@ -173,34 +182,26 @@ def _output_pass(df: DataFrame, keys: list[str], keep: list[str], fold: Fold, ca
     return df.mapInArrow(run, schema)
 
 
-def _exit_pass(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
+def _exit_pass(df: DataFrame, keys: list[str], fold: Fold, entries: DataFrame | None = None) -> DataFrame:
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(EXIT, T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+    arrow, carried = to_arrow_schema(schema), _carried(entries, keys)
 
     def run(batches):
-        for _, _, finished in _fold_batches(batches, keys, fold, True):
+        for _, _, finished in _fold_batches(batches, keys, fold, carried()):
             if finished:
                 columns = [*zip(*[key for key, _ in finished]), [pickle.dumps(s) for _, s in finished]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
-
-
-def _with_entries(rows: DataFrame, entries: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
-    """Chunk rows in order, each chunk led by a marker row that carries its entry state."""
-    marked = rows.withColumn(ENTRY, F.lit(None).cast("binary"))
-    if entries is not None:
-        marked = marked.unionByName(entries, allowMissingColumns=True)
-    return spread_by(marked, keys).sortWithinPartitions(*keys, F.col(ENTRY).isNull(), *order)
+    return df.select(*keys, *(c for c in fold.inputs if c not in keys)).mapInArrow(run, schema)
 
 
 def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
-    """True entry state per (keys, chunk); chunks that start from nothing are absent."""
+    """True entry state per (keys, chunk); chunks that start from nothing are absent. Rows lie by chunk and in order."""
     unit = [*keys, CHUNK]
     before = Window.partitionBy(*keys).orderBy(CHUNK)
     nothing = F.lit(None).cast("binary")
-    done = _exit_pass(_with_entries(rows, None, unit, order), unit, fold).withColumn(USED, nothing).checkpoint()
+    done = _exit_pass(rows, unit, fold).withColumn(USED, nothing).checkpoint()
     rounds = 0
     while True:
         current = done.withColumn(ENTRY, F.lag(EXIT).over(before))
@@ -211,16 +212,15 @@ def _settle_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fo
         redo = stale.select(*unit, ENTRY).checkpoint()
         if redo.isEmpty():
             return current.filter(F.col(ENTRY).isNotNull()).select(*unit, ENTRY)
-        again = rows.join(redo.select(*unit), unit, "left_semi")
-        redone = _exit_pass(_with_entries(again, redo, unit, order), unit, fold).withColumnRenamed(EXIT, "_new")
+        again = rows.join(F.broadcast(redo.select(*unit)), unit, "left_semi")  # as many as chunks; the rows stay where they are
+        redone = _exit_pass(again.sortWithinPartitions(*unit, *order), unit, fold, redo).withColumnRenamed(EXIT, "_new")
         done = done.join(redo, unit, "left").join(redone, unit, "left").select(
             *unit, F.coalesce("_new", EXIT).alias(EXIT), F.coalesce(ENTRY, USED).alias(USED)).checkpoint()
         rounds += 1
 
 
-def _summary_pass(rows: DataFrame, unit: list[str], order: list[str], fold: Fold) -> DataFrame:
+def _summary_pass(rows: DataFrame, unit: list[str], fold: Fold) -> DataFrame:
     """One row per chunk with its table; a task holds the step's inputs of one chunk."""
-    lined = spread_by(rows, unit).sortWithinPartitions(*unit, *order)
     schema = T.StructType([rows.schema[k] for k in unit] + [T.StructField("_table", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -245,13 +245,13 @@ def _summary_pass(rows: DataFrame, unit: list[str], order: list[str], fold: Fold
         if held:
             yield table_of(key, held)
 
-    return lined.select(*unit, *[c for c in fold.inputs]).mapInArrow(run, schema)
+    return rows.select(*unit, *[c for c in fold.inputs]).mapInArrow(run, schema)
 
 
 def _summarised_entries(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
     """True entry state per (keys, chunk), handed from table to table; chunks that start from nothing are absent."""
     unit = [*keys, CHUNK]
-    tables = _summary_pass(rows, unit, order, fold).checkpoint()
+    tables = _summary_pass(rows, unit, fold).checkpoint()
     lined = spread_by(tables, keys).sortWithinPartitions(*unit)
     schema = T.StructType([rows.schema[k] for k in unit] + [T.StructField(ENTRY, T.BinaryType())])
 
@@ -269,17 +269,32 @@ def _summarised_entries(rows: DataFrame, keys: list[str], order: list[str], fold
     return lined.mapInArrow(run, schema).where(F.col(ENTRY).isNotNull()).checkpoint()
 
 
-def _chunked(df: DataFrame, hot: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
-    """Rows of hot keys with ``CHUNK``, which rises with a key's time: sampled ranges of (key, time) of about ``hot_rows`` rows.
+def _ranges(df: DataFrame, hot: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
+    """First and last place (key, time) of sampled ranges of about ``hot_rows`` rows of hot keys; only keys and times move.
 
-    Rows of one key and time stay together. A range is a task, so there are no more than balance the session's tasks, however
-    low ``hot_rows`` is; only rows beyond ``HOT_ROWS`` a range, which a summary holds at once, ask for more.
+    Rows of one key and time stay together. There are no more ranges than balance the session's tasks, however low
+    ``hot_rows`` is; only rows beyond ``HOT_ROWS`` a range, which a summary holds at once, ask for more.
     """
     total = hot.agg(F.sum("_n")).first()[0]
-    rows = df.join(hot.select(*keys), keys, "left_semi").select(df.columns)
     ranges = min(-(-total // hot_rows), max(RANGES_PER_TASK * task_count(df.sparkSession), -(-total // HOT_ROWS)))
-    ranged = rows.repartitionByRange(ranges, *keys, time_col)
-    return ranged.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    places = df.join(hot.select(*keys), keys, "left_semi").select(*keys, time_col)
+    place = F.struct(*keys, time_col)
+    return written(places.repartitionByRange(ranges, *keys, time_col).groupBy(F.spark_partition_id().alias(CHUNK)).agg(
+        F.min(place).alias("_first"), F.max(place).alias("_last")), "ranges")
+
+
+def _chunked(df: DataFrame, hot: DataFrame, keys: list[str], time_col: str, hot_rows: int) -> DataFrame:
+    """All rows with ``CHUNK``: NULL unless their key is hot and a bound of the ranges cuts it; there it rises with time.
+
+    The cut keys, at most one per range, are sent to the rows, so no row moves.
+    """
+    ranges = _ranges(df, hot, keys, time_col, hot_rows)
+    opened = ranges.select(*(F.col(f"_last.{k}").alias(k) for k in keys), CHUNK).groupBy(*keys).agg(F.min(CHUNK).alias("_opened"))
+    bounds = ranges.select(*(F.col(f"_first.{k}").alias(k) for k in keys), F.col(f"_first.{time_col}").alias("_bound"), CHUNK)
+    cut = written(bounds.join(opened, keys).filter(F.col(CHUNK) > F.col("_opened")).groupBy(*keys).agg(
+        F.collect_list("_bound").alias("_bounds")), "cut-keys")
+    passed = F.size(F.filter("_bounds", lambda bound: bound <= F.col(time_col)))
+    return df.join(F.broadcast(cut), keys, "left").select(*df.columns, F.when(F.col("_bounds").isNotNull(), passed).alias(CHUNK))
 
 
 def hot_keys(df: DataFrame, keys: list[str], time_col: str, hot_rows: int | None) -> DataFrame | None:
@@ -288,7 +303,7 @@ def hot_keys(df: DataFrame, keys: list[str], time_col: str, hot_rows: int | None
         return None
     reliable_folder(df.sparkSession)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows)
+    hot = written(sizes.filter(F.col("_n") > hot_rows), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -301,14 +316,12 @@ def ordered_fold(
     """
     keep = df.columns
     hot = hot_keys(df, keys, order[0], hot_rows)
-    cold = df if hot is None else df.join(hot.select(*keys), keys, "left_anti")
-    ordered = spread_by(cold, keys).sortWithinPartitions(*keys, *order)
-    result = _output_pass(ordered, keys, keep, fold, carry_in=False)
+    rows = df if hot is None else _chunked(df, hot, keys, order[0], hot_rows)
+    whole = rows if hot is None else rows.filter(F.col(CHUNK).isNull()).select(keep)
+    result = _output_pass(spread_by(whole, keys).sortWithinPartitions(*keys, *order), keys, keep, fold)
     if hot is None:
         return result
-    rows = _chunked(df, hot, keys, order[0], hot_rows)
-    settle = _summarised_entries if fold.summarised() else _settle_entries
-    entries = settle(rows, keys, order, fold)
     unit = [*keys, CHUNK]
-    final = _output_pass(_with_entries(rows, entries, unit, order), unit, keep, fold, carry_in=True)
-    return result.unionByName(final)
+    cut = spread_by(rows.filter(F.col(CHUNK).isNotNull()), unit).sortWithinPartitions(*unit, *order).checkpoint()
+    settle = _summarised_entries if fold.summarised() else _settle_entries
+    return result.unionByName(_output_pass(cut, unit, keep, fold, settle(cut, keys, order, fold)))

@@ -253,6 +253,23 @@ def test_ranges_of_hot_keys_do_not_follow_the_limit(spark):
     assert rows.groupBy("key", "us").agg(F.count_distinct(folding.CHUNK).alias("n")).where("n > 1").isEmpty()
 
 
+def test_rows_of_hot_keys_stay_where_they_are_until_they_are_folded(spark):
+    """Only keys and times are dealt in ranges; just the keys that a bound cuts have chunks, at most one a range."""
+    df = spark.range(6000).selectExpr("id AS event_id", "concat('k', id % 100) AS key", "id * 7000000 AS us", "array(CAST(1 AS DOUBLE), sin(id)) AS embedding")
+    rows = folding._chunked(df, folding.hot_keys(df, ["key"], "us", 5), ["key"], "us", 5)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any(x in plan for x in ("Exchange hashpartitioning", "Exchange rangepartitioning", "ExistingRDD"))
+    cut = rows.where(F.col(folding.CHUNK).isNotNull()).select("key").distinct().count()
+    assert 0 < cut <= folding.RANGES_PER_TASK * task_count(spark)
+    plain, hot = (presence.replay_guard(df, ["key"], 0.9, n).select("event_id", "kept").collect() for n in (None, 5))
+    assert len(hot) == 6000 and sorted(hot) == sorted(plain)
+
+
 def test_only_new_vectors_of_a_frame_are_scaled(monkeypatch):
     """A live track keeps its unit vector; a frame costs what its own detections cost."""
     scaled = []
